@@ -15,6 +15,7 @@ from mirrorset.functions import vectors
 from mirrorset.functions.frames import flip_rows, masked_mean_batch, median_bits, sad_batch
 from mirrorset.functions.paths import folder_suffix
 from mirrorset.operators import blocking as B
+from mirrorset.runtime import cut_lineage
 from mirrorset.schema import BRIGHTNESS_SCALE, MATCH_FLAGS
 
 
@@ -95,7 +96,7 @@ def flipped(features: DataFrame, k: int, side: int) -> DataFrame:
                                                   for p in range(k)]))
     else:
         out = out.withColumn("phashes", hashed)
-    return out.drop("_parts")
+    return out.drop("_parts", "_q0", "_q1", "_q2", "_q3")
 
 
 # --- classes of equal features ----------------------------------------------------------------
@@ -121,6 +122,17 @@ def with_class(features: DataFrame, cfg: MatchConfig) -> DataFrame:
         .withColumn("unit_key", F.concat_ws("|", *unit) if unit else F.lit(""))
 
 
+def prepare(features: DataFrame, cfg: MatchConfig, side: int) -> DataFrame:
+    """Store the feature table once with class keys and quarter sums; all joins start from it."""
+    return cut_lineage(B.with_quarters(with_class(features, cfg), side), "features")
+
+
+def class_reps(prepared: DataFrame) -> DataFrame:
+    """The smallest file of every class of equal features."""
+    first = prepared.groupBy("class_key").agg(F.min("file_id").alias("file_id"))
+    return prepared.join(first.select("file_id"), "file_id", "left_semi")
+
+
 def _compatible(a: str, b: str, cfg: MatchConfig) -> Column:
     """Whether two unit keys may match: every gated part must differ."""
     gates = (cfg.folder_mode == "different") + cfg.exclude_hardlinks
@@ -196,9 +208,9 @@ def find_edges(features: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32
 
     features: file_id, is_image, duration_s, folder, size, dev, inode, gray, phashes.
     """
-    tagged = with_class(features, cfg)
+    tagged = prepare(features, cfg, side)
     classes, stars = class_stars(tagged.select("file_id", "class_key", "unit_key"), cfg)
-    reps = features.join(classes.select(F.col("r1").alias("file_id")), "file_id", "left_semi")
+    reps = tagged.join(classes.select(F.col("r1").alias("file_id")), "file_id", "left_semi")
     edges = class_pairs(reps, cfg, k, side)
     if cfg.use_ai and emb is not None:
         near = B.pairs_by_duration(reps, reps, cfg)
@@ -273,11 +285,9 @@ def match_against(new: DataFrame, stored: DataFrame, cfg: MatchConfig, k: int =
     (new_id, stored_id, difference, flags): every new class meets every stored class once and
     the result is spread to the new class's members; stored copies stay on their first file.
     """
-    n, s = with_class(new, cfg), with_class(stored, cfg)
+    n, s = prepare(new, cfg, side), prepare(stored, cfg, side)
     n_rep = n.groupBy("class_key").agg(F.min("file_id").alias("file_id"))
-    s_rep = s.groupBy("class_key").agg(F.min("file_id").alias("file_id"))
-    left = new.join(n_rep.select("file_id"), "file_id", "left_semi")
-    right = stored.join(s_rep.select("file_id"), "file_id", "left_semi")
+    left, right = class_reps(n), class_reps(s)
     hits = class_pairs(right, cfg, k, side, left=left,
                        order=F.col("l.file_id") != F.col("r.file_id"))
     own = n.select(F.col("file_id").alias("new_id"), "class_key").join(
