@@ -59,3 +59,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
 def numbered_overall(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """Row number over the whole input by a total order, without a single-task window."""
     return numbered(df.withColumn("_all", F.lit(0)), ["_all"], order, name).drop("_all")
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[Column], value: Column,
+                name: str) -> DataFrame:
+    """Maximum of ``value`` over the earlier rows of the group, range partitioned like numbered."""
+    by = [F.col(k) for k in keys] + order
+    stored = cut_lineage(
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_pos", 33)).withColumn("_v", value), "running")
+    runs = stored.groupBy(*keys, "_part").agg(F.max("_v").alias("_m"))
+    carry = runs.withColumn("_carry", F.max("_m").over(
+        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    local = F.max("_v").over(Window.partitionBy(*keys, "_part").orderBy("_pos")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    return stored.withColumn("_local", local).join(carry.drop("_m"), [*keys, "_part"]) \
+        .withColumn(name, F.greatest("_local", "_carry")) \
+        .drop("_pos", "_part", "_v", "_local", "_carry")

@@ -39,3 +39,11 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def enable_skew_handling(spark: SparkSession) -> None:
+    """Let adaptive execution split hot keys even where that costs one more shuffle."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.coalescePartitions.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, "true")
