@@ -14,18 +14,21 @@ from mirrorset.runtime import cut_lineage
 
 
 def attach(df: DataFrame, keys: list[str] | str, *facts: Column) -> DataFrame:
-    """Add aggregates of each row's group (keys must not be null)."""
+    """Add aggregates of each row's group (keys must not be null).
+
+    The input is read twice, so chains of these calls grow fast: put facts into one call.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.join(df.groupBy(*keys).agg(*facts), keys)
 
 
 def mark_first(df: DataFrame, keys: list[str] | str, order: list[Column], row_id: str,
-               name: str = "is_first") -> DataFrame:
-    """True on the smallest row of each group by ``order`` then ``row_id``."""
+               name: str = "is_first", facts: tuple[Column, ...] = ()) -> DataFrame:
+    """True on the smallest row of each group by ``order`` then ``row_id``; plus other facts."""
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(row_id)])])
     last = f"o{len(order)}"
-    df = attach(df, keys, F.min(rank).alias("_first"))
-    return df.withColumn(name, F.col(row_id) == F.col("_first")[last]).drop("_first")
+    df = attach(df, keys, F.min(rank)[last].alias("_head_row"), *facts)
+    return df.withColumn(name, F.col(row_id) == F.col("_head_row")).drop("_head_row")
 
 
 def newest_first(ts) -> Column:

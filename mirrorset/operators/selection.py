@@ -17,13 +17,9 @@ from mirrorset.schema import MATCH_FLAGS
 KEY = ["group_id", "item_id"]
 
 
-def _with_size(items: DataFrame) -> DataFrame:
-    return attach(items, "group_id", F.count(F.lit(1)).alias("_n"))
-
-
 def _rest(items: DataFrame, order: list[Column]) -> DataFrame:
     """Everything but the first row of each group of two or more."""
-    return _with_size(mark_first(items, "group_id", order, "item_id", "_keep")) \
+    return mark_first(items, "group_id", order, "item_id", "_keep", (F.count(F.lit(1)).alias("_n"),)) \
         .where("_n > 1 AND NOT _keep").select(*KEY)
 
 
@@ -131,16 +127,15 @@ def select_custom(visible: DataFrame, spec: CustomSelection) -> DataFrame:
     if spec.skip_checked_groups:
         df = df.where("NOT _busy")
     df = df.where(custom_filter(spec)).withColumn("_id", identity(spec.cluster != "identical_but_size"))
-    df = attach(df, "group_id", F.min(F.struct("item_id", "_id")).alias("_first"))
-    is_ref = F.col("item_id") == F.col("_first.item_id")
-    same = F.col("_id").eqNullSafe(F.col("_first._id"))
+    df = attach(df, "group_id", F.min(F.struct("item_id", "_id")).alias("_ref_row"))
+    is_ref = F.col("item_id") == F.col("_ref_row.item_id")
+    same = F.col("_id").eqNullSafe(F.col("_ref_row._id"))
     if spec.cluster in ("identical", "identical_but_size"):
         df = df.where(is_ref | same)
     elif spec.cluster == "not_identical":
         df = df.where(is_ref | ~same)
     order = {"none": [], "keep_oldest": [F.col("created")], "keep_newest": [newest_first("created")]}[spec.dates]
-    df = attach(mark_first(df, "group_id", order, "item_id", "_keep"), "group_id",
-                F.count(F.lit(1)).alias("_matched"))
+    df = mark_first(df, "group_id", order, "item_id", "_keep", (F.count(F.lit(1)).alias("_matched"),))
     partial = (F.col("_matched") < F.col("_all")) if spec.cluster == "any" and spec.dates == "none" \
         else F.lit(False)
     return df.select(*KEY, F.when(F.col("_keep") & ~partial, "keep").otherwise("check").alias("action"))
@@ -202,8 +197,8 @@ def auto_select_web(items: DataFrame, mode: str) -> DataFrame:
             .where("NOT _keep").select(*KEY)
     if mode == "largest":
         return _rest(items, [-F.col("size")])
-    picked = _with_size(ranking.pick_keeper(items, ranking.exact_criteria()))
-    return picked.where("_n > 1 AND NOT is_keeper").select(*KEY)
+    picked = ranking.pick_keeper(items, ranking.exact_criteria())
+    return picked.where("members > 1 AND NOT is_keeper").select(*KEY)
 
 
 def link_targets(items: DataFrame) -> DataFrame:

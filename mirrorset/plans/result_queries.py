@@ -73,7 +73,7 @@ EXACT_KEEPER = keeper_sql([
 
 @query("pick_keeper", KEEPER + "SELECT group_id, item_id, decided_by FROM kept WHERE is_keeper")
 def _pick_keeper(spark, sf):
-    return ranking.pick_keeper(V.items(spark, sf)).where("is_keeper").select("group_id", "item_id", "decided_by")
+    return ranking.keepers(V.items(spark, sf)).drop("members")
 
 
 @query("pick_keeper_resolution_first", keeper_sql([
@@ -84,7 +84,7 @@ def _pick_keeper(spark, sf):
     + "SELECT group_id, item_id, decided_by FROM kept WHERE is_keeper")
 def _pick_keeper_res(spark, sf):
     crit = ranking.default_criteria(["Resolution", "Size"])
-    return ranking.pick_keeper(V.items(spark, sf), crit).where("is_keeper").select("group_id", "item_id", "decided_by")
+    return ranking.keepers(V.items(spark, sf), crit).drop("members")
 
 
 @query("keep_best_in_group", KEEPER + "SELECT group_id, item_id FROM kept WHERE NOT is_keeper")
@@ -183,10 +183,10 @@ PROTECTED = "(path LIKE '/lib/s1/%' OR path LIKE '/lib/s20/%')"
 
 def rule_sql(rule: str) -> str:
     base = f"""SELECT '{rule}' AS rule, group_id, item_id FROM (SELECT *, {PROTECTED} AS prot, group_id % 3 <> 0 AS inscope,
- count(*) OVER g AS n, bool_or({PROTECTED}) OVER g AS some, bool_and(modified IS NOT NULL) OVER g AS dated,
+ count(*) OVER g AS n, bool_or({PROTECTED}) OVER g AS hasprot, bool_and(modified IS NOT NULL) OVER g AS dated,
  max(created) OVER g AS c1, min(created) OVER g AS c0, max(modified) OVER g AS m1, min(modified) OVER g AS m0
  FROM items WINDOW g AS (PARTITION BY group_id)) WHERE n > 1 AND inscope AND NOT prot AND """
-    return base + {"keep-protected": "some", "keep-newest-created": "created < c1", "keep-oldest-created": "created > c0",
+    return base + {"keep-protected": "hasprot", "keep-newest-created": "created < c1", "keep-oldest-created": "created > c0",
                    "keep-newest-modified": "dated AND modified < m1", "keep-oldest-modified": "dated AND modified > m0"}[rule]
 
 
