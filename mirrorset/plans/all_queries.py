@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from mirrorset.plans import matching_queries, result_queries  # noqa: F401
+from mirrorset.plans import catalog_queries, matching_queries, result_queries  # noqa: F401
 from mirrorset.plans.registry import ORACLES, QUERIES  # noqa: F401
