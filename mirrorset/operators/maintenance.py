@@ -69,8 +69,7 @@ def relocate_by_rescan(missing: DataFrame, found: DataFrame, use_modified: bool
     """(path, new_path, confidence) for missing catalog rows against files on disk.
 
     The only file of the same size wins; several are narrowed by modification time (2 s) and
-    duration (0.5 s). Counting happens per size first, and the pair join is restricted to the
-    refining conditions, so equal-sized crowds are never listed pair by pair in one group.
+    duration (0.5 s).
     """
     per_size = found.groupBy("size").agg(F.count(F.lit(1)).alias("same_size"), F.min("path").alias("only_path"))
     base = missing.select("path", "size", "modified", "duration_s").join(per_size, "size", "left")
@@ -79,26 +78,28 @@ def relocate_by_rescan(missing: DataFrame, found: DataFrame, use_modified: bool
     none = base.where("same_size IS NULL").select("path", F.lit(None).cast("string").alias("new_path"),
                                                   F.lit("NotFound").alias("confidence"))
     many = base.where("same_size > 1").select("path", "size", "modified", "duration_s")
-    # Two-second cells with their neighbours turn the time tolerance into an equi-join.
-    seconds = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 2_000_000)
-    m, f, keys = many, found.select("size", F.col("path").alias("new_path"), F.col("modified").alias("f_modified"),
-                                    F.col("duration_s").alias("f_duration")), ["size"]
+    # Only distinct (size, time, duration) values meet in the join, so a crowd of equal files is
+    # one row per side. Two-second and half-second cells turn the tolerances into equi-joins.
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    used = [c for c, on in (("modified", use_modified), ("duration_s", use_duration)) if on]
+    m = many.select("size", *used).distinct()
+    f = found.groupBy("size", *[F.col(c).alias(f"f_{c}") for c in used]).agg(
+        F.count(F.lit(1)).alias("n"), F.min("path").alias("new_path"))
+    keys, close = ["size"], F.lit(True)
     if use_modified:
-        m = m.withColumn("_t", F.explode(F.sequence(seconds("modified") - 1, seconds("modified") + 1)))
-        f, keys = f.withColumn("_t", seconds("f_modified")), ["size", "_t"]
+        cell = lambda c: F.floor(micros(c) / 2_000_000)
+        m = m.withColumn("_t", F.explode(F.sequence(cell("modified") - 1, cell("modified") + 1)))
+        f, keys = f.withColumn("_t", cell("f_modified")), [*keys, "_t"]
+        close = close & (F.abs(micros("modified") - micros("f_modified")) <= 2_000_000)
     if use_duration:
         half = lambda c: F.floor(F.col(c) / 0.5)
         m = m.withColumn("_d", F.explode(F.sequence(half("duration_s") - 2, half("duration_s") + 2)))
-        f, keys = f.withColumn("_d", half("f_duration")), [*keys, "_d"]
-    hit = m.join(f, keys)
-    if use_modified:
-        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        hit = hit.where(F.abs(micros("modified") - micros("f_modified")) <= 2_000_000)
-    if use_duration:
-        hit = hit.where(F.abs(F.col("f_duration") - F.round("duration_s", 2)) <= 0.5)
-    counted = hit.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("new_path").alias("new_path"))
+        f, keys = f.withColumn("_d", half("f_duration_s")), [*keys, "_d"]
+        close = close & (F.abs(F.col("f_duration_s") - F.round("duration_s", 2)) <= 0.5)
+    counted = m.join(f, keys).where(close).groupBy("size", *used).agg(
+        F.sum("n").alias("n"), F.min("new_path").alias("new_path"))
     label = "SizeModifiedDuration" if use_duration else "SizeAndModified" if use_modified else "SizeOnly"
-    refined = many.select("path").join(counted, "path", "left").select(
+    refined = many.join(counted, ["size", *used], "left").select(
         "path", F.when(F.col("n") == 1, F.col("new_path")).alias("new_path"),
         F.when(F.col("n") == 1, label).when(F.col("n") > 1, "Ambiguous").otherwise("NotFound").alias("confidence"))
     return single.unionByName(none).unionByName(refined)
