@@ -80,3 +80,19 @@ def running_max(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     return stored.withColumn("_local", local).join(carry.drop("_m"), [*keys, "_part"]) \
         .withColumn(name, F.greatest("_local", "_carry")) \
         .drop("_pos", "_part", "_v", "_local", "_carry")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` up to and including each row, range partitioned like ``numbered``."""
+    by = [F.col(k) for k in keys] + order
+    stored = cut_lineage(
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_pos", 33)).withColumn("_v", value), "running")
+    runs = stored.groupBy(*keys, "_part").agg(F.sum("_v").alias("_m"))
+    carry = runs.withColumn("_carry", F.coalesce(F.sum("_m").over(
+        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.sum("_v").over(Window.partitionBy(*keys, "_part").orderBy("_pos")
+                             .rowsBetween(Window.unboundedPreceding, 0))
+    return stored.withColumn("_local", local).join(carry.drop("_m"), [*keys, "_part"]) \
+        .withColumn(name, F.col("_local") + F.col("_carry")).drop("_pos", "_part", "_v", "_local", "_carry")

@@ -130,14 +130,21 @@ def _key(fp: Column, pos: Column, t: int) -> Column:
     return now.bitwiseOR(F.shiftleft(later, KEY_HALF_BITS)).cast("int")
 
 
+def _posting(fp: Column, t: int):
+    def make(i):
+        return F.struct(F.lit(t).alias("tbl"), _key(fp, i, t).alias("key"), i.alias("pos"))
+
+    return make
+
+
 def fp_index(files: DataFrame) -> DataFrame:
     """(tbl, key, file_id, pos): eight keys per block, made inside each row without a shuffle."""
     fp = F.col("fp")
     rows = []
     for t, lag in enumerate(LAGS):
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(fp) - 1 - lag, F.lit(0))), lambda i: i + lag < F.size(fp))
-        rows.append(F.transform(at, lambda i, t=t: F.struct(
-            F.lit(t).alias("tbl"), _key(fp, i, t).alias("key"), i.alias("pos"))))
+        last = F.size(fp) - 1 - lag
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        rows.append(F.transform(at, _posting(fp, t)))
     return files.select("file_id", F.inline(F.concat(*rows))).select("tbl", "key", "file_id", "pos")
 
 

@@ -199,25 +199,37 @@ def _sliding(spark, sf):
     return P.sliding_match(P.partial_pairs(s, c, EXACT), s, c, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("assign_clips", O.with_(O.FINGERPRINTS, SRC, MATCHES) + f"""SELECT clip + {CLIP_BASE} AS clip, arg_min(src, (-n, src)) AS src, arg_min(off, (-n, src))::INT AS offset_s FROM mt JOIN sn ON src = file_id GROUP BY clip""")
+# A match table that costs little in any engine: the clip's first block found in the source.
+FIRST = """mt AS (SELECT src, clip, min(s.idx) AS off FROM pr JOIN clp c ON c.file_id = clip AND c.idx = 0 JOIN src s ON s.file_id = src AND s.blk = c.blk
+ AND s.idx <= sn - cn GROUP BY src, clip),
+asg AS (SELECT clip, arg_min(src, (-n, src)) AS src, arg_min(off, (-n, src)) AS off FROM mt JOIN sn ON src = file_id GROUP BY clip)"""
+
+
+def first_block_matches(s, c):
+    pairs = P.partial_pairs(s, c, EXACT)
+    head = c.select(F.col("file_id").alias("clip"), F.get("fp", F.lit(0)).alias("blk"), F.col("n").alias("cn"))
+    spots = s.select(F.col("file_id").alias("src"), F.col("n").alias("sn"), F.posexplode("fp").alias("idx", "blk"))
+    return pairs.join(head, "clip").join(spots, ["src", "blk"]).where("idx <= sn - cn").groupBy("src", "clip").agg(
+        F.min("idx").alias("offset_s")).withColumn("similarity", F.lit(0.9))
+
+
+@query("assign_clips", O.with_(O.FINGERPRINTS, SRC, FIRST) + f"SELECT clip + {CLIP_BASE} AS clip, src, off::INT AS offset_s FROM asg")
 def _assign(spark, sf):
     s, c = sources(spark, sf), clips(spark, sf)
-    m = P.sliding_match(P.partial_pairs(s, c, EXACT), s, c, 0.8)
+    m = first_block_matches(s, c)
     return P.assign_clips(m, s).select("clip", "src", "offset_s")
 
 
-@query("emit_partial", O.with_(O.FINGERPRINTS, SRC, MATCHES) + f""", a AS (SELECT clip + {CLIP_BASE} AS clip, arg_min(src, (-n, src)) AS src, arg_min(off, (-n, src)) AS off, arg_min(bits / (cn * 32::DOUBLE), (-n, src)) AS diff
- FROM mt JOIN sn ON src = file_id GROUP BY clip)
-SELECT DISTINCT src AS group_id, src AS file_id, 0::DOUBLE AS difference, 0 AS flags, 0::DOUBLE AS offset_s, true AS is_reference, NULL::BIGINT AS reference_id FROM a
-UNION ALL SELECT src, clip, round(diff, 6), 2, off::DOUBLE, false, src FROM a""")
+@query("emit_partial", O.with_(O.FINGERPRINTS, SRC, FIRST) + f"""SELECT DISTINCT src AS group_id, src AS file_id, 0::DOUBLE AS difference, 0 AS flags, 0::DOUBLE AS offset_s, true AS is_reference, NULL::BIGINT AS reference_id FROM asg
+UNION ALL SELECT src, clip + {CLIP_BASE}, 0.1::DOUBLE, 2, off::DOUBLE, false, src FROM asg""")
 def _emit(spark, sf):
     s, c = sources(spark, sf), clips(spark, sf)
-    m = P.sliding_match(P.partial_pairs(s, c, EXACT), s, c, 0.8)
+    m = first_block_matches(s, c)
     return P.emit_partial(P.assign_clips(m, s)).withColumn("difference", F.round("difference", 6))
 
 
 def key_sql(now: str, later: str, t: int) -> str:
-    return f"(({now} >> {P.CURRENT_SHIFTS[t]}) & 1023 | (({later} >> {P.FUTURE_SHIFTS[t]}) & 1023) << 10)"
+    return f"((({now} >> {P.CURRENT_SHIFTS[t]}) & 1023) | ((({later} >> {P.FUTURE_SHIFTS[t]}) & 1023) << 10))"
 
 
 POSTINGS = "post AS (" + " UNION ALL ".join(
@@ -327,7 +339,7 @@ def _audio(spark, sf):
     return P.find_partial_audio(corpus(spark, sf), MatchConfig()).withColumn("difference", F.round("difference", 6))
 
 
-@query("visual_gate", O.with_(O.FINGERPRINTS, SRC, MATCHES, O.blocks("documents", "blocks"), ) + f""", a AS (SELECT clip, arg_min(src, (-n, src)) AS src, arg_min(off, (-n, src)) AS off FROM mt JOIN sn ON src = file_id GROUP BY clip),
+@query("visual_gate", O.with_(O.FINGERPRINTS, SRC, FIRST) + f""", a AS (SELECT * FROM asg),
 g AS (SELECT a.clip, a.src, off, (CASE WHEN cn.n >= 9 THEN cn.n * 0.25::DOUBLE * (i + 1) WHEN cn.n >= 3 THEN cn.n * 0.33::DOUBLE * (i + 1) ELSE cn.n * 0.5::DOUBLE END) AS t, cn.n AS c, sn.n AS s
  FROM a JOIN cn ON cn.file_id = clip JOIN sn ON sn.file_id = src, (SELECT unnest(range(3)) AS i) WHERE i < CASE WHEN cn.n >= 9 THEN 3 WHEN cn.n >= 3 THEN 2 ELSE 1 END),
 h AS (SELECT g.clip, g.src, 1 - bit_count(xor(x.blk, y.blk)) / 64::DOUBLE AS sim FROM g JOIN src x ON x.file_id = g.src AND x.idx = round_even(off + t, 0)::BIGINT JOIN clp y ON y.file_id = g.clip AND y.idx = round_even(t, 0)::BIGINT
@@ -335,7 +347,7 @@ h AS (SELECT g.clip, g.src, 1 - bit_count(xor(x.blk, y.blk)) / 64::DOUBLE AS sim
 SELECT a.clip + {CLIP_BASE} AS clip, a.src FROM a LEFT JOIN (SELECT clip, src, avg(sim) AS v FROM h GROUP BY ALL) v ON v.clip = a.clip AND v.src = a.src WHERE coalesce(v >= 0.85::DOUBLE - 1e-9, true)""")
 def _gate(spark, sf):
     s, c = sources(spark, sf), clips(spark, sf)
-    m = P.sliding_match(P.partial_pairs(s, c, EXACT), s, c, 0.8)
+    m = first_block_matches(s, c)
     both = s.unionByName(c)
     files = both.select("file_id", "duration_s", F.lit(1.0).alias("interval_s"),
                         F.when((F.col("file_id") < CLIP_BASE) & (F.col("file_id") % 7 == 0), 4).otherwise(0).alias("flags"))
