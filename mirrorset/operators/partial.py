@@ -95,9 +95,13 @@ def sliding_batch(clip: pa.Array, source: pa.Array) -> pa.Array:
             best.append(None)
             at.append(None)
             continue
-        total = np.zeros(len(s) - len(c) + 1, dtype=np.int64)
-        for k in range(len(c)):
-            total += np.bitwise_count(s[k:k + len(total)] ^ c[k])
+        shifts = len(s) - len(c) + 1
+        if shifts * len(c) <= 1 << 18:
+            total = np.bitwise_count(np.lib.stride_tricks.sliding_window_view(s, len(c)) ^ c).sum(axis=1, dtype=np.int64)
+        else:
+            total = np.zeros(shifts, dtype=np.int64)
+            for k in range(len(c)):
+                total += np.bitwise_count(s[k:k + shifts] ^ c[k])
         j = int(total.argmin())
         best.append(int(total[j]))
         at.append(j)
@@ -130,22 +134,24 @@ def _key(fp: Column, pos: Column, t: int) -> Column:
     return now.bitwiseOR(F.shiftleft(later, KEY_HALF_BITS)).cast("int")
 
 
-def _posting(fp: Column, t: int):
-    def make(i):
-        return F.struct(F.lit(t).alias("tbl"), _key(fp, i, t).alias("key"), i.alias("pos"))
+def _bitset(column: str) -> list[Column]:
+    """Partial aggregates that mark values 0..255 in four words; see :func:`_bitset_size`."""
+    c = F.col(column)
+    return [F.bit_or(F.when(F.shiftright(c, 6) == w, F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}")
+        for w in range(4)]
 
-    return make
+
+def _bitset_size() -> Column:
+    return sum(F.bit_count(f"_w{w}") for w in range(4))
 
 
 def fp_index(files: DataFrame) -> DataFrame:
     """(tbl, key, file_id, pos): eight keys per block, made inside each row without a shuffle."""
-    fp = F.col("fp")
-    rows = []
-    for t, lag in enumerate(LAGS):
-        last = F.size(fp) - 1 - lag
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        rows.append(F.transform(at, _posting(fp, t)))
-    return files.select("file_id", F.inline(F.concat(*rows))).select("tbl", "key", "file_id", "pos")
+    rows = files.select("file_id", "fp", F.posexplode("fp").alias("pos", "_block"))
+    keys = F.array(*[F.struct(F.lit(t).alias("tbl"), _key(F.col("fp"), F.col("pos"), t).alias("key"))
+                     for t in range(len(LAGS))])
+    return rows.select("file_id", "pos", F.inline(keys)).where("key IS NOT NULL").select("tbl", "key", "file_id", "pos")
 
 
 def key_sizes(postings: DataFrame) -> DataFrame:
@@ -181,7 +187,7 @@ def fp_candidates(sources: DataFrame, clips: DataFrame, cfg: MatchConfig,
     postings = cut_lineage(fp_index(sources), "postings")
     usable = cut_lineage(key_sizes(postings).where(F.col("rows") <= hot_limit).select("tbl", "key"), "keys")
     anchors = clip_anchors(clips).join(usable, ["tbl", "key"])
-    seen = anchors.groupBy("clip").agg(F.size(F.collect_set("anchor")).alias("usable"))
+    seen = anchors.groupBy("clip").agg(*_bitset("anchor")).select("clip", _bitset_size().alias("usable"))
     own = clips.select(F.col("file_id").alias("clip"), F.col("duration_s").alias("c_dur"), F.size("fp").alias("c_n"))
     ratio, off = F.col("c_dur") / F.col("duration_s"), F.col("pos") - F.col("a_pos")
     hits = anchors.withColumnRenamed("pos", "a_pos").join(postings, ["tbl", "key"]).where("file_id <> clip") \
@@ -189,7 +195,7 @@ def fp_candidates(sources: DataFrame, clips: DataFrame, cfg: MatchConfig,
         .where((ratio >= cfg.partial_min_ratio) & (ratio < cfg.partial_max_ratio) & (F.col("c_n") < F.col("n"))
                & (off >= 0) & (off + F.col("c_n") <= F.col("n")))
     votes = cut_lineage(hits.groupBy("clip", F.col("file_id").alias("src"), F.floor(off / OFFSET_BUCKET_S).alias("cell"))
-                        .agg(F.size(F.collect_set("anchor")).alias("votes")), "votes")
+                        .agg(*_bitset("anchor")).select("clip", "src", "cell", _bitset_size().alias("votes")), "votes")
     crowded = votes.groupBy("clip").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= MAX_VOTE_KEYS)
     state = own.select("clip").join(seen, "clip", "left").join(crowded, "clip", "left")
     served = (F.coalesce("usable", F.lit(0)) >= MIN_USABLE_ANCHORS) & F.col("cells").isNull()

@@ -53,7 +53,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFrame:
     """One row per word: (file_id, idx, n, blk) with blk a 32-bit value of the word."""
     key = "doc_id" if source == "documents" else "item_id"
-    d = table(spark, sf_dir, source)
+    d = spread(table(spark, sf_dir, source).select(key, "text"))
     words = d.select(F.col(key).alias("file_id"),
                      F.split(F.trim("text"), TOKEN_SPLIT).alias("ws"))
     return words.select("file_id", F.size("ws").alias("n"), F.posexplode("ws").alias("idx", "w")) \
@@ -163,7 +163,7 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprints(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFrame:
     """(file_id, n, fp): one 32-bit block per word; a document is one source, so bounded."""
     key = "doc_id" if source == "documents" else "item_id"
-    words = table(spark, sf_dir, source).select(
+    words = spread(table(spark, sf_dir, source).select(key, "text")).select(
         F.col(key).alias("file_id"), F.split(F.trim("text"), TOKEN_SPLIT).alias("ws"))
     return words.select("file_id", F.size("ws").alias("n"), F.transform(
         "ws", lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")).alias("fp"))
