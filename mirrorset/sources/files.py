@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mirrorset.functions import paths
 from mirrorset.schema import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
@@ -55,7 +56,7 @@ def _content_sum(path: str) -> str | None:
 
 def content_fingerprint(files: DataFrame) -> DataFrame:
     """Adds ``os_hash`` by two ranged reads per file; null for small or unreadable files."""
-    schema = files.schema.add("os_hash", "string")
+    schema = StructType([*files.schema.fields, StructField("os_hash", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
