@@ -215,3 +215,85 @@ def with_pair_columns(pairs: DataFrame, left: DataFrame, right: DataFrame, cols:
     a = left.select(F.col("file_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = right.select(F.col("file_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return pairs.join(a, "src").join(b, "dst")
+
+
+def block_join(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str], fn, schema: str,
+               rows_per_block: int = 2_000) -> DataFrame:
+    """Join by cells where ``fn(left_rows, right_rows)`` compares two bounded blocks at once.
+
+    Both sides of a cell are cut into blocks of at most about ``rows_per_block`` rows and every
+    block pair is one group, so a group is bounded whatever the cell holds. Rows are shipped
+    once per block pair instead of once per candidate pair. ``fn`` gets and returns pandas.
+    """
+    import pandas as pd
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name))
+
+    cells = sizes(left, "_nl").join(sizes(right, "_nr"), keys)
+    cols = ["file_id", *payload]
+
+    def side(df: DataFrame, flag: bool) -> DataFrame:
+        mine, other = ("_nl", "_nr") if flag else ("_nr", "_nl")
+        d = df.select(*keys, *cols).join(cells, keys)
+        block = F.pmod(F.xxhash64("file_id"), F.col(mine)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        d = d.withColumn("_b", block).withColumn("_o", every)
+        a, b = ("_b", "_o") if flag else ("_o", "_b")
+        return d.select(*keys, F.col(a).alias("_lb"), F.col(b).alias("_rb"), *cols, F.lit(flag).alias("_left"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        l, r = pdf[pdf["_left"]], pdf[~pdf["_left"]]
+        return fn(l, r) if len(l) and len(r) else fn(l.iloc[:0], r.iloc[:0])
+
+    return side(left, True).unionByName(side(right, False)).groupBy(*keys, "_lb", "_rb").applyInPandas(run, schema)
+
+
+def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: MatchConfig, k: int) -> DataFrame:
+    """(src, dst, ai_sim): duration-compatible pairs whose mean cosine reaches the threshold.
+
+    Candidates are the duration bands; each pair of blocks is one integer matrix product per
+    position. ``emb``: file_id, pos_idx, q, bright; at most k rows per file.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cols = ["file_id", "is_image", "duration_s", "folder"]
+    usable = F.when(F.col("bright") & F.col("q").isNotNull(), F.col("q"))
+    packed = emb.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos_idx", usable.alias("q")))).alias("qs"))
+    l = widen_duration(base_cells(left.select(*cols), cfg), cfg).join(packed, "file_id")
+    r = base_cells(right.select(*cols), cfg).join(packed, "file_id")
+    need, limit = cfg.ai_required(k), cfg.ai_threshold
+
+    def matrix(rows: pd.DataFrame, p: int, dims: int):
+        m, ok = np.zeros((len(rows), dims), dtype=np.float32), np.zeros(len(rows), dtype=bool)
+        for i, qs in enumerate(rows["qs"]):
+            for e in qs:
+                if e["pos_idx"] == p and e["q"] is not None:
+                    m[i], ok[i] = e["q"], True
+        return m, ok
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
+                              "ai_sim": pd.Series(dtype="float64")})
+        dims = next((len(e["q"]) for qs in [*a["qs"], *b["qs"]] for e in qs if e["q"] is not None), 0)
+        if not len(a) or not len(b) or dims == 0:
+            return empty
+        total, count = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), dtype=np.int32)
+        for p in range(k):
+            (x, okx), (y, oky) = matrix(a, p, dims), matrix(b, p, dims)
+            both = okx[:, None] & oky[None, :]
+            total += np.where(both, np.clip((x @ y.T).astype(np.float64) / (127.0 * 127.0), -1.0, 1.0), 0.0)
+            count += both
+        ia, ib = a["file_id"].to_numpy(), b["file_id"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = total / count
+        keep = (count >= need) & (mean >= limit) & (ia[:, None] < ib[None, :])
+        da, db, video = a["duration_s"].to_numpy(), b["duration_s"].to_numpy(), ~a["is_image"].to_numpy(dtype=bool)
+        ta, tb = (np.array([cfg.tolerance(v) for v in d]) for d in (da, db))
+        gate = np.abs(da[:, None] - db[None, :]) <= np.minimum(ta[:, None], tb[None, :])
+        i, j = np.nonzero(keep & (gate | ~video[:, None]))
+        return pd.DataFrame({"src": ia[i], "dst": ib[j], "ai_sim": mean[i, j]})
+
+    return block_join(l, r, BASE_KEYS, ["duration_s", "qs"], compare,
+                      "src bigint, dst bigint, ai_sim double")

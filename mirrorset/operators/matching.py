@@ -213,8 +213,7 @@ def find_edges(features: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32
     reps = tagged.join(classes.select(F.col("r1").alias("file_id")), "file_id", "left_semi")
     edges = class_pairs(reps, cfg, k, side)
     if cfg.use_ai and emb is not None:
-        near = B.pairs_by_duration(reps, reps, cfg)
-        ai = ai_similarity(near, emb, k).where(F.col("ai_sim") >= cfg.ai_threshold).select(
+        ai = B.embedding_pairs(reps, reps, emb, cfg, k).select(
             "src", "dst", (1 - F.col("ai_sim")).alias("difference"),
             F.lit(MATCH_FLAGS["ai_matched"]).alias("flags"))
         edges = edges.unionByName(ai.join(edges, ["src", "dst"], "left_anti"))

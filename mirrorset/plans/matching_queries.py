@@ -226,11 +226,22 @@ def _embedding_join(spark, sf):
     e = cut_lineage(V.emb(spark, sf), "emb")
     files = e.select("file_id", F.lit(False).alias("is_image"), "duration_s", F.lit("/v").alias("folder"))
     long = e.select("file_id", F.lit(0).alias("pos_idx"), "q", F.lit(True).alias("bright"))
-    near = B.pairs_by_duration(files, files, AI)
-    return matching.ai_similarity(near, long, 1).where(F.col("ai_sim") >= AI.ai_threshold).select(
+    return B.embedding_pairs(files, files, long, AI, 1).select(
         "src", "dst", F.round("ai_sim", 6).alias("ai_sim"))
 
 
+@query("ai_similarity", O.with_(O.EMB) + f"""
+SELECT x.file_id AS src, y.file_id AS dst, round({COS}, 6) AS ai_sim FROM emb x JOIN emb y ON x.vec_id = y.vec_id AND x.copy < y.copy
+WHERE x.vec_id % 7 <> 0""")
+def _ai_similarity(spark, sf):
+    e = V.emb(spark, sf)
+    long = e.select("file_id", F.lit(0).alias("pos_idx"), "q", (F.col("vec_id") % 7 != 0).alias("bright"))
+    a = e.select("vec_id", F.col("file_id").alias("src"), F.col("copy").alias("ca"))
+    b = e.select("vec_id", F.col("file_id").alias("dst"), F.col("copy").alias("cb"))
+    pairs = a.join(b, "vec_id").where("ca < cb").select("src", "dst")
+    return matching.ai_similarity(pairs, long, 1).withColumn("ai_sim", F.round("ai_sim", 6))
+
+
 @query("union_verdict", O.with_(O.FRAMES_VEC, O.EMB) + f""",
 c AS (SELECT a.file_id AS src, b.file_id AS dst, {SAD} AS sad, {COS} AS cos
  FROM frames_vec a JOIN frames_vec b ON a.file_id < b.file_id AND {DUR}

@@ -122,7 +122,7 @@ def features_doc(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
 
 def frames_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted near-copies: three noisy versions of each vector's frame."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(
+    e = spread(table(spark, sf_dir, "embeddings")).select("vec_id", "embedding", F.explode(
         F.sequence(F.lit(0), F.lit(2))).alias("copy"))
     base = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(
         F.lit(255), F.floor(x.cast("double") * 256).cast("int") + 128)))
@@ -150,7 +150,7 @@ def features_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Int8 embeddings of the planted copies; a copy moves some components by one step."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(
+    e = spread(table(spark, sf_dir, "embeddings")).select("vec_id", F.explode(
         F.sequence(F.lit(0), F.lit(2))).alias("copy"), quantize_unit("embedding").alias("q0"))
     moved = F.transform("q0", lambda x, i: F.when(F.col("copy") == 0, x.cast("int")).otherwise(
         F.greatest(F.lit(-127), F.least(F.lit(127), x + (
@@ -171,7 +171,7 @@ def fingerprints(spark: SparkSession, sf_dir: str, source: str = "documents") ->
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows: one group per order, one item per order line."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey AS group_id",
         "l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS item_id",
         "concat('/lib/s', l_suppkey % 50, '/o', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', "
