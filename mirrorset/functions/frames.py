@@ -87,19 +87,6 @@ def median_bits(coefficients) -> Column:
     return let(median, lambda m: pack_bits(F.transform(c, lambda x: x > m)))
 
 
-def quadrants(gray, side: int) -> Column:
-    """Sums of the four quarter frames, the base of the lossless intensity bounds."""
-    half, g = side // 2, col(gray)
-
-    def part(bottom: bool, right: bool) -> Column:
-        keep = F.filter(g, lambda _, i: (
-            ((F.floor(i / side) % side >= half) == F.lit(bottom))
-            & ((i % side >= half) == F.lit(right))))
-        return _sum(F.transform(keep, lambda x: x.cast("bigint")))
-
-    return F.array(part(False, False), part(False, True), part(True, False), part(True, True))
-
-
 # --- Arrow batches: one numpy pass per batch, used after candidates are known -----------------
 
 def _matrix(values: pa.Array) -> np.ndarray:
@@ -109,19 +96,50 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
+def _on_valid(a: pa.Array, b: pa.Array, compute, out_type) -> pa.Array:
+    """Apply ``compute`` to the rows where both sides exist; the others become null."""
+    ok = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros(len(a), dtype=np.float64 if out_type == pa.float64() else np.int64)
+    missing = ~ok
+    if ok.any():
+        if not ok.all():
+            a, b = a.filter(pa.array(ok)), b.filter(pa.array(ok))
+        values, empty = compute(a, b)
+        out[ok] = values
+        if empty is not None:
+            missing[np.flatnonzero(ok)[empty]] = True
+    return pa.array(out, type=out_type, mask=missing)
+
+
 @F.arrow_udf(T.LongType())
 def sad_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = _matrix(a).astype(np.int32), _matrix(b).astype(np.int32)
-    return pa.array(np.abs(x - y).sum(axis=1), type=pa.int64())
+    return _on_valid(a, b, lambda x, y: (
+        np.abs(_matrix(x).astype(np.int32) - _matrix(y).astype(np.int32)).sum(axis=1), None), pa.int64())
+
+
+def grid_sums(side: int, grid: int):
+    """Pixel sums of a grid x grid partition of the frame, summed over all positions of a file."""
+    step = max(1, -(-side // grid))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(gray: pa.Array) -> pa.Array:
+        if len(gray) == 0:
+            return pa.array([], type=pa.list_(pa.int32()))
+        frame = _matrix(gray).astype(np.int32).reshape(len(gray), -1, side, side).sum(axis=1)
+        out = np.zeros((len(gray), grid, grid), dtype=np.int32)
+        for y in range(grid):
+            for x in range(grid):
+                out[:, y, x] = frame[:, y * step:(y + 1) * step, x * step:(x + 1) * step].sum(axis=(1, 2))
+        offsets = pa.array(np.arange(len(gray) + 1, dtype=np.int32) * grid * grid)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return run
 
 
 def masked_mean_batch(k: int, ignore_black: bool, ignore_white: bool):
     """Sum over k positions of the masked difference; null when a position has no pixel left."""
 
-    @F.arrow_udf(T.DoubleType())
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        if len(a) == 0:
-            return pa.array([], type=pa.float64())
+    def compute(a: pa.Array, b: pa.Array):
         x = _matrix(a).astype(np.int32).reshape(len(a), k, -1)
         y = _matrix(b).astype(np.int32).reshape(len(b), k, -1)
         keep = np.ones(x.shape, dtype=bool)
@@ -131,10 +149,12 @@ def masked_mean_batch(k: int, ignore_black: bool, ignore_white: bool):
             keep &= (x < WHITE_LIMIT) & (y < WHITE_LIMIT)
         count = keep.sum(axis=2)
         total = (np.abs(x - y) * keep).sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            diff = (total / count / BRIGHTNESS_SCALE).sum(axis=1)
-        empty = (count == 0).any(axis=1)
-        return pa.array(np.where(empty, 0.0, diff), type=pa.float64(), mask=empty)
+        diff = (total / np.maximum(count, 1) / BRIGHTNESS_SCALE).sum(axis=1)
+        return diff, (count == 0).any(axis=1)
+
+    @F.arrow_udf(T.DoubleType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _on_valid(a, b, compute, pa.float64())
 
     return run
 

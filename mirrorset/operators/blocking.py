@@ -171,40 +171,40 @@ def phash_difference(k: int) -> Column:
     return sum(F.bit_count(_xor(p)) for p in range(k)) / F.lit(64.0 * k)
 
 
-def with_quarters(df: DataFrame, side: int) -> DataFrame:
-    """Adds the quarter-frame sums (over all positions) that bound the pixel difference."""
-    g, n, half = F.col("gray"), side * side, side // 2
+GRID = 4
+SUMS = [f"_s{i}" for i in range(GRID * GRID)]
 
-    def quarter(bottom: bool, right: bool) -> Column:
-        keep = F.filter(g, lambda _, i: (((i % n) / side >= half) == F.lit(bottom))
-                        & ((i % side >= half) == F.lit(right)))
-        return F.aggregate(keep, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
-    names = ("_q0", "_q1", "_q2", "_q3")
-    return df.select("*", *[quarter(b, r).alias(n_) for n_, (b, r) in zip(
-        names, ((False, False), (False, True), (True, False), (True, True)))])
+def with_sums(df: DataFrame, side: int) -> DataFrame:
+    """Adds the pixel sums of a 4x4 grid (over all positions) that bound the pixel difference."""
+    from mirrorset.functions.frames import grid_sums
+
+    cells = df.withColumn("_sums", grid_sums(side, GRID)("gray"))
+    return cells.select(*df.columns, *[F.get("_sums", F.lit(i)).alias(n) for i, n in enumerate(SUMS)])
 
 
 def gray_candidates(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int, side: int,
                     order: Column | None = None) -> DataFrame:
-    """(src, dst) whose quarter sums do not rule out the gray limit.
+    """(src, dst) whose grid sums do not rule out the gray limit.
 
     The difference of any partial pixel sum is at most the pixel difference itself, so the top
-    and bottom halves of matching files lie within one cell of the limit's width.
+    and bottom halves of matching files lie within one cell of the limit's width, and the summed
+    differences of all grid cells stay within the limit.
     """
     limit = cfg.gray_limit(side * side, k)
-    cols = ["file_id", "is_image", "duration_s", "folder", "_q0", "_q1", "_q2", "_q3"]
+    cols = ["file_id", "is_image", "duration_s", "folder", *SUMS]
+    half = len(SUMS) // 2
 
     def celled(df: DataFrame) -> DataFrame:
-        df = df if "_q0" in df.columns else with_quarters(df, side)
+        df = df if SUMS[0] in df.columns else with_sums(df, side)
         return base_cells(df.select(*cols), cfg) \
-            .withColumn("_top", F.floor((F.col("_q0") + F.col("_q1")) / (limit + 1))) \
-            .withColumn("_bottom", F.floor((F.col("_q2") + F.col("_q3")) / (limit + 1)))
+            .withColumn("_top", F.floor(sum(F.col(c) for c in SUMS[:half]) / (limit + 1))) \
+            .withColumn("_bottom", F.floor(sum(F.col(c) for c in SUMS[half:]) / (limit + 1)))
 
     l = widen_duration(celled(left), cfg) \
         .withColumn("_top", F.explode(near(F.col("_top")))) \
         .withColumn("_bottom", F.explode(near(F.col("_bottom"))))
-    bound = sum(F.abs(F.col(f"l._q{i}") - F.col(f"r._q{i}")) for i in range(4)) <= limit
+    bound = sum(F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) for c in SUMS) <= limit
     cond = (ordered_ids() if order is None else order) & bound & video_or_gate(cfg)
     return cell_join(l, celled(right), [*BASE_KEYS, "_top", "_bottom"], cond).select(
         F.col("l.file_id").alias("src"), F.col("r.file_id").alias("dst"))

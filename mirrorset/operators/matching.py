@@ -96,7 +96,7 @@ def flipped(features: DataFrame, k: int, side: int) -> DataFrame:
                                                   for p in range(k)]))
     else:
         out = out.withColumn("phashes", hashed)
-    return out.drop("_parts", "_q0", "_q1", "_q2", "_q3")
+    return out.drop("_parts", *B.SUMS)
 
 
 # --- classes of equal features ----------------------------------------------------------------
@@ -123,8 +123,8 @@ def with_class(features: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def prepare(features: DataFrame, cfg: MatchConfig, side: int) -> DataFrame:
-    """Store the feature table once with class keys and quarter sums; all joins start from it."""
-    return cut_lineage(B.with_quarters(with_class(features, cfg), side), "features")
+    """Store the feature table once with class keys and grid sums; all joins start from it."""
+    return cut_lineage(B.with_sums(with_class(features, cfg), side), "features")
 
 
 def class_reps(prepared: DataFrame) -> DataFrame:

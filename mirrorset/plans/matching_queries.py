@@ -165,7 +165,7 @@ def _phash_quorum_join(spark, sf):
 SELECT a.file_id AS src, b.file_id AS dst, round({SAD} / 16384::DOUBLE, 6) AS difference
 FROM frames_vec a JOIN frames_vec b ON a.file_id < b.file_id AND {DUR} AND {SAD} <= {GRAY.gray_limit(64, 1)}""")
 def _gray_join(spark, sf):
-    f = cut_lineage(B.with_quarters(V.features_vec(spark, sf), V.SIDE), "features")
+    f = cut_lineage(B.with_sums(V.features_vec(spark, sf), V.SIDE), "features")
     cand = B.gray_candidates(f, f, GRAY, 1, V.SIDE)
     wide = B.with_pair_columns(cand, f, f, ["gray"])
     return matching.gray_verdict(wide, GRAY, 1, V.PIXELS).where("gray_diff IS NOT NULL").select(
@@ -208,7 +208,7 @@ SELECT src, dst, round(CASE WHEN n IS NULL OR f < n THEN f ELSE n END / 16384::D
  (CASE WHEN n IS NULL OR f < n THEN 1 ELSE 0 END)::INT AS flags
 FROM v WHERE n IS NOT NULL OR f IS NOT NULL""")
 def _flip(spark, sf):
-    f = cut_lineage(B.with_quarters(V.features_vec(spark, sf), V.SIDE), "features")
+    f = cut_lineage(B.with_sums(V.features_vec(spark, sf), V.SIDE), "features")
     normal = matching.class_pairs(f, FLIP, 1, V.SIDE)
     mirrored = matching.class_pairs(f, FLIP, 1, V.SIDE, left=matching.flipped(f, 1, V.SIDE))
     return out_edges(matching.better_orientation(normal, mirrored))
