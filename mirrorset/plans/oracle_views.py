@@ -92,7 +92,8 @@ EMB = """emb AS (SELECT vec_id * 3 + c AS file_id, vec_id, c AS copy, (60 + vec_
  GROUP BY vec_id, c)"""
 
 ITEMS = """items AS (
- SELECT l_orderkey AS group_id, l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS item_id,
+ SELECT l_orderkey AS group_id, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 5000
+   + (l_shipdate::DATE - DATE '1970-01-01') % 5000 AS item_id,
   '/lib/s'||(l_suppkey % 50)||'/o'||l_orderkey||'_'||l_partkey||'_'||l_suppkey||'_'||l_linenumber||
    CASE WHEN l_orderkey % 5 = 0 THEN '.png' ELSE '.mp4' END AS path,
   '/lib/s'||(l_suppkey % 50) AS folder, l_orderkey % 5 = 0 AS is_image,

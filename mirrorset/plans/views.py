@@ -173,7 +173,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows: one group per order, one item per order line."""
     return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey AS group_id",
-        "l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS item_id",
+        "(l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 5000 "
+        "+ unix_date(cast(l_shipdate AS date)) % 5000 AS item_id",
         "concat('/lib/s', l_suppkey % 50, '/o', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', "
         "l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN '.png' ELSE '.mp4' END) AS path",
         "concat('/lib/s', l_suppkey % 50) AS folder",
