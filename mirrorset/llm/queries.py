@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import near_copies
+from mirrorset.llm import host_rules, mixing, near_copies
 from mirrorset.llm.common import documents
 
 QUERIES: dict = {}
@@ -20,3 +20,14 @@ def query(fn):
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(documents(spark, sf_dir)).select(
         "doc_id", near_copies.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.quality_verdicts(documents(spark, sf_dir)).select(
+        "doc_id", *host_rules.FACTS, "base_failed", "kept")
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
