@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import host_rules, mixing, near_copies
+from mirrorset.llm import host_rules, mixing, near_copies, token_files
 from mirrorset.llm.common import documents
+from mirrorset.runtime import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +33,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
