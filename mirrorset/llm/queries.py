@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import host_rules, mixing, near_copies, token_files
+from mirrorset.llm import fingerprints, host_rules, mixing, near_copies, token_files
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -40,3 +40,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
