@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import fingerprints, host_rules, mixing, near_copies, token_files
+from mirrorset.llm import fingerprints, host_rules, lm_scores, mixing, near_copies, token_files
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -45,3 +45,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
+@query
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_texts(documents(spark, sf_dir))
