@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import fingerprints, host_rules, lm_scores, mixing, near_copies, token_files
+from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, quality, token_files
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -50,3 +50,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score_texts(documents(spark, sf_dir))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(documents(spark, sf_dir))
