@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, quality, token_files
+from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, quality, surrogates, token_files
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -60,3 +60,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(documents(spark, sf_dir))
+
+
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they decode to."""
+    return pieces.encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+
+
+@query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate_texts(documents(spark, sf_dir))
