@@ -38,6 +38,15 @@ def range_bounds(df: DataFrame, col: str, parts: int) -> list:
     return sorted(set(found or []))
 
 
+def hash_sample(h: Column, rows: int, wanted: int) -> Column:
+    """True on about 0.9 x ``wanted`` of ``rows`` rows, by a 64-bit hash; on all where there are no more than that.
+
+    A limit of ``wanted`` behind it bounds the sample for certain without being what picks the rows.
+    """
+    share = 0.9 * wanted / rows if rows else 1.0
+    return F.lit(True) if share >= 0.9 else h < F.lit(int(-(1 << 63) + share * (1 << 64)))
+
+
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str = "n") -> DataFrame:
     """Add one facts row per key to every row (both keys never null).
 
@@ -55,5 +64,5 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str = "n") ->
     return cold.unionByName(rows.where(F.col(key).isin(hot_keys)).join(F.broadcast(hot), key))
 
 
-__all__ = ["cut_lineage", "documents", "id_remainder", "join_facts", "partitions_for", "range_bounds",
+__all__ = ["cut_lineage", "documents", "hash_sample", "id_remainder", "join_facts", "partitions_for", "range_bounds",
            "shuffle_partitions"]

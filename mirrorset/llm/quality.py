@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import mix, text_blocks, words
-from mirrorset.llm.common import cut_lineage, id_remainder
+from mirrorset.llm.common import cut_lineage, hash_sample, id_remainder
 
 WORD_SLOTS, SHAPE_SLOTS, DIM, SPARSE, REACH = 1 << 14, 1 << 11, 32, 2, 2
 TERMS = WORD_SLOTS + SHAPE_SLOTS
@@ -173,8 +173,9 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     Without labels of both kinds every score is the rate of label 1 (0.5 without any label).
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("y"))
-    sample = features.where(~F.col("held_out")).join(known, "doc_id").select(
-        F.xxhash64("doc_id").alias("h"), "doc_id", "features", "y").orderBy("h", "doc_id", "features", "y").limit(SAMPLE_ROWS).collect()
+    rows = features.where(~F.col("held_out")).join(known, "doc_id")
+    picked = hash_sample(F.xxhash64("doc_id", "features"), rows.count(), SAMPLE_ROWS)
+    sample = sorted(rows.where(picked).select("doc_id", "features", "y").limit(SAMPLE_ROWS).collect())
     y = np.array([r["y"] for r in sample])
     if len(set(y.tolist())) < 2:
         rate = float(y[0]) if len(y) else 0.5

@@ -27,18 +27,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorset.llm.common import partitions_for, range_bounds
+from mirrorset.llm.common import hash_sample, partitions_for, range_bounds
 from mirrorset.operators.grouping import running_sum
 
 MAGIC, VERSION = b"MTOK", 1
 _HEAD = struct.Struct("<4sHBBQQ")
 SHARD_BYTES = 4 << 20
 ROWS_PER_PART = 8192
-#: The dictionary is trained on at most so many documents, by hash of the id, and so many characters of each.
+#: The dictionary is trained on at most so many documents, picked by hash, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
 #: Encoded words that a worker keeps for reuse; more only costs time, never results.
-_CACHE_WORDS = 400_000
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+_CACHE_WORDS = 300_000
+_RUN_WORDS, _RUNS = 64, 256
+_UNEVEN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -46,36 +47,60 @@ class WordEncoder:
     """Byte-level BPE ids of whole texts, encoding each distinct word once.
 
     The pre-tokenizer never joins a word with the single space before it to what stands earlier, so a
-    text may be cut before any single space between two non-spaces without a change to its ids.
+    text may be cut before any single space between two non-spaces without a change to its ids. New
+    words are encoded in runs, which the lengths of the pieces cut again.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.inner: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = id_type(size)
+        letters = set(pre_tokenizers.ByteLevel.alphabet())
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.width = np.array([len(n) if set(n) <= letters else len(n.encode()) for n in names], np.int64)
+        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words behind a space. A stop or comma right after a letter is always a piece of its own."""
+        tailed = [w for w in words if w[-1:] in self.tails and w[-2:-1].isalpha()]
+        new = list((words.difference(tailed) | {w[:-1] for w in tailed}).difference(self.known))
+        runs = [new[a:a + _RUN_WORDS] for a in range(0, len(new), _RUN_WORDS)]
+        for a in range(0, len(runs), _RUNS):
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs[a:a + _RUNS]], add_special_tokens=False)
+            part = [w for r in runs[a:a + _RUNS] for w in r]
+            ids = np.array([i for e in found for i in e.ids], np.int64)
+            ends = np.cumsum(self.width[ids])
+            want = np.cumsum([len(w.encode()) + 1 for w in part])
+            cut = np.searchsorted(ends, want) + 1
+            if not np.array_equal(ends[cut - 1], want):
+                raise ValueError("a piece crosses two words")
+            raw, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            at = [0, *(cut * k).tolist()]
+            self.known.update(zip(part, [raw[i:j] for i, j in zip(at, at[1:])]))
+        self.known.update([(w, self.known[w[:-1]] + self.tails[w[-1]]) for w in tailed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows, odd = [], []
+        rows = []
         for text in texts:
-            if _UNEVEN.search(text):
+            if text and (text[0].isspace() or text[-1].isspace() or _UNEVEN.search(text)):
                 first, *rest = _CUT.split(text)
                 rows.append([first, *[u[1:] for u in rest]])
             else:
                 rows.append(text.split(" "))
-            odd.append(rows[-1][0])
-        known = self.inner
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*[r[1:] for r in rows]).difference(known))
-        known.update(zip(new, self._encode([" " + w for w in new])))
-        get = known.__getitem__
-        return [head + b"".join(map(get, row[1:])) for head, row in zip(self._encode(odd), rows)]
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        self._learn(set().union(*[r[1:] for r in rows]).difference(self.known))
+        heads = self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)
+        get = self.known.__getitem__
+        return [np.array(h.ids, self.dtype).tobytes() + b"".join(map(get, row[1:])) for h, row in zip(heads, rows)]
+
+
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -96,12 +121,11 @@ def _codec(data: bytes):
     return (zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False), zstandard.ZstdDecompressor(dict_data=d))
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int | None) -> bytes:
+def train_dictionary(docs: DataFrame, n_docs: int, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
     """Dictionary bytes; plain content of the sample where it is too small to train on, empty without text."""
-    sample = docs.where(F.length(text_col) > 0).select(
-        F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    enc = encoder(tokenizer_path)
-    arrays = enc.encode([r["t"] for r in sample]) if sample else []
+    picked = hash_sample(F.xxhash64(id_col, text_col), n_docs, SAMPLE_DOCS)
+    sample = docs.where((F.length(text_col) > 0) & picked).select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect()
+    arrays = encoder(tokenizer_path).encode(sorted(r["t"] for r in sample)) if sample else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -149,11 +173,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    dictionary = train_dictionary(rows, tokenizer_path, "doc_id", "text", end_id)
+    n_docs, width = rows.count(), encoder(tokenizer_path).dtype.itemsize
+    dictionary = train_dictionary(rows, n_docs, tokenizer_path, "doc_id", "text")
     digest = dictionary_hash(dictionary)
     spark.createDataFrame([(f"{digest:016x}", bytearray(dictionary), tokenizer_path)], "hash string, dictionary binary, tokenizer string") \
         .write.parquet(f"{path}/dictionary")
-    parts = partitions_for(spark, rows.count(), ROWS_PER_PART)
+    parts = partitions_for(spark, n_docs, ROWS_PER_PART)
     bounds = np.array(range_bounds(rows, "doc_id", parts), np.int64)
 
     def encode(batches):
@@ -171,7 +196,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
                      pa.array([shrink.compress(x) for x in arrays], pa.binary())], ["shard", "doc_id", "n", "h", "frame"])
 
     def assemble(batches):
-        width = encoder(tokenizer_path).dtype.itemsize
         shard, part, ids, frames, total, held = None, 0, [], [], 0, 0
 
         def flush():
