@@ -32,7 +32,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray):
     """(hash, document, weight) of the distinct terms of every document."""
     h, _, _, doc = words(data, offsets, fold=True)
     if not len(h):
-        return h, doc, np.empty(0, np.float32)
+        return h, doc, np.empty(0, np.int32)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     with np.errstate(over="ignore"):
         pair = mix(h[:-1] * _STEP + h[1:])
@@ -43,7 +43,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray):
     own, first, times = np.unique(term ^ mix(owner.astype(np.uint64) + _STEP), return_index=True, return_counts=True)
     order = np.argsort(owner[first], kind="stable")
     first, times = first[order], times[order]
-    return term[first], owner[first], (1 + np.log(times)).astype(np.float32)
+    return term[first], owner[first], np.round(256 * (1 + np.log(times))).astype(np.int32)
 
 
 def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -52,9 +52,10 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     h, doc, weight = _terms(data, offsets)
     if len(h):
         filled, first = np.unique(doc, return_index=True)
-        vote = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        vote -= np.float32(0.5)
-        vote *= weight[:, None]
+        vote = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        vote *= 2
+        vote -= 1
+        vote *= weight[:, None]  # whole numbers, so that the order of terms does not matter
         won = np.packbits(np.add.reduceat(vote, first, axis=0) > 0, axis=1, bitorder="little")
         out[filled] = np.ascontiguousarray(won).view(np.uint64)[:, 0]
     return out
