@@ -22,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.llm.arrays import mix, text_blocks, words
+from mirrorset.llm.arrays import blocks, mix, text_blocks, utf8, words
 from mirrorset.llm.common import cut_lineage, id_remainder, partitions_for
 
 CHUNK_TOKENS = 1_500_000
-KEYS_PER_RANGE = 2_000_000
+KEYS_PER_RANGE = 1_500_000
 PAIR_BITS = 40
 #: Resolution of the held-out table that the weights are learned on: steps per factor of ten.
 STEPS = 50
@@ -84,7 +84,7 @@ def _chunk_batches(batches):
             "numbers": pa.array([_squeeze(number.astype(np.uint32))])})
 
     count = {0: 0, 1: 0}
-    for batch in batches:
+    for batch in (b.slice(first, last - first) for b in batches for first, last in blocks(utf8(b.column("text"))[1])):
         h, size = _tokens(batch.column("text"))
         role = batch.column("role").to_numpy()
         own = np.repeat(role == DELETED, size)
