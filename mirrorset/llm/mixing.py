@@ -98,7 +98,9 @@ def route(capacity: list[int], members: list[list[int]], quotas: list[int], leve
 
 
 def _order(id_col: str, text_col: str, seed: int):
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    """Seeded order of rows: half of an md5, which SQL has as well."""
+    parts = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))]
+    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16)
 
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = MAX_REPEATS, seed: int = SEED):
@@ -121,7 +123,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = MAX_REPEATS, se
     targets = capped_targets([x * scale for x in held], wanted, cap) if total else [0.0] * len(names)
     at = {s: i for i, s in enumerate(names)}
     flow = route([r["t"] for r in patterns], [[at[s] for s in r["members"]] for r in patterns],
-                 [round(x) for x in targets], int(cap))
+                 [int(x + 0.5) for x in targets], int(cap))
     rows = []
     for row, given in zip(patterns, flow):
         full, rest = divmod(sum(given.values()), row["t"]) if row["t"] else (0, 0)

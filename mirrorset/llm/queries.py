@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, quality, surrogates, token_files
 from mirrorset.llm.common import documents
@@ -18,6 +19,10 @@ def query(fn):
     return fn
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
 @query
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(documents(spark, sf_dir)).select(
@@ -30,9 +35,52 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *host_rules.FACTS, "base_failed", "kept")
 
 
+sql("op9_host_rules", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(words) - 6)) AS t(i)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(0, 8) AS t(j) GROUP BY r),
+lines AS (SELECT r, l FROM d, unnest(string_split(text, chr(10))) AS t(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+f AS (SELECT w.doc_id, w.source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN cov USING (r) LEFT JOIN dup USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM b GROUP BY source),
+s AS (SELECT sum(n) AS t, sum(failed) / sum(n) AS m, count(*) AS hosts, sum(failed * failed / n) AS square FROM h),
+v AS (SELECT t, m, CASE WHEN m * (1 - m) > 0 THEN (square - t * m * m - (hosts - 1) * m * (1 - m)) / t ELSE 0 END AS spread FROM s),
+p AS (SELECT m, CASE WHEN spread > 0 THEN least(t, greatest(m * (1 - m) / spread - 1, 1)) ELSE t END AS k FROM v),
+e AS (SELECT source, n + k AS size, (failed + m * k) / (n + k) AS rate FROM h, p),
+bad AS (SELECT source FROM e WHERE rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept
+FROM b
+""")
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+sql("op3_mix_sources", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        left(md5(concat('20240229|', coalesce(doc_id::VARCHAR, ''), '|', coalesce(text, ''))), 16) AS h FROM documents),
+g AS (SELECT source, sum(size)::DOUBLE AS size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),
+q AS (SELECT source, size, CASE (rk - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS wt FROM g),
+o AS (SELECT *, 3 * size / wt AS ratio, row_number() OVER (ORDER BY 3 * size / wt, source NULLS LAST) AS k FROM q),
+c AS (SELECT *, (sum(size) OVER () - coalesce(3 * sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(wt) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+l AS (SELECT level, k FROM c WHERE level <= ratio ORDER BY k LIMIT 1),
+t AS (SELECT source, size, CASE WHEN c.k < l.k THEN 3 * size ELSE l.level * wt END AS target FROM c, l),
+f AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * size::BIGINT) AS flow FROM t),
+x AS (SELECT d.*, f.size::BIGINT AS source_size, f.target, f.flow // greatest(f.size::BIGINT, 1) AS full_, f.flow % greatest(f.size::BIGINT, 1) AS rest,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id) AS upto FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  (size * (full_ + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+""")
 
 
 @query
