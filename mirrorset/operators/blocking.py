@@ -249,11 +249,12 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], payload: list
     return side(left, True).unionByName(side(right, False)).groupBy(*keys, "_lb", "_rb").applyInPandas(run, schema)
 
 
-def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: MatchConfig, k: int) -> DataFrame:
+def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: MatchConfig, k: int,
+                    ordered: bool = True) -> DataFrame:
     """(src, dst, ai_sim): duration-compatible pairs whose mean cosine reaches the threshold.
 
     Candidates are the duration bands; each pair of blocks is one integer matrix product per
-    position. ``emb``: file_id, pos_idx, q, bright; at most k rows per file.
+    position. ``emb``: file_id, pos_idx, q, bright; at most k rows per file. ``ordered`` keeps src < dst only.
     """
     import numpy as np
     import pandas as pd
@@ -288,7 +289,9 @@ def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: Matc
         ia, ib = a["file_id"].to_numpy(), b["file_id"].to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = total / count
-        keep = (count >= need) & (mean >= limit) & (ia[:, None] < ib[None, :])
+        keep = (count >= need) & (mean >= limit)
+        if ordered:
+            keep &= ia[:, None] < ib[None, :]
         da, db, video = a["duration_s"].to_numpy(), b["duration_s"].to_numpy(), ~a["is_image"].to_numpy(dtype=bool)
         ta, tb = (np.array([cfg.tolerance(v) for v in d]) for d in (da, db))
         gate = np.abs(da[:, None] - db[None, :]) <= np.minimum(ta[:, None], tb[None, :])

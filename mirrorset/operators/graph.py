@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.operators.grouping import attach
-from mirrorset.runtime import cut_lineage
+from mirrorset.operators.grouping import attach, numbered
+from mirrorset.runtime import cut_lineage, forget
 
 
 def _signature(links: DataFrame):
@@ -19,19 +15,19 @@ def _signature(links: DataFrame):
                      F.bit_xor(F.xxhash64("v", "u"))).first()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(file_id, group_id) with group_id the smallest member, by alternating star contraction.
 
     Each round ties every larger neighbour to the smallest one it can see (large star), then
     every smaller-or-equal neighbour to the smallest (small star). Minima are aggregated with
     partial aggregation, so a hub costs no more than its edges. Rounds grow with the logarithm
-    of the component size; each result is stored.
+    of the component size; each result is stored and the one before it deleted.
     """
     links = cut_lineage(edges.select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .where("u <> v").distinct(), "links")
     previous = _signature(links)
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
@@ -40,12 +36,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = cut_lineage(small, "star")
+        forget(links)
         links, sign = after, _signature(after)
         if sign == previous:
             break
         previous = sign
-    else:
-        raise RuntimeError("components did not converge")
     members = links.select(F.col("u").alias("file_id"), F.col("v").alias("group_id"))
     return members.unionByName(members.select(F.col("group_id").alias("file_id"), "group_id").distinct())
 
@@ -65,7 +60,7 @@ def _pivot_round(free: DataFrame) -> DataFrame:
     return taken.unionByName(pivots.select(F.col("u").alias("rep"), F.col("u").alias("parent")))
 
 
-def merge_groups(edges: DataFrame, verdict, max_rounds: int = 200) -> DataFrame:
+def merge_groups(edges: DataFrame, verdict) -> DataFrame:
     """(file_id, group_id, rep): groups grown from pairs under the representative check.
 
     ``edges`` has src, dst. ``verdict(pairs)`` keeps the (src, dst) rows whose visual verdict
@@ -81,24 +76,25 @@ def merge_groups(edges: DataFrame, verdict, max_rounds: int = 200) -> DataFrame:
     live = cut_lineage(edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
                        .where("u <> v").distinct(), "live")
     first = True
-    for _ in range(max_rounds):
+    while True:
         if not first:
-            kept = verdict(live.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+            kept = verdict(lifted.select(F.col("u").alias("src"), F.col("v").alias("dst")))
             live = cut_lineage(kept.select(F.col("src").alias("u"), F.col("dst").alias("v")), "kept")
+            forget(*spent)
         if live.isEmpty():
             break
         first = False
         moved = cut_lineage(_pivot_round(live), "moved")
-        owner = cut_lineage(owner.join(moved, "rep", "left").select(
+        before, owner = owner, cut_lineage(owner.join(moved, "rep", "left").select(
             "file_id", F.coalesce("parent", "rep").alias("rep")), "owner")
+        forget(before)
         mu = moved.select(F.col("rep").alias("u"), F.col("parent").alias("pu"))
         mv = moved.select(F.col("rep").alias("v"), F.col("parent").alias("pv"))
         lifted = live.join(mu, "u", "left").join(mv, "v", "left").select(
             F.coalesce("pu", "u").alias("x"), F.coalesce("pv", "v").alias("y"))
-        live = lifted.where("x <> y").select(
+        spent = (live, moved)
+        lifted = lifted.where("x <> y").select(
             F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    else:
-        raise RuntimeError("representative merging did not converge")
     return attach(owner, "rep", F.min("file_id").alias("group_id"), F.count(F.lit(1)).alias("_n")) \
         .where("_n > 1").select("file_id", "group_id", "rep")
 
@@ -130,118 +126,90 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("file_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def component_pairs(groups: DataFrame, max_members: int) -> DataFrame:
-    """(group_id, src, dst) of groups with 3..max_members members, for re-validation.
+def _sizes_and_degrees(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with degree, and their group's size n and least degree d."""
+    both = edges.select("group_id", F.col("src").alias("file_id")).unionByName(
+        edges.select("group_id", F.col("dst").alias("file_id")))
+    deg = both.groupBy("group_id", "file_id").agg(F.count(F.lit(1)).alias("degree"))
+    checked = members.join(deg, ["group_id", "file_id"], "left").fillna(0, ["degree"])
+    return attach(cut_lineage(checked, "degrees"), "group_id", F.count(F.lit(1)).alias("n"), F.min("degree").alias("d"))
+
+
+def _inside(edges: DataFrame, members: DataFrame) -> DataFrame:
+    m = members.select("group_id", "file_id")
+    return edges.join(m.withColumnRenamed("file_id", "src"), ["group_id", "src"], "left_semi") \
+        .join(m.withColumnRenamed("file_id", "dst"), ["group_id", "dst"], "left_semi").select("group_id", "src", "dst")
 
-    Larger groups are kept as found, as the pair budget of the validation demands; the number
-    of pairs per group is therefore bounded by max_members squared.
+
+def _leaving(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members that leave in this round.
+
+    One by one, the member of least degree (smallest id on ties) leaves while that degree is under
+    half of the group. Candidates go together in id order up to the first one whose leaving could bring
+    another member before the next candidate, so every round equals a run of single steps.
     """
-    sized = attach(groups.select("file_id", "group_id"), "group_id", F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n").between(3, max_members))
-    a = sized.select("group_id", F.col("file_id").alias("src"))
-    b = sized.select("group_id", F.col("file_id").alias("dst"))
-    return a.join(b, "group_id").where("src < dst")
-
-
-def _prune_once(order: list[int], adj: dict[int, set[int]]) -> tuple[list[int], list[int]]:
-    """Drop the least connected node (first in order on ties) while under half of the rest."""
-    rank = {n: i for i, n in enumerate(order)}
-    alive = set(order)
-    degree = {n: len(adj[n] & alive) for n in order}
-    heap = [(degree[n], rank[n], n) for n in order]
-    heapq.heapify(heap)
-    dropped = []
-    while len(alive) >= 2 and heap:
-        d, _, n = heap[0]
-        if n not in alive or d != degree[n]:
-            heapq.heappop(heap)
-            continue
-        if d >= len(alive) // 2:
+    low = numbered(state.where("degree = d").select("group_id", "file_id", "n", "d"), ["group_id"], [F.col("file_id")], "rank")
+    low = cut_lineage(low, "candidates")
+    first = low.select("group_id", F.col("file_id").alias("v"), "rank", "d")
+    ends = edges.select("group_id", F.col("src").alias("v"), F.col("dst").alias("u")).unionByName(
+        edges.select("group_id", F.col("dst").alias("v"), F.col("src").alias("u")))
+    near = ends.join(first, ["group_id", "v"]).join(
+        state.select("group_id", F.col("file_id").alias("u"), "degree"), ["group_id", "u"])
+    counted = numbered(near.select("group_id", "u", "rank", "d", "degree"), ["group_id", "u"], [F.col("rank")], "lost")
+    stop = counted.where(F.col("lost") == F.greatest(F.lit(1), F.col("degree") - F.col("d"))) \
+        .groupBy("group_id").agg(F.min("rank").alias("stop"))
+    return low.join(stop, "group_id", "left").where(
+        "(stop IS NULL OR rank <= stop) AND d < (n - rank + 1) div 2 AND n - rank + 1 >= 2").select("group_id", "file_id")
+
+
+def prune_weak(groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) members (group_id, file_id) after members similar to under half of the rest left."""
+    kept, dropped = [], []
+    members = cut_lineage(groups.select("group_id", "file_id"), "members")
+    edges = cut_lineage(_inside(edges, members), "similar")
+    while True:
+        state = cut_lineage(_sizes_and_degrees(members, edges), "state")
+        weak = F.expr("n >= 2 AND d < n div 2")
+        kept.append(state.where(~weak).select("group_id", "file_id"))
+        state = state.where(weak)
+        if state.isEmpty():
             break
-        heapq.heappop(heap)
-        alive.discard(n)
-        dropped.append(n)
-        for m in adj[n] & alive:
-            degree[m] -= 1
-            heapq.heappush(heap, (degree[m], rank[m], m))
-    return [n for n in order if n in alive], dropped
-
-
-def _clusters(nodes: list[int], adj: dict[int, set[int]]):
-    pool, seen = set(nodes), set()
-    for seed in nodes:
-        if seed in seen:
-            continue
-        seen.add(seed)
-        part, queue = [], [seed]
-        while queue:
-            cur = queue.pop(0)
-            part.append(cur)
-            for nxt in nodes:
-                if nxt in pool and nxt not in seen and nxt in adj[cur]:
-                    seen.add(nxt)
-                    queue.append(nxt)
-        yield part
-
-
-def prune_component(src: np.ndarray, dst: np.ndarray, nodes: np.ndarray) -> dict[int, int | None]:
-    """file -> new group (its smallest member), or None when it fits nowhere."""
-    order = sorted(int(n) for n in nodes)
-    adj: dict[int, set[int]] = {n: set() for n in order}
-    for a, b in zip(src.tolist(), dst.tolist()):
-        adj[a].add(b)
-        adj[b].add(a)
-    kept, dropped = _prune_once(order, adj)
-    result: dict[int, int | None] = {n: None for n in order}
-
-    def accept(part: list[int]) -> None:
-        if len(part) >= 2:
-            for n in part:
-                result[n] = min(part)
-
-    accept(kept)
-    for part in _clusters(dropped, adj):
-        if len(part) >= 2:
-            accept(_prune_once(part, adj)[0])
-    return result
-
-
-def majority_prune(groups: DataFrame, verdict_edges: DataFrame, max_members: int = 4096) -> DataFrame:
-    """(file_id, group_id, old_group, skipped): split groups whose members do not hang together.
+        gone = cut_lineage(_leaving(state, edges), "leaving")
+        dropped.append(gone)
+        left = cut_lineage(state.select("group_id", "file_id").join(gone, ["group_id", "file_id"], "left_anti"), "members")
+        alive = cut_lineage(_inside(edges, left), "similar")
+        forget(members, edges)
+        members, edges = left, alive
+    whole, lost = kept[0], members.where(F.lit(False))
+    for k in kept[1:]:
+        whole = whole.unionByName(k)
+    for d in dropped:
+        lost = lost.unionByName(d)
+    return whole, cut_lineage(lost, "dropped")
+
+
+def majority_prune(groups: DataFrame, verdict_edges: DataFrame) -> DataFrame:
+    """(file_id, group_id, old_group): split groups of any size whose members do not hang together.
 
     groups: file_id, group_id. verdict_edges: group_id, src, dst of similar member pairs.
-    A member similar to fewer than half of the others leaves; leavers regroup among themselves.
-    Groups over the pair budget are kept as found and marked skipped. Groups that cannot lose a
-    member (every degree is high enough) are settled by the degree aggregate alone; only the
-    remaining bounded ones reach a Python task, as (node, node) rows without features.
+    A member similar to fewer than half of the others leaves; leavers that are linked among themselves
+    form groups again, which are pruned once by the same rule. Whoever is left alone is dropped.
+    All steps are joins and aggregates over all groups at once.
     """
-    members = attach(groups.select("file_id", "group_id"), "group_id", F.count(F.lit(1)).alias("n"))
-    deg = verdict_edges.select("group_id", F.col("src").alias("file_id")).unionByName(
-        verdict_edges.select("group_id", F.col("dst").alias("file_id"))) \
-        .groupBy("group_id", "file_id").agg(F.count(F.lit(1)).alias("degree"))
-    checked = members.join(deg, ["group_id", "file_id"], "left").fillna(0, ["degree"])
-    weak = checked.where("n >= 3 AND degree < n div 2").select("group_id").distinct()
-    small = weak.join(members.where(F.col("n") <= max_members).select("group_id").distinct(), "group_id")
-
-    nodes = members.join(small, "group_id", "left_semi").select(
-        "group_id", F.col("file_id").alias("src"), F.lit(None).cast("bigint").alias("dst"))
-    pairs = verdict_edges.join(small, "group_id", "left_semi").select("group_id", "src", "dst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edge = pdf[pdf["dst"].notna()]
-        only = pdf[pdf["dst"].isna()]
-        new = prune_component(edge["src"].to_numpy(np.int64), edge["dst"].to_numpy(np.int64),
-                              only["src"].to_numpy(np.int64))
-        rows = [(f, g, int(pdf["group_id"].iloc[0])) for f, g in new.items() if g is not None]
-        return pd.DataFrame(rows, columns=["file_id", "group_id", "old_group"])
-
-    split = nodes.unionByName(pairs).groupBy("group_id").applyInPandas(
-        run, "file_id bigint, group_id bigint, old_group bigint") \
-        .withColumn("skipped", F.lit(False))
-    whole = members.join(small, "group_id", "left_anti").select(
-        "file_id", "group_id", F.col("group_id").alias("old_group"),
-        (F.col("n") > max_members).alias("skipped"))
-    return whole.unionByName(split)
+    kept, dropped = prune_weak(groups, verdict_edges)
+    kept = cut_lineage(kept, "kept")
+    settled = attach(kept, "group_id", F.min("file_id").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1") \
+        .select("file_id", F.col("new").alias("group_id"), F.col("group_id").alias("old_group"))
+    again = cut_lineage(_inside(verdict_edges, dropped), "similar")
+    if again.isEmpty():
+        return settled
+    parts = cut_lineage(components(again), "leavers")
+    own = parts.select(F.col("file_id").alias("src"), F.col("group_id").alias("part"))
+    inner = again.join(own, "src").select(F.col("part").alias("group_id"), "src", "dst")
+    second = cut_lineage(prune_weak(parts, inner)[0], "kept")
+    renewed = attach(second, "group_id", F.min("file_id").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1") \
+        .join(dropped.withColumnRenamed("group_id", "old_group"), "file_id").select("file_id", F.col("new").alias("group_id"), "old_group")
+    return settled.unionByName(renewed)
 
 
 def group_stats(groups: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mirrorset.config import MatchConfig
 from mirrorset.functions import vectors
-from mirrorset.functions.frames import flip_rows, masked_mean_batch, median_bits, sad_batch
+from mirrorset.functions.frames import flip_rows, masked_mean_batch, phash_batch, sad_batch
 from mirrorset.functions.paths import folder_suffix
 from mirrorset.operators import blocking as B
 from mirrorset.runtime import cut_lineage
@@ -83,48 +83,56 @@ def ai_similarity(pairs: DataFrame, emb: DataFrame, k: int) -> DataFrame:
         .where(F.col("n") >= need).drop("n")
 
 
-def flipped(features: DataFrame, k: int, side: int) -> DataFrame:
-    """Mirrored frames (all positions) and their hashes."""
-    n = side * side
-    frame = lambda p: F.slice("gray", p * n + 1, n)
-    parts = [flip_rows(frame(p), side) for p in range(k)]
+def flipped(features: DataFrame, k: int, side: int, frame_hash=None) -> DataFrame:
+    """Mirrored frames (all positions) and their hashes.
+
+    ``frame_hash`` is the hash that made the table's ``phashes``, a function of a frame column; by
+    default the cosine-transform hash.
+    """
+    n, frame_hash = side * side, frame_hash or phash_batch()
+    parts = [flip_rows(F.slice("gray", p * n + 1, n), side) for p in range(k)]
     out = features.withColumn("_parts", F.array(*parts)).withColumn("gray", F.flatten("_parts"))
-    hashed = F.transform("_parts", median_bits) if n == 64 else None
-    if hashed is None:
-        from mirrorset.functions.frames import phash_batch
-        out = out.withColumn("phashes", F.array(*[phash_batch()(F.get("_parts", F.lit(p)))
-                                                  for p in range(k)]))
-    else:
-        out = out.withColumn("phashes", hashed)
-    return out.drop("_parts", *B.SUMS)
+    return out.withColumn("phashes", F.array(*[frame_hash(F.get("_parts", F.lit(p))) for p in range(k)])) \
+        .drop("_parts", *B.SUMS)
 
 
 # --- classes of equal features ----------------------------------------------------------------
 
-def with_class(features: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Adds ``class_key`` (equal features, type, duration, folder key) and ``unit_key``.
+def _digest(columns: list[Column]) -> Column:
+    """128-bit key of several columns; nulls and null elements count as values of their own."""
+    seen = [c.isNull().cast("int") for c in columns]
+    return F.concat(*[F.hex(F.xxhash64(F.lit(i), *columns, *seen)) for i in (1, 2)])
+
+
+def _embedding_keys(emb: DataFrame) -> DataFrame:
+    """(file_id, emb_key): equal for files with equal usable embeddings."""
+    usable = emb.where("bright AND q IS NOT NULL")
+    return usable.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(
+        "pos_idx", _digest([F.col("q")]).alias("d")))).alias("_e")).select("file_id", F.to_json("_e").alias("emb_key"))
+
+
+def with_class(features: DataFrame, cfg: MatchConfig, emb: DataFrame | None = None) -> DataFrame:
+    """Adds ``class_key`` (equal features, type, duration, folder key, embeddings) and ``unit_key``.
 
     Members of one unit never match each other: same folder in different-folder mode, same
     hard-linked file when hard links are excluded.
     """
-    parts = [F.col("is_image").cast("string"), F.col("duration_s").cast("string"),
-             F.array_join("gray", ","), F.array_join("phashes", ",")]
-    if "q" in features.columns:
-        parts.append(F.array_join("q", ","))
+    known = F.transform("phashes", lambda x: x.isNull().cast("int"))
+    parts = [F.col("is_image"), F.col("duration_s"), F.col("gray"), F.col("phashes"), known]
+    if cfg.use_ai and emb is not None:
+        features = features.drop("emb_key").join(_embedding_keys(emb), "file_id", "left")
+        parts.append(F.col("emb_key"))
     if cfg.folder_mode == "same":
         parts.append(folder_suffix("folder", cfg.folder_depth))
-    unit = []
-    if cfg.folder_mode == "different":
-        unit.append(folder_suffix("folder", cfg.folder_depth))
-    if cfg.exclude_hardlinks:
-        unit.append(F.concat_ws(":", "size", "dev", "inode"))
-    return features.withColumn("class_key", F.sha2(F.concat_ws("|", *parts), 256)) \
-        .withColumn("unit_key", F.concat_ws("|", *unit) if unit else F.lit(""))
+    folder = folder_suffix("folder", cfg.folder_depth) if cfg.folder_mode == "different" else F.lit("")
+    link = F.concat_ws(":", "size", "dev", "inode") if cfg.exclude_hardlinks else F.lit("")
+    return features.withColumn("class_key", _digest(parts)) \
+        .withColumn("unit_key", F.struct(F.coalesce(folder, F.lit("")).alias("folder"), link.alias("link"))).drop("emb_key")
 
 
-def prepare(features: DataFrame, cfg: MatchConfig, side: int) -> DataFrame:
+def prepare(features: DataFrame, cfg: MatchConfig, side: int, emb: DataFrame | None = None) -> DataFrame:
     """Store the feature table once with class keys and grid sums; all joins start from it."""
-    return cut_lineage(B.with_sums(with_class(features, cfg), side), "features")
+    return cut_lineage(B.with_sums(with_class(features, cfg, emb), side), "features")
 
 
 def class_reps(prepared: DataFrame) -> DataFrame:
@@ -133,16 +141,16 @@ def class_reps(prepared: DataFrame) -> DataFrame:
     return prepared.join(first.select("file_id"), "file_id", "left_semi")
 
 
+def _gated(cfg: MatchConfig) -> bool:
+    return cfg.folder_mode == "different" or cfg.exclude_hardlinks
+
+
 def _compatible(a: str, b: str, cfg: MatchConfig) -> Column:
     """Whether two unit keys may match: every gated part must differ."""
-    gates = (cfg.folder_mode == "different") + cfg.exclude_hardlinks
-    if gates == 0:
-        return F.lit(True)
-    if gates == 1:
-        return F.col(a) != F.col(b)
     ok = F.lit(True)
-    for i in (1, -1):
-        ok = ok & (F.element_at(F.split(a, r"\|"), i) != F.element_at(F.split(b, r"\|"), i))
+    for part, on in (("folder", cfg.folder_mode == "different"), ("link", cfg.exclude_hardlinks)):
+        if on:
+            ok = ok & (F.col(f"{a}.{part}") != F.col(f"{b}.{part}"))
     return ok
 
 
@@ -150,15 +158,15 @@ def class_stars(members: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFr
     """(classes, star edges). ``members``: file_id, class_key, unit_key.
 
     classes: class_key, r1, u1, r2, u2, where r1 is the smallest member and r2 the smallest one
-    r1 may match (null if none). Star edges tie every member to one it may match.
+    r1 may match (null if none). Star edges (class_key, src, dst) tie every member to one it may match.
     """
     units = members.groupBy("class_key", "unit_key").agg(F.min("file_id").alias("first_id"))
     one = units.groupBy("class_key").agg(F.min(F.struct("first_id", "unit_key")).alias("m")) \
         .select("class_key", F.col("m.first_id").alias("r1"), F.col("m.unit_key").alias("u1"))
-    if not (cfg.folder_mode == "different" or cfg.exclude_hardlinks):
-        classes = one.withColumn("r2", F.lit(None).cast("bigint")).withColumn("u2", F.lit(None).cast("string"))
+    if not _gated(cfg):
+        classes = one.withColumn("r2", F.lit(None).cast("bigint")).withColumn("u2", F.when(F.lit(False), F.col("u1")))
         stars = members.join(one, "class_key").where(F.col("file_id") != F.col("r1")) \
-            .select(F.col("r1").alias("src"), F.col("file_id").alias("dst"))
+            .select("class_key", F.col("r1").alias("src"), F.col("file_id").alias("dst"))
         return classes, stars
     two = units.join(one, "class_key").where(_compatible("unit_key", "u1", cfg)) \
         .groupBy("class_key").agg(F.min(F.struct("first_id", "unit_key")).alias("m")) \
@@ -167,18 +175,39 @@ def class_stars(members: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFr
     tied = members.join(classes, "class_key").where(F.col("file_id") != F.col("r1")) \
         .withColumn("mate", F.when(_compatible("unit_key", "u1", cfg), F.col("r1")).when(
             _compatible("unit_key", "u2", cfg), F.col("r2")))
-    stars = tied.where("mate IS NOT NULL")
+    stars = tied.where("mate IS NOT NULL").select("class_key", "file_id", "mate")
     if cfg.folder_mode == "different" and cfg.exclude_hardlinks:
         # Both gates at once: a unit that may match neither r1 nor r2 looks for any other unit.
-        left = tied.where("mate IS NULL").select("file_id", "class_key", "unit_key")
+        left = tied.where("mate IS NULL").select("class_key", "unit_key").distinct()
         others = units.select("class_key", F.col("unit_key").alias("other"), "first_id")
-        rest = left.join(others, "class_key").where(_compatible("unit_key", "other", cfg)) \
-            .groupBy("file_id").agg(F.min("first_id").alias("mate"))
-        stars = stars.select("file_id", "mate").unionByName(rest)
-    return classes, stars.select(F.least("file_id", "mate").alias("src"),
+        found = left.join(others, "class_key").where(_compatible("unit_key", "other", cfg)) \
+            .groupBy("class_key", "unit_key").agg(F.min("first_id").alias("mate"))
+        rest = tied.where("mate IS NULL").drop("mate").join(found, ["class_key", "unit_key"]) \
+            .select("class_key", "file_id", "mate")
+        stars = stars.unionByName(rest)
+    return classes, stars.select("class_key", F.least("file_id", "mate").alias("src"),
                                  F.greatest("file_id", "mate").alias("dst"))
 
 
+def _self_verdict(reps: DataFrame, cfg: MatchConfig, k: int, side: int, emb: DataFrame | None) -> DataFrame:
+    """(class_key, difference, flags) of classes whose copies match each other.
+
+    A representative is compared with itself by the same rules as any pair: fully masked frames do not
+    match, and copies carry the flags of the algorithms that accept them.
+    """
+    cols = ["gray", "phashes", "is_image"]
+    own = reps.select("class_key", F.col("file_id").alias("src"), F.col("file_id").alias("dst"),
+                      *[F.col(c).alias(f"{x}_{c}") for c in cols for x in "ab"])
+    seen = classic_verdict(own, cfg, k, side * side).select("class_key", "src", "dst", "difference", "flags")
+    if cfg.use_ai and emb is not None:
+        ai = ai_similarity(own, emb, k).where(F.col("ai_sim") >= cfg.ai_threshold)
+        seen = seen.join(ai, ["src", "dst"], "left")
+        only_ai = F.col("difference").isNull() & F.col("ai_sim").isNotNull()
+        seen = seen.withColumn("flags", F.when(only_ai, MATCH_FLAGS["ai_matched"]).otherwise(F.col("flags")).cast("int")) \
+            .withColumn("difference", F.when(only_ai, 1 - F.col("ai_sim")).otherwise(F.col("difference")))
+    return seen.where("difference IS NOT NULL").select("class_key", "difference", "flags")
+
+
 def class_pairs(reps: DataFrame, cfg: MatchConfig, k: int, side: int,
                 emb: DataFrame | None = None, left: DataFrame | None = None,
                 order: Column | None = None) -> DataFrame:
@@ -202,34 +231,39 @@ def class_pairs(reps: DataFrame, cfg: MatchConfig, k: int, side: int,
         .select("src", "dst", "difference", "flags")
 
 
+def _all_pairs(reps: DataFrame, cfg: MatchConfig, k: int, side: int, emb: DataFrame | None, frame_hash=None,
+               left: DataFrame | None = None, order: Column | None = None) -> DataFrame:
+    """Class pairs by every switched-on rule: classic, else AI, with the better orientation."""
+    edges = class_pairs(reps, cfg, k, side, left=left, order=order)
+    lhs = reps if left is None else left
+    if cfg.use_ai and emb is not None:
+        ai = B.embedding_pairs(lhs, reps, emb, cfg, k, ordered=order is None).select(
+            "src", "dst", (1 - F.col("ai_sim")).alias("difference"),
+            F.lit(MATCH_FLAGS["ai_matched"]).alias("flags"))
+        edges = edges.unionByName(ai.join(edges, ["src", "dst"], "left_anti"))
+    if cfg.compare_flipped:
+        edges = better_orientation(edges, class_pairs(reps, cfg, k, side, left=flipped(lhs, k, side, frame_hash), order=order))
+    return edges
+
+
 def find_edges(features: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32,
-               emb: DataFrame | None = None) -> DataFrame:
+               emb: DataFrame | None = None, frame_hash=None) -> DataFrame:
     """Compact similarity edges (src, dst, difference, flags) of a feature table.
 
-    features: file_id, is_image, duration_s, folder, size, dev, inode, gray, phashes.
+    features: file_id, is_image, duration_s, folder, size, dev, inode, gray, phashes. ``frame_hash``: see
+    :func:`flipped`.
     """
-    tagged = prepare(features, cfg, side)
+    tagged = prepare(features, cfg, side, emb)
     classes, stars = class_stars(tagged.select("file_id", "class_key", "unit_key"), cfg)
     reps = tagged.join(classes.select(F.col("r1").alias("file_id")), "file_id", "left_semi")
-    edges = class_pairs(reps, cfg, k, side)
-    if cfg.use_ai and emb is not None:
-        ai = B.embedding_pairs(reps, reps, emb, cfg, k).select(
-            "src", "dst", (1 - F.col("ai_sim")).alias("difference"),
-            F.lit(MATCH_FLAGS["ai_matched"]).alias("flags"))
-        edges = edges.unionByName(ai.join(edges, ["src", "dst"], "left_anti"))
-    if cfg.compare_flipped:
-        edges = better_orientation(edges, class_pairs(
-            reps, cfg, k, side, left=flipped(reps, k, side)))
-    stars = stars.withColumn("difference", F.lit(0.0)).withColumn("flags", _copy_flags(cfg))
-    if not (cfg.folder_mode == "different" or cfg.exclude_hardlinks):
+    edges = _all_pairs(reps, cfg, k, side, emb, frame_hash)
+    copied = reps.join(stars.select("class_key").distinct(), "class_key", "left_semi")
+    stars = stars.join(_self_verdict(copied, cfg, k, side, emb), "class_key").select("src", "dst", "difference", "flags")
+    if not _gated(cfg):
         return edges.unionByName(stars)
     return _gated_class_edges(edges, tagged, classes, cfg).unionByName(stars)
 
 
-def _copy_flags(cfg: MatchConfig) -> Column:
-    return F.lit(MATCH_FLAGS["grayscale_matched"] if cfg.combine_gray_and_phash else 0)
-
-
 def better_orientation(normal: DataFrame, mirrored: DataFrame) -> DataFrame:
     """The mirrored verdict replaces the normal one when that failed or is worse."""
     m = mirrored.select("src", "dst", F.col("difference").alias("mdiff"),
@@ -277,19 +311,55 @@ def _gated_class_edges(pairs: DataFrame, tagged: DataFrame, classes: DataFrame,
     return linked.unionByName(extra)
 
 
-def match_against(new: DataFrame, stored: DataFrame, cfg: MatchConfig, k: int = 1,
-                  side: int = 32) -> DataFrame:
+def group_links(features: DataFrame, groups: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32,
+                emb: DataFrame | None = None) -> DataFrame:
+    """(group_id, src, dst): similar pairs of members of one group, by classic rules or AI, without gates.
+
+    The group takes the place of the folder key, so that candidates come from the same cells as in
+    matching and the pairs of a group are never listed as such. ``groups``: file_id, group_id.
+    """
+    inside = cfg.with_(folder_mode="same", folder_depth=1, exclude_hardlinks=False, compare_flipped=False)
+    own = groups.select("file_id", F.concat(F.lit("/g"), F.col("group_id").cast("string"), F.lit("/x")).alias("folder"))
+    rows = features.drop("folder", "duration_s").join(own, "file_id").withColumn("duration_s", F.lit(0.0))
+    rows = cut_lineage(B.with_sums(rows, side), "members")
+    found = _all_pairs(rows, inside, k, side, emb).select("src", "dst").distinct()
+    return found.join(groups.select(F.col("file_id").alias("src"), "group_id"), "src").select("group_id", "src", "dst")
+
+
+def match_against(new: DataFrame, stored: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32,
+                  emb: DataFrame | None = None, frame_hash=None, stored_ready: bool = False) -> DataFrame:
     """New files against the whole stored catalog, missing files with features included.
 
-    (new_id, stored_id, difference, flags): every new class meets every stored class once and
-    the result is spread to the new class's members; stored copies stay on their first file.
+    (new_id, stored_id, difference, flags) by every rule and gate of the configuration. Classes of equal
+    features meet once; a hit of two classes is then given as one row for every new file (with the first
+    stored file it may match) and one for every stored file (with the first new one), so no copy on
+    either side is left out and the result stays linear in the files. ``stored_ready``: ``stored`` already
+    is a table made by :func:`prepare` with this configuration and is not written again.
     """
-    n, s = prepare(new, cfg, side), prepare(stored, cfg, side)
-    n_rep = n.groupBy("class_key").agg(F.min("file_id").alias("file_id"))
+    n = prepare(new, cfg, side, emb)
+    s = stored if stored_ready else prepare(stored, cfg, side, emb)
     left, right = class_reps(n), class_reps(s)
-    hits = class_pairs(right, cfg, k, side, left=left,
-                       order=F.col("l.file_id") != F.col("r.file_id"))
-    own = n.select(F.col("file_id").alias("new_id"), "class_key").join(
-        n_rep.select("class_key", F.col("file_id").alias("src")), "class_key")
-    return own.join(hits, "src").where(F.col("new_id") != F.col("dst")).select(
-        "new_id", F.col("dst").alias("stored_id"), "difference", "flags")
+    hits = cut_lineage(_all_pairs(right, cfg, k, side, emb, frame_hash, left=left, order=F.lit(True)), "hits")
+
+    def units(df: DataFrame, x: str) -> DataFrame:
+        """First file of every unit of the classes that hit."""
+        firsts = df.groupBy("class_key", "unit_key").agg(F.min("file_id").alias(x))
+        owner = df.groupBy("class_key").agg(F.min("file_id").alias(f"{x}_rep"))
+        return firsts.join(owner, "class_key").withColumnsRenamed({"class_key": f"{x}_class", "unit_key": f"{x}_unit"})
+
+    a, b = units(n, "new"), units(s, "old")
+    met = hits.withColumnsRenamed({"src": "new_rep", "dst": "old_rep"}).join(a, "new_rep").join(b, "old_rep") \
+        .where(_compatible("new_unit", "old_unit", cfg))
+
+    def spread(members: DataFrame, own: str, other: str, name: str, mate: str) -> DataFrame:
+        """Every member of ``own`` classes with the first file of ``other`` it may match and is not itself."""
+        best = met.groupBy(f"{own}_class", f"{own}_unit", f"{other}_class").agg(
+            F.min(F.struct(other, "difference", "flags")).alias("m"), F.max(F.struct(other, "difference", "flags")).alias("z"))
+        rows = members.select(F.col("file_id").alias(name), F.col("class_key").alias(f"{own}_class"),
+                              F.col("unit_key").alias(f"{own}_unit")).join(best, [f"{own}_class", f"{own}_unit"])
+        pick = F.when(F.col(f"m.{other}") != F.col(name), F.col("m")).otherwise(F.col("z"))
+        return rows.withColumn("p", pick).where(F.col(f"p.{other}") != F.col(name)).select(
+            name, F.col(f"p.{other}").alias(mate), F.col("p.difference").alias("difference"), F.col("p.flags").alias("flags"))
+
+    both = spread(n, "new", "old", "new_id", "stored_id").unionByName(spread(s, "old", "new", "stored_id", "new_id"))
+    return both.select("new_id", "stored_id", "difference", "flags").distinct()

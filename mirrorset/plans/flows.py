@@ -12,25 +12,33 @@ from mirrorset.plans import views as V
 from mirrorset.runtime import cut_lineage, enable_skew_handling
 
 
-def visual_verdict(features: DataFrame, cfg: MatchConfig, k: int, pixels: int):
-    """Ungated visual verdict over (…, src, dst) rows."""
+def visual_verdict(features: DataFrame, cfg: MatchConfig, k: int, pixels: int, emb: DataFrame | None = None):
+    """Ungated verdict over (…, src, dst) rows: classic, or AI where that is on."""
 
     def run(pairs: DataFrame) -> DataFrame:
         wide = B.with_pair_columns(pairs, features, features, ["gray", "phashes", "is_image"])
-        return matching.classic_verdict(wide, cfg, k, pixels).where("difference IS NOT NULL").select(*pairs.columns)
+        seen = matching.classic_verdict(wide, cfg, k, pixels).where("difference IS NOT NULL").select(*pairs.columns)
+        if not cfg.use_ai or emb is None:
+            return seen
+        ai = matching.ai_similarity(pairs, emb, k).where(F.col("ai_sim") >= cfg.ai_threshold)
+        return seen.unionByName(pairs.join(ai.select("src", "dst"), ["src", "dst"], "left_semi")).distinct()
 
     return run
 
 
 def duplicate_groups(features: DataFrame, cfg: MatchConfig, k: int = 1, side: int = 32,
-                     emb: DataFrame | None = None, max_members: int = 4096) -> DataFrame:
-    """(group_id, file_id, difference, flags): match, merge under the representative check, prune."""
-    stored = cut_lineage(features, "features")
-    edges = cut_lineage(matching.find_edges(stored, cfg, k, side, emb), "edges")
-    verdict = visual_verdict(stored, cfg, k, side * side)
+                     emb: DataFrame | None = None, frame_hash=None) -> DataFrame:
+    """(group_id, file_id, difference, flags): match, merge under the representative check, prune.
+
+    Only features of files that have an edge go on after the matching step.
+    """
+    edges = cut_lineage(matching.find_edges(features, cfg, k, side, emb, frame_hash), "edges")
+    touched = edges.select(F.col("src").alias("file_id")).unionByName(edges.select(F.col("dst").alias("file_id"))).distinct()
+    stored = cut_lineage(features.join(touched, "file_id", "left_semi"), "features")
+    verdict = visual_verdict(stored, cfg, k, side * side, emb)
     merged = cut_lineage(graph.merge_groups(edges, verdict), "merged")
-    pairs = verdict(graph.component_pairs(merged, max_members))
-    pruned = graph.majority_prune(merged.select("file_id", "group_id"), pairs, max_members)
+    pairs = cut_lineage(matching.group_links(stored, merged, cfg, k, side, emb), "verdicts")
+    pruned = graph.majority_prune(merged.select("file_id", "group_id"), pairs)
     rows = graph.founding_rows(merged, edges).select("file_id", "difference", "flags")
     return pruned.select("group_id", "file_id").join(rows, "file_id")
 

@@ -210,7 +210,7 @@ FROM v WHERE n IS NOT NULL OR f IS NOT NULL""")
 def _flip(spark, sf):
     f = cut_lineage(B.with_sums(V.features_vec(spark, sf), V.SIDE), "features")
     normal = matching.class_pairs(f, FLIP, 1, V.SIDE)
-    mirrored = matching.class_pairs(f, FLIP, 1, V.SIDE, left=matching.flipped(f, 1, V.SIDE))
+    mirrored = matching.class_pairs(f, FLIP, 1, V.SIDE, left=matching.flipped(f, 1, V.SIDE, frames.median_bits))
     return out_edges(matching.better_orientation(normal, mirrored))
 
 
@@ -298,14 +298,17 @@ def _hardlink(spark, sf):
 
 
 @query("match_against", O.with_(O.features_doc(1)) + f""",
-cls AS (SELECT *, min(file_id) FILTER (WHERE file_id % 10 <> 3) OVER (PARTITION BY is_image, duration_s, gray, phashes) AS rep
- FROM features),
-stored AS (SELECT * FROM cls WHERE file_id = rep AND file_id % 10 <> 3)
+cls AS (SELECT *, min(file_id) OVER (PARTITION BY is_image, duration_s, gray, phashes, file_id % 10 = 3) AS rep FROM features)
 SELECT a.file_id AS new_id, b.file_id AS stored_id, round({SAD} / 16384::DOUBLE, 6) AS difference, 0 AS flags
-FROM features a JOIN stored b ON a.file_id % 10 = 3 AND {TYPE} AND (a.is_image OR {DUR}) AND {SAD} <= 655""")
+FROM cls a JOIN cls b ON a.file_id % 10 = 3 AND b.file_id % 10 <> 3 AND {TYPE} AND (a.is_image OR {DUR}) AND {SAD} <= 655
+WHERE a.file_id = a.rep OR b.file_id = b.rep""")
 def _match_against(spark, sf):
+    return _against(spark, sf, GRAY)
+
+
+def _against(spark, sf, cfg, emb=None):
     f = cut_lineage(V.features_doc(spark, sf, 1), "features")
-    return matching.match_against(f.where("file_id % 10 = 3"), f.where("file_id % 10 <> 3"), GRAY, 1, V.SIDE) \
+    return matching.match_against(f.where("file_id % 10 = 3"), f.where("file_id % 10 <> 3"), cfg, 1, V.SIDE, emb, frames.median_bits) \
         .select("new_id", "stored_id", F.round("difference", 6).alias("difference"), "flags")
 
 
@@ -347,12 +350,13 @@ def pair_verdict(features, cfg=GRAY, k=1, pixels=V.PIXELS):
 @query("component_verdicts", O.with_(EDGES_DOC, COMPONENTS, recursive=True) + f""",
 m AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM grp)
 SELECT x.group_id, a.file_id AS src, b.file_id AS dst FROM m x JOIN m y ON x.group_id = y.group_id
- AND x.file_id < y.file_id AND x.n BETWEEN 3 AND 4096
+ AND x.file_id < y.file_id AND x.n >= 3
 JOIN features a ON a.file_id = x.file_id JOIN features b ON b.file_id = y.file_id WHERE {SAD} <= 655""")
 def _component_verdicts(spark, sf):
     f, e = doc_match(spark, sf)
     g = graph.components(e)
-    return pair_verdict(f)(graph.component_pairs(g, 4096))
+    large = g.join(g.groupBy("group_id").count().where("count >= 3"), "group_id", "left_semi")
+    return matching.group_links(f, large, GRAY, 1, V.SIDE)
 
 
 @query("merge_groups")
@@ -366,4 +370,4 @@ def _merge_groups(spark, sf):
 def _majority_prune(spark, sf):
     f, e = doc_match(spark, sf)
     g = graph.components(e)
-    return graph.majority_prune(g, pair_verdict(f)(graph.component_pairs(g, 4096)))
+    return graph.majority_prune(g, matching.group_links(f, g, GRAY, 1, V.SIDE))

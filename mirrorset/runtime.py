@@ -38,7 +38,21 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete tables made by :func:`cut_lineage` that no later step reads any more."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        df._stored_at = None
 
 
 def enable_skew_handling(spark: SparkSession) -> None:

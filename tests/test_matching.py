@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mirrorset.config import MatchConfig
 from mirrorset.operators import blocking as B
 from mirrorset.operators import graph, matching, partial
+from mirrorset.functions.frames import median_bits
 from mirrorset.plans.flows import duplicate_groups, visual_verdict
 
 
@@ -165,49 +166,46 @@ def naive_prune(nodes, sim):
     return alive, dropped
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_majority_prune_equals_naive(spark, seed):
-    rng = random.Random(seed)
-    n = rng.randrange(4, 14)
-    pairs = {(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.45}
-    new = graph.prune_component(np.array([a for a, _ in pairs], dtype=np.int64),
-                                np.array([b for _, b in pairs], dtype=np.int64), np.arange(n))
-
-    def sim(a, b):
-        return (min(a, b), max(a, b)) in pairs
-
-    kept, dropped = naive_prune(range(n), sim)
-    if len(kept) >= 2:
-        assert all(new[x] == min(kept) for x in kept)
-    seen = set()
+def naive_groups(nodes, sim):
+    """file -> new group by the rule, step by step."""
+    kept, dropped = naive_prune(nodes, sim)
+    parts, seen, out = [kept], set(), {}
     for s in dropped:
-        if s in seen:
-            continue
         part, queue = [], [s]
-        seen.add(s)
         while queue:
-            cur = queue.pop(0)
-            part.append(cur)
-            for o in dropped:
-                if o not in seen and sim(cur, o):
-                    seen.add(o)
-                    queue.append(o)
-        again = naive_prune(part, sim)[0] if len(part) > 1 else []
-        for x in part:
-            assert new[x] == (min(again) if x in again and len(again) > 1 else None)
-
-
-def test_majority_prune_star_and_clique(spark):
-    star = {(0, 1), (0, 2), (0, 3)}
-    clique = set(itertools.combinations(range(10, 15), 2))
-    groups = spark.createDataFrame([(i, 0) for i in range(4)] + [(i, 10) for i in range(10, 15)],
-                                   "file_id bigint, group_id bigint")
-    edges = spark.createDataFrame([(0, a, b) for a, b in star] + [(10, a, b) for a, b in clique],
-                                  "group_id bigint, src bigint, dst bigint")
-    got = {r.file_id: r.group_id for r in graph.majority_prune(groups, edges).collect()}
-    assert {k for k in got if k < 10} == {0, 2, 3} and len({got[k] for k in range(10, 15)}) == 1
-    over = {r.file_id: r.skipped for r in graph.majority_prune(groups, edges, max_members=3).collect()}
-    assert over[1] is True and len(over) == 9
+            cur = queue.pop()
+            if cur not in seen:
+                seen.add(cur)
+                part.append(cur)
+                queue += [o for o in dropped if o not in seen and sim(cur, o)]
+        parts.append(naive_prune(sorted(part), sim)[0])
+    for part in parts:
+        out.update({x: min(part) for x in part if len(part) > 1})
+    return out
+
+
+def test_majority_prune_equals_naive(spark):
+    members, edges, want = [], [], {}
+    for seed in range(30):
+        rng = random.Random(seed)
+        n, base = rng.randrange(2, 15), 100 * seed
+        pairs = {(base + a, base + b) for a, b in itertools.combinations(range(n), 2) if rng.random() < rng.choice((0.2, 0.45, 0.7))}
+        members += [(base + i, base) for i in range(n)]
+        edges += [(base, a, b) for a, b in pairs]
+        want.update(naive_groups(range(base, base + n), lambda a, b: (min(a, b), max(a, b)) in pairs))
+    got = graph.majority_prune(spark.createDataFrame(members, "file_id bigint, group_id bigint"),
+                               spark.createDataFrame(edges, "group_id bigint, src bigint, dst bigint")).collect()
+    assert {r.file_id: r.group_id for r in got} == want
+    assert all(r.old_group == r.file_id // 100 * 100 for r in got)
+
+
+def test_majority_prune_of_a_star_of_5000_and_a_clique(spark):
+    star = spark.range(1, 5000).selectExpr("0L AS group_id", "0L AS src", "id AS dst")
+    clique = spark.createDataFrame([(9000, a, b) for a, b in itertools.combinations(range(9000, 9005), 2)], star.schema)
+    groups = spark.range(5000).selectExpr("id AS file_id", "0L AS group_id").unionByName(
+        spark.range(9000, 9005).selectExpr("id AS file_id", "9000L AS group_id"))
+    got = {r.file_id: r.group_id for r in graph.majority_prune(groups, star.unionByName(clique)).collect()}
+    assert got == {0: 0, 4998: 0, 4999: 0, **{i: 9000 for i in range(9000, 9005)}}
 
 
 def test_duplicate_groups_flow(spark):
@@ -226,11 +224,64 @@ def test_flipped_frames_are_found(spark):
     rows = [file_row(0, a.ravel().tolist()), file_row(1, a[:, ::-1].ravel().tolist())]
     f = features(spark, rows)
     assert matching.find_edges(f, MatchConfig(), 1, 8).count() == 0
-    e = matching.find_edges(f, MatchConfig(compare_flipped=True), 1, 8).collect()
+    e = matching.find_edges(f, MatchConfig(compare_flipped=True), 1, 8, frame_hash=median_bits).collect()
     assert [(r.src, r.dst, r.flags) for r in e] == [(0, 1, 1)]
     assert visual_verdict(f, MatchConfig(), 1, 64)(spark.createDataFrame([(0, 1)], "src bigint, dst bigint")).count() == 0
 
 
+def test_odd_folder_names_with_both_gates(spark):
+    rows = [file_row(0, [9] * 64, folder="/x/a|b", inode=1), file_row(1, [9] * 64, folder="/x/a|c", inode=2)]
+    cfg = MatchConfig(folder_mode="different", exclude_hardlinks=True)
+    assert [(r.src, r.dst) for r in matching.find_edges(features(spark, rows), cfg, 1, 8).collect()] == [(0, 1)]
+
+
+def test_fully_masked_copies_do_not_match(spark):
+    rows = [file_row(0, [0] * 64, is_image=True), file_row(1, [0] * 64, is_image=True), file_row(2, [90] * 64, is_image=True), file_row(3, [90] * 64, is_image=True)]
+    cfg = MatchConfig(ignore_black=True)
+    assert [(r.src, r.dst) for r in matching.find_edges(features(spark, rows), cfg, 1, 8).collect()] == [(2, 3)]
+
+
+def test_flags_of_copies_in_combined_mode(spark):
+    rows = [file_row(0, [9] * 64, is_image=True), file_row(1, [9] * 64, is_image=True), file_row(2, [99] * 64), file_row(3, [99] * 64)]
+    cfg = MatchConfig(combine_gray_and_phash=True)
+    assert {(r.src, r.dst, r.flags) for r in matching.find_edges(features(spark, rows), cfg, 1, 8).collect()} == {(0, 1, 8), (2, 3, 24)}
+
+
+def embeddings(spark, vectors):
+    return spark.createDataFrame([(i, 0, list(v), True) for i, v in vectors.items()], "file_id bigint, pos_idx int, q array<int>, bright boolean")
+
+
+def test_ai_pairs_survive_equal_frames_and_form_groups(spark):
+    rng = np.random.default_rng(4)
+    noise = lambda: rng.integers(0, 256, 64).tolist()
+    same = noise()
+    rows = [file_row(1, same), file_row(2, same), file_row(3, noise()), file_row(4, noise()), file_row(5, noise()), file_row(6, noise())]
+    cfg = MatchConfig(use_ai=True)
+    emb = embeddings(spark, {1: [127, 0, 0], 2: [0, 127, 0], 3: [0, 127, 0], 4: [0, 0, 127], 5: [0, 0, 127], 6: [0, 0, 127]})
+    got = {(r.src, r.dst, r.flags) for r in matching.find_edges(features(spark, rows), cfg, 1, 8, emb).collect()}
+    assert got == {(1, 2, 0), (2, 3, 4), (4, 5, 4), (4, 6, 4), (5, 6, 4)}
+    groups = duplicate_groups(features(spark, rows), cfg, 1, 8, emb).collect()
+    assert {r.file_id for r in groups if r.group_id == 4} == {4, 5, 6}
+
+
+def test_match_against_follows_all_settings(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (8, 8))
+    row = a.ravel().tolist()
+    new = features(spark, [file_row(100, row, folder="/x/p"), file_row(101, row, folder="/x/q")])
+    stored = features(spark, [file_row(0, row, folder="/x/p"), file_row(1, row, folder="/x/p"), file_row(2, row, folder="/x/r"),
+                              file_row(3, a[:, ::-1].ravel().tolist(), folder="/x/z")])
+
+    def pairs(**changes):
+        return {(r.new_id, r.stored_id, r.flags) for r in matching.match_against(
+            new, stored, MatchConfig().with_(**changes), 1, 8, frame_hash=median_bits).collect()}
+
+    assert pairs() == {(100, 0, 0), (101, 0, 0), (100, 1, 0), (100, 2, 0)}
+    gated = pairs(folder_mode="different")
+    assert {(n, s) for n, s, _ in gated} == {(101, 0), (101, 1), (100, 2)}
+    assert {(n, s, f) for n, s, f in pairs(compare_flipped=True) if s == 3} == {(100, 3, 1), (101, 3, 1)}
+
+
 # --- clips --------------------------------------------------------------------------------------
 
 def fp_files(spark, prints):
