@@ -44,7 +44,9 @@ class MatchConfig:
     partial_max_ratio: float = 0.95
     partial_similarity: float = 0.80
     partial_mode: str = "fast"  # fast | exact
-    partial_max_candidates: int = 256
+    #: Caps of the audio index; off unless set, as each of them can lose a clip's source.
+    partial_max_candidates: int | None = None
+    partial_max_anchors: int | None = None
     partial_visual_threshold: float = 0.85
     partial_require_visual: bool = True
 

@@ -67,18 +67,21 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Col
               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Inner join of ``left`` and ``right`` (aliases l, r) on cells, splitting crowded cells.
 
-    A crowded cell of n rows becomes ceil(n / rows_per_block) blocks per side and every block
-    pair is one join key: exact, and no task sees more than a block of each side per key.
+    A cell with more than rows_per_block rows on a side becomes that many blocks of this side, and
+    every block pair is one join key: exact, and no task sees more than a block of each side per key.
     """
-    crowd = F.ceil(F.col("rows") / rows_per_block).cast("int")
-    crowded = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")) \
-        .where(F.col("rows") > rows_per_block).select(*keys, crowd.alias("_blocks"))
+    def sizes(df: DataFrame, name: str, other: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), F.lit(0).cast("bigint").alias(other))
+
+    several = lambda c: F.ceil(F.greatest(F.max(c), F.lit(1)) / rows_per_block).cast("int")
+    crowded = sizes(left, "_l", "_r").unionByName(sizes(right, "_r", "_l")).groupBy(*keys).agg(
+        several("_l").alias("_nl"), several("_r").alias("_nr")).where("_nl > 1 OR _nr > 1")
 
     def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
-        n = F.coalesce(F.col("_blocks"), F.lit(1))
+        mine, theirs = (("_nl", "_nr") if own == "_lb" else ("_nr", "_nl"))
         return df.join(crowded, keys, "left").withColumn(
-            own, F.pmod(F.xxhash64("file_id"), n).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), n - 1))).drop("_blocks")
+            own, F.pmod(F.xxhash64("file_id"), F.coalesce(F.col(mine), F.lit(1))).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs), F.lit(1)) - 1))).drop("_nl", "_nr")
 
     l, r = blocks(left, "_lb", "_rb").alias("l"), blocks(right, "_rb", "_lb").alias("r")
     on = condition

@@ -26,12 +26,9 @@ CURRENT_SHIFTS = (0, 4, 8, 12, 16, 20, 2, 10)
 FUTURE_SHIFTS = (10, 14, 18, 22, 0, 6, 16, 4)
 LAGS = (1, 2, 3, 5, 1, 2, 3, 5)
 KEY_HALF_BITS = 10
-HOT_LIMIT = 2048
 MIN_INDEXED_CLIP = 90
 MIN_USABLE_ANCHORS = 16
-MAX_ANCHORS = 256
 OFFSET_BUCKET_S = 3
-MAX_VOTE_KEYS = 500_000
 MIN_CONSISTENT_HITS = 4
 OFFSET_TOLERANCE_S = 30.0
 MIN_VISUAL_DURATION_S = 3.0
@@ -134,18 +131,6 @@ def _key(fp: Column, pos: Column, t: int) -> Column:
     return now.bitwiseOR(F.shiftleft(later, KEY_HALF_BITS)).cast("int")
 
 
-def _bitset(column: str) -> list[Column]:
-    """Partial aggregates that mark values 0..255 in four words; see :func:`_bitset_size`."""
-    c = F.col(column)
-    return [F.bit_or(F.when(F.shiftright(c, 6) == w, F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}")
-        for w in range(4)]
-
-
-def _bitset_size() -> Column:
-    return sum(F.bit_count(f"_w{w}") for w in range(4))
-
-
 def fp_index(files: DataFrame) -> DataFrame:
     """(tbl, key, file_id, pos): eight keys per block, made inside each row without a shuffle."""
     rows = files.select("file_id", "fp", F.posexplode("fp").alias("pos", "_block"))
@@ -158,15 +143,15 @@ def key_sizes(postings: DataFrame) -> DataFrame:
     return postings.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def hot_keys(postings: DataFrame, limit: int = HOT_LIMIT) -> DataFrame:
+def hot_keys(postings: DataFrame, limit: int) -> DataFrame:
     return key_sizes(postings).where(F.col("rows") > limit).select("tbl", "key")
 
 
-def clip_anchors(clips: DataFrame) -> DataFrame:
-    """(clip, tbl, key, pos, anchor) at an even stride, at most 256 anchors per clip."""
+def clip_anchors(clips: DataFrame, max_anchors: int | None = None) -> DataFrame:
+    """(clip, tbl, key, pos, anchor): every block, or at most ``max_anchors`` at an even stride."""
     n = F.size("fp")
     span = F.greatest(F.lit(1), n - max(LAGS))
-    stride = F.greatest(F.lit(1), F.floor((span + MAX_ANCHORS - 1) / MAX_ANCHORS)).cast("int")
+    stride = F.lit(1) if max_anchors is None else F.greatest(F.lit(1), F.ceil(span / max_anchors)).cast("int")
     rows = clips.where(n >= MIN_INDEXED_CLIP).select(
         F.col("file_id").alias("clip"), "fp", F.posexplode(F.sequence(F.lit(0), span - 1, stride)).alias("anchor", "pos"))
     keys = F.array(*[F.when(F.col("pos") + lag < n, F.struct(
@@ -176,36 +161,41 @@ def clip_anchors(clips: DataFrame) -> DataFrame:
 
 
 def fp_candidates(sources: DataFrame, clips: DataFrame, cfg: MatchConfig,
-                  hot_limit: int = HOT_LIMIT) -> tuple[DataFrame, DataFrame]:
+                  hot_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates: clip, src, votes; fallback: clip) from the audio index.
 
-    Anchors vote for a source and a three-second offset cell, once per anchor. Keys with more
-    postings than the limit carry no evidence and are skipped, which also bounds every join key.
-    Clips that are short, have too few usable anchors, or raise too many vote cells fall back.
+    Anchors vote for a source and a three-second offset cell, once per anchor. Crowded keys are split
+    into blocks of postings and none is dropped, unless ``hot_limit`` or the caps of the configuration
+    are set. Clips that are short or have too few usable anchors fall back.
     """
     facts = sources.select("file_id", "duration_s", F.size("fp").alias("n"))
     postings = cut_lineage(fp_index(sources), "postings")
-    usable = cut_lineage(key_sizes(postings).where(F.col("rows") <= hot_limit).select("tbl", "key"), "keys")
-    anchors = clip_anchors(clips).join(usable, ["tbl", "key"])
-    seen = anchors.groupBy("clip").agg(*_bitset("anchor")).select("clip", _bitset_size().alias("usable"))
+    anchors = clip_anchors(clips, cfg.partial_max_anchors)
+    if hot_limit is not None:
+        anchors = anchors.join(key_sizes(postings).where(F.col("rows") <= hot_limit).select("tbl", "key"), ["tbl", "key"])
+    else:
+        anchors = anchors.join(postings.select("tbl", "key").distinct(), ["tbl", "key"], "left_semi")
+    anchors = cut_lineage(anchors, "anchors")
+    seen = anchors.groupBy("clip").agg(F.count_distinct("anchor").alias("usable"))
     own = clips.select(F.col("file_id").alias("clip"), F.col("duration_s").alias("c_dur"), F.size("fp").alias("c_n"))
     ratio, off = F.col("c_dur") / F.col("duration_s"), F.col("pos") - F.col("a_pos")
-    hits = anchors.withColumnRenamed("pos", "a_pos").join(postings, ["tbl", "key"]).where("file_id <> clip") \
-        .join(own, "clip").join(facts, "file_id") \
+    met = cell_join(anchors.withColumnsRenamed({"pos": "a_pos", "clip": "file_id"}), postings, ["tbl", "key"],
+                    F.col("l.file_id") != F.col("r.file_id")).select(
+        F.col("l.file_id").alias("clip"), "l.anchor", "l.a_pos", F.col("r.file_id").alias("file_id"), "r.pos")
+    hits = met.join(own, "clip").join(facts, "file_id") \
         .where((ratio >= cfg.partial_min_ratio) & (ratio < cfg.partial_max_ratio) & (F.col("c_n") < F.col("n"))
                & (off >= 0) & (off + F.col("c_n") <= F.col("n")))
     votes = cut_lineage(hits.groupBy("clip", F.col("file_id").alias("src"), F.floor(off / OFFSET_BUCKET_S).alias("cell"))
-                        .agg(*_bitset("anchor")).select("clip", "src", "cell", _bitset_size().alias("votes")), "votes")
-    crowded = votes.groupBy("clip").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= MAX_VOTE_KEYS)
-    state = own.select("clip").join(seen, "clip", "left").join(crowded, "clip", "left")
-    served = (F.coalesce("usable", F.lit(0)) >= MIN_USABLE_ANCHORS) & F.col("cells").isNull()
-    state = state.withColumn("served", served)
+                        .agg(F.count_distinct("anchor").alias("votes")), "votes")
+    state = own.select("clip").join(seen, "clip", "left").withColumn(
+        "served", F.coalesce("usable", F.lit(0)) >= MIN_USABLE_ANCHORS)
     need = F.greatest(F.lit(3), F.least(F.lit(12), F.ceil(F.col("usable") * 0.03)))
     best = votes.join(state.where("served").select("clip", need.alias("need")), "clip").where("votes >= need") \
         .groupBy("clip", "src").agg(F.max("votes").alias("votes"))
-    top = numbered(best, ["clip"], [F.col("votes").desc(), F.col("src").asc()]) \
-        .where(F.col("rn") <= cfg.partial_max_candidates)
-    return top.select("clip", "src", "votes"), state.where("NOT served").select("clip")
+    if cfg.partial_max_candidates is not None:
+        best = numbered(best, ["clip"], [F.col("votes").desc(), F.col("src").asc()]) \
+            .where(F.col("rn") <= cfg.partial_max_candidates)
+    return best.select("clip", "src", "votes"), state.where("NOT served").select("clip")
 
 
 def exact_sources(sources: DataFrame, clips: DataFrame, fallback: DataFrame, cfg: MatchConfig) -> DataFrame:

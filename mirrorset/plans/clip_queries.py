@@ -250,14 +250,14 @@ def _hot(spark, sf):
 
 CANDIDATES = O.blocks("documents", "src") + ",\n" + POSTINGS + """,
 sn AS (SELECT file_id, max(n) AS n FROM src GROUP BY file_id),
-ok AS (SELECT tbl, key FROM post GROUP BY tbl, key HAVING count(*) <= 2048),
-st AS (SELECT file_id AS clip, n, greatest(1, n - 5) AS span, greatest(1, (greatest(1, n - 5) + 255) // 256) AS stride FROM sn WHERE n >= 90),
+ok AS (SELECT DISTINCT tbl, key FROM post),
+st AS (SELECT file_id AS clip, n, greatest(1, n - 5) AS span, 1 AS stride FROM sn WHERE n >= 90),
 an AS (SELECT clip, p.pos AS a_pos, p.tbl, p.key, st.n AS cn FROM st JOIN post p ON p.file_id = clip AND p.pos % stride = 0 AND p.pos < span JOIN ok ON ok.tbl = p.tbl AND ok.key = p.key),
 us AS (SELECT clip, count(DISTINCT a_pos) AS usable FROM an GROUP BY clip),
 vt AS (SELECT an.clip, p.file_id AS src, (p.pos - a_pos) // 3 AS cell, count(DISTINCT a_pos) AS votes FROM an JOIN post p ON p.tbl = an.tbl AND p.key = an.key AND p.file_id <> an.clip
  JOIN sn ON sn.file_id = p.file_id WHERE cn::DOUBLE / sn.n >= 0.1::DOUBLE AND cn::DOUBLE / sn.n < 0.95::DOUBLE AND p.pos - a_pos >= 0 AND p.pos - a_pos + cn <= sn.n GROUP BY ALL),
 cand AS (SELECT vt.clip, src, max(votes) AS votes FROM vt JOIN us ON us.clip = vt.clip WHERE usable >= 16 AND votes >= greatest(3, least(12, ceil(usable * 0.03::DOUBLE))) GROUP BY vt.clip, src),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY votes DESC, src) AS rn FROM cand) WHERE rn <= 256),
+top AS (SELECT * FROM cand),
 fb AS (SELECT sn.file_id AS clip FROM sn LEFT JOIN us ON us.clip = sn.file_id WHERE coalesce(usable, 0) < 16)"""
 
 

@@ -120,8 +120,8 @@ def _records(spark, sf):
 
 
 @query("write_results_csv", RQ.ITEMS + """SELECT group_id::VARCHAR AS "GroupId", printf('%.1f', round(similarity, 1)) AS "Similarity", path AS "Path", size::VARCHAR AS "Size", printf('%.3f', duration_s) AS "Duration",
- frame_size AS "FrameSize", format AS "Format", printf('%.2f', fps) AS "Fps", bitrate_kbs::VARCHAR AS "BitRateKbs", audio_format AS "AudioFormat", strftime(created, '%Y-%m-%dT%H:%M:%S') AS "DateCreated",
- is_image::VARCHAR AS "IsImage", CASE WHEN flags = 0 THEN 'None' ELSE concat_ws(', ', CASE WHEN flags & 2 = 2 THEN 'PartialClip' END, CASE WHEN flags & 4 = 4 THEN 'AiMatched' END,
+ frame_size AS "FrameSize", format AS "Format", printf('%.2f', fps) AS "Fps", bitrate_kbs::VARCHAR AS "BitRateKbs", audio_format AS "AudioFormat", strftime(created, '%Y-%m-%dT%H:%M:%S.%f')||'0Z' AS "DateCreated",
+ CASE WHEN is_image THEN 'True' ELSE 'False' END AS "IsImage", CASE WHEN flags = 0 THEN 'None' ELSE concat_ws(', ', CASE WHEN flags & 2 = 2 THEN 'PartialClip' END, CASE WHEN flags & 4 = 4 THEN 'AiMatched' END,
  CASE WHEN flags & 8 = 8 THEN 'GrayscaleMatched' END, CASE WHEN flags & 16 = 16 THEN 'PHashMatched' END) END AS "Flags", printf('%.0f', offset_s) AS "PartialClipOffset" FROM items""")
 def _csv(spark, sf):
     out = scratch_path(spark, "results-csv")
@@ -165,6 +165,17 @@ def _read_blacklist(spark, sf):
     return stores.parse_blacklist(texts).select(F.split("path", "/")[2].cast("bigint").alias("doc"), "entry_id", "path")
 
 
+@query("blacklist_round_trip", """SELECT o_orderkey AS entry_id, '/b/'||o_orderkey||'/'||p AS path
+FROM orders, (SELECT unnest(['x', 'y', 'z']) AS p) WHERE o_orderkey % 5 = 0""")
+def _blacklist_round_trip(spark, sf):
+    b = V.table(spark, sf, "orders").where("o_orderkey % 5 = 0").selectExpr(
+        "o_orderkey AS entry_id", "explode(array('x', 'y', 'z')) AS p").select(
+        "entry_id", F.concat_ws("/", F.lit("/b"), F.col("entry_id").cast("string"), "p").alias("path"))
+    out = scratch_path(spark, "blacklist")
+    stores.write_blacklist(b, out)
+    return stores.read_blacklist(spark, out)
+
+
 @query("generate_catalog", """WITH r AS (SELECT doc_id AS id, doc_id < 90 AS cloned, CASE WHEN doc_id < 90 THEN doc_id // 3 ELSE doc_id + 1099511627776 END AS base FROM documents)
 SELECT id AS file_id, cloned, ('0x'||substr(md5('7:duration:'||base), 1, 8))::UBIGINT::BIGINT % 3596 + 5::DOUBLE AS duration_s,
  (('0x'||substr(md5('7:size:'||base), 1, 8))::UBIGINT::BIGINT % 246 + 5) * 1048576 AS size, ('0x'||substr(md5('7:width:'||base), 1, 8))::UBIGINT::BIGINT % 3201 + 640 AS width FROM r""")
@@ -268,9 +279,11 @@ def _gap(spark, sf):
 
 
 @query("stream_match", O.with_(O.features_doc(1)) + f""",
-cls AS (SELECT *, min(file_id) FILTER (WHERE file_id % 10 <> 3) OVER (PARTITION BY is_image, duration_s, gray, phashes) AS rep FROM features),
-stored AS (SELECT * FROM cls WHERE file_id = rep AND file_id % 10 <> 3)
-SELECT a.file_id AS new_id, b.file_id AS stored_id, round({MQ.SAD} / 16384::DOUBLE, 6) AS difference FROM features a JOIN stored b ON a.file_id % 10 = 3 AND {MQ.TYPE} AND (a.is_image OR {MQ.DUR}) AND {MQ.SAD} <= 655""")
+cls AS (SELECT *, min(file_id) OVER (PARTITION BY is_image, duration_s, gray, phashes, file_id % 10 = 3) AS rep FROM features),
+hit AS (SELECT a.file_id AS new_id, b.file_id AS stored_id, {MQ.SAD} AS sad, a.file_id = a.rep AS ar, b.file_id = b.rep AS br,
+  a.rep = b.rep AS own, b.file_id % 10 = 3 AS inside FROM cls a JOIN cls b ON a.file_id % 10 = 3 AND {MQ.TYPE} AND (a.is_image OR {MQ.DUR}) AND {MQ.SAD} <= 655)
+SELECT new_id, stored_id, round(sad / 16384::DOUBLE, 6) AS difference FROM hit
+WHERE CASE WHEN inside THEN stored_id < new_id AND br AND (ar OR own) ELSE ar OR br END""")
 def _stream_match(spark, sf):
     f = cut_lineage(V.features_doc(spark, sf, 1), "features")
     arriving = scratch_path(spark, "arriving")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mirrorset.config import MatchConfig
 from mirrorset.operators.maintenance import refresh_catalog
-from mirrorset.operators.matching import match_against
+from mirrorset.operators.matching import find_edges, match_against, prepare
 from mirrorset.streaming.sinks import run_available, write_batch
 
 
@@ -24,11 +24,15 @@ def stream_catalog(listing: DataFrame, catalog: DataFrame, changes_root: str, ch
 
     Each batch is compared with the catalog and only the touched paths are written, as one
     change folder per batch; a retried batch overwrites its own folder. The current catalog is
-    the stored one overlaid with :func:`latest_changes`.
+    the stored one overlaid with :func:`latest_changes`. Of several rows of a path in one batch the one
+    modified last counts (the larger one on ties).
     """
+    fields = [c for c in listing.columns if c != "path"]
+    order = [c for c in ("modified", "size") if c in fields] + [c for c in fields if c not in ("modified", "size")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.dropDuplicates(["path"])
+        touched = batch.groupBy("path").agg(F.max(F.struct(*order)).alias("r")).select(
+            *[F.col("path") if c == "path" else F.col(f"r.{c}").alias(c) for c in batch.columns])
         old = catalog.join(touched.select("path"), "path", "left_semi")
         write_batch(refresh_catalog(old, touched), batch_id, changes_root)
 
@@ -36,10 +40,27 @@ def stream_catalog(listing: DataFrame, catalog: DataFrame, changes_root: str, ch
 
 
 def stream_match(new_features: DataFrame, stored: DataFrame, cfg: MatchConfig, k: int, side: int,
-                 out_root: str, checkpoint: str) -> None:
-    """Compare arriving files with the stored catalog, tombstones included."""
+                 out_root: str, checkpoint: str, emb: DataFrame | None = None, frame_hash=None) -> None:
+    """Compare arriving files with the stored catalog (tombstones included) and with all earlier arrivals.
+
+    The stored side is prepared once; a batch only adds its own prepared rows, next to its matches. Pairs
+    inside a batch are given with the later id as new_id. A retried batch overwrites its own folders.
+    """
+    ready = prepare(stored, cfg, side, emb)
+    arrived = f"{out_root}-arrived"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(match_against(batch.dropDuplicates(["file_id"]), stored, cfg, k, side), batch_id, out_root)
+        spark = batch.sparkSession
+        fields = [c for c in batch.columns if c != "file_id"]
+        new = batch.groupBy("file_id").agg(F.max(F.struct(*fields)).alias("r")).select("file_id", "r.*").select(*batch.columns)
+        own = prepare(new, cfg, side, emb)
+        rows = match_against(new, ready, cfg, k, side, emb, frame_hash, stored_ready=True)
+        if batch_id > 0:
+            earlier = spark.read.parquet(arrived).where(F.col("batch_id") < batch_id).drop("batch_id")
+            rows = rows.unionByName(match_against(new, earlier, cfg, k, side, emb, frame_hash, stored_ready=True))
+        inside = find_edges(new, cfg, k, side, emb, frame_hash).select(
+            F.col("dst").alias("new_id"), F.col("src").alias("stored_id"), "difference", "flags")
+        write_batch(rows.unionByName(inside), batch_id, out_root)
+        write_batch(own, batch_id, arrived)
 
     run_available(new_features, checkpoint, handle)

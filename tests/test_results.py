@@ -154,11 +154,13 @@ def test_snapshot_of_nothing_removes_the_store(spark, tmp_path):
     assert stores.load_snapshot(spark, root) is None
 
 
-def test_blacklist_json(spark, tmp_path):
-    b = spark.createDataFrame([(1, "/x"), (1, "/y"), (2, "/z")], "entry_id bigint, path string")
-    stores.write_blacklist_json(b, str(tmp_path / "b"))
-    back = spark.read.text(str(tmp_path / "b"))
-    assert sorted(r.path for r in stores.parse_blacklist(back).collect()) == ["/x", "/y", "/z"]
+def test_blacklist_round_trip(spark, tmp_path):
+    b = spark.createDataFrame([(1, "/x"), (1, "/y"), (2, "/z"), (7, "/w")] + [(9, f"/p{i}") for i in range(2500)], "entry_id bigint, path string")
+    stores.write_blacklist(b, str(tmp_path / "b"))
+    assert rows_of(stores.read_blacklist(spark, str(tmp_path / "b"))) == rows_of(b)
+    (tmp_path / "old.json").write_text('{"Version":1,\n"Groups":[["/a","/b"],["/c"]]}')
+    assert sorted((r.entry_id, r.path) for r in stores.read_blacklist(spark, str(tmp_path / "old.json")).collect()) == [
+        (0, "/a"), (0, "/b"), (1, "/c")]
 
 
 def test_results_keep_every_row_of_a_big_group(spark, tmp_path):
