@@ -93,3 +93,9 @@ def duration_delta_text(diff: Column) -> Column:
     body = F.when(a >= 3600, F.format_string("%dh%02dm%02ds", h, m, s)).when(
         a >= 60, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
     return F.when(diff == 0, "=").otherwise(F.concat(F.when(diff < 0, "-").otherwise("+"), body))
+
+
+def exif_timestamp(text) -> Column:
+    """Date of an EXIF text such as 2024:05:06 07:08:09; null where it is not one."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.try_to_timestamp(F.trim(c), F.lit("yyyy:MM:dd HH:mm:ss"))

@@ -27,10 +27,13 @@ HINTS = {
 # -----------------------------------------------------------------------------------------
 
 
-def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: int, side: int) -> DataFrame:
-    """(src, dst, gate, step, pass, measured, required, hint, first_failure, is_duplicate).
+def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: int, side: int,
+                  emb: DataFrame | None = None, frame_hash=None) -> DataFrame:
+    """(src, dst, gate, step, pass, measured, required, hint, first_failure, is_duplicate, similarities).
 
-    ``features`` may carry ``excluded_reason`` and ``flags``; files without frames have null gray.
+    ``features`` may carry ``excluded_reason`` and ``flags``; files without frames have null gray. With flipped
+    comparison or AI on, rows ``flip`` and ``ai`` tell how these fared; the visual gate passes when any of the
+    rules does. ``similarities`` has the share of equal brightness of every sampled position.
     """
     cols = ["is_image", "duration_s", "folder", "size", "dev", "inode", "gray", "phashes"]
     extra = [c for c in ("excluded_reason", "flags") if c in features.columns]
@@ -53,7 +56,7 @@ def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: in
     judged = matching.classic_verdict(wide, cfg, k, pixels).withColumn("orientation", F.lit("normal"))
     if cfg.compare_flipped:
         mirrored = matching.flipped(
-            features.select("file_id", "gray", "phashes").where("gray IS NOT NULL"), k, side)
+            features.select("file_id", "gray", "phashes").where("gray IS NOT NULL"), k, side, frame_hash)
         m = mirrored.select(F.col("file_id").alias("src"), F.col("gray").alias("m_gray"), F.col("phashes").alias("m_ph"))
         other = wide.join(m, "src").withColumn("a_gray", F.col("m_gray")).withColumn("a_phashes", F.col("m_ph"))
         other = matching.classic_verdict(other, cfg, k, pixels).select("src", "dst", F.col("difference").alias("mdiff"))
@@ -61,6 +64,22 @@ def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: in
         better = F.col("mdiff").isNotNull() & (F.col("difference").isNull() | (F.col("mdiff") < F.col("difference")))
         judged = judged.withColumn("orientation", F.when(better, "flipped").otherwise("normal")) \
             .withColumn("difference", F.when(better, F.col("mdiff")).otherwise(F.col("difference")))
+    used = list(GATES)
+    if cfg.compare_flipped:
+        used.append("flip")
+    else:
+        judged = judged.withColumn("mdiff", F.lit(None).cast("double"))
+    visual = F.col("difference").isNotNull()
+    if cfg.use_ai and emb is not None:
+        judged = judged.join(matching.ai_similarity(pairs, emb, k), ["src", "dst"], "left")
+        by_ai = F.coalesce(F.col("ai_sim") >= cfg.ai_threshold, F.lit(False))
+        visual = visual | by_ai
+        used.append("ai")
+    else:
+        judged, by_ai = judged.withColumn("ai_sim", F.lit(None).cast("double")), F.lit(False)
+    at = lambda s, p: F.slice(f"{s}_gray", p * pixels + 1, pixels)
+    judged = judged.withColumn("similarities", F.array(*[
+        1 - frames.sad(at("a", p), at("b", p)) / F.lit(float(pixels * 256)) for p in range(k)]))
     raw = frames.sad("a_gray", "b_gray") / F.lit(float(k * pixels * 256))
     text = lambda c: F.round(c, 6).cast("string")
     image = F.col("a_is_image")
@@ -70,16 +89,18 @@ def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: in
         "frames": (usable, F.lit(None).cast("string"), F.lit(f"{k} frame(s) each")),
         "duration": (image | (gap <= tol), text(gap), text(tol)),
         "folder": (folder_ok, F.lit(None).cast("string"), F.lit(cfg.folder_mode)),
-        "visual": (F.col("difference").isNotNull(), text(F.coalesce("difference", raw)), text(F.lit(cfg.gray_fraction))),
+        "flip": (F.col("mdiff").isNotNull(), text("mdiff"), text(F.lit(cfg.gray_fraction))),
+        "ai": (by_ai, text("ai_sim"), text(F.lit(cfg.ai_threshold))),
+        "visual": (visual, text(F.coalesce("difference", raw)), text(F.lit(cfg.gray_fraction))),
         "hardlink": (~linked | F.lit(not cfg.exclude_hardlinks), F.lit(None).cast("string"), F.lit("different files")),
     }
     steps = F.array(*[F.struct(
         F.lit(i).alias("step"), F.lit(g).alias("gate"), F.coalesce(facts[g][0], F.lit(False)).alias("pass"),
-        facts[g][1].alias("measured"), facts[g][2].alias("required")) for i, g in enumerate(GATES)])
-    failed = F.filter("gates", lambda x: ~x["pass"])
+        facts[g][1].alias("measured"), facts[g][2].alias("required")) for i, g in enumerate(used)])
+    failed = F.filter("gates", lambda x: ~x["pass"] & ~x["gate"].isin("flip", "ai"))
     hint = F.lit(None).cast("string")
     for g, h in HINTS.items():
         hint = F.when((F.col("gate") == g) & ~F.col("pass"), h).otherwise(hint)
     return judged.withColumn("gates", steps).withColumn("first_failure", F.get(failed, F.lit(0))["gate"]) \
-        .select("src", "dst", "orientation", "first_failure", F.inline("gates")) \
+        .select("src", "dst", "orientation", "first_failure", "similarities", F.inline("gates")) \
         .withColumn("hint", hint).withColumn("is_duplicate", F.col("first_failure").isNull())

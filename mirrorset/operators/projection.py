@@ -80,11 +80,14 @@ def sort_groups(view: DataFrame, ascending: bool = False) -> DataFrame:
 
 
 def page(view: DataFrame, number: int, size: int, ascending: bool = False) -> DataFrame:
-    """One page of sorted groups; the page number is clamped to the existing pages."""
+    """One page of sorted groups; the page number is clamped to the existing pages.
+
+    Groups are numbered over range partitions, so a deep page costs no more than the first.
+    """
     pages = max(1, -(-view.count() // size))
     at = min(max(number, 1), pages)
-    ordered = sort_groups(view, ascending)
-    return ordered.offset((at - 1) * size).limit(size) if at > 1 else ordered.limit(size)
+    ranked = numbered_overall(view, group_order(ascending), "_rn")
+    return ranked.where(F.col("_rn").between((at - 1) * size + 1, at * size)).orderBy("_rn").drop("_rn")
 
 
 def results_filter(items: DataFrame, path: str = "", file_type: str = "all", low: float = 0.0,

@@ -293,7 +293,8 @@ def where_expression(items: DataFrame, expression: str) -> DataFrame:
     """
     import re
 
-    if re.search(r";|:=|\b(select|from)\b", expression, re.IGNORECASE):
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''", expression)
+    if re.search(r";|:=|\b(select|from)\b", bare, re.IGNORECASE):
         raise ValueError("only a boolean column expression is allowed")
     probe = items.select(F.expr(f"({expression})").alias("m"))
     if probe.schema["m"].dataType.typeName() != "boolean":

@@ -161,3 +161,18 @@ def test_chunked_windows_cross_borders(spark):
     finally:
         mod.in_chunks.__defaults__ = old
     assert whole == cut and sorted(whole) == list(range(4, 50))
+
+
+def test_exif_timestamp(spark):
+    df = spark.createDataFrame([("2024:05:06 07:08:09",), (" 2024:05:06 07:08:09 ",), ("0000:00:00",), (None,)], "t string")
+    got = [str(r.x) for r in df.select(media.exif_timestamp("t").alias("x")).collect()]
+    assert got == ["2024-05-06 07:08:09"] * 2 + ["None"] * 2
+
+
+def test_where_expression_reads_words_inside_strings(spark):
+    from mirrorset.operators.selection import where_expression
+
+    df = spark.createDataFrame([(1, "select from"), (1, "b")], "group_id bigint, path string")
+    assert [r.path for r in where_expression(df, "path = 'select from'").collect()] == ["select from"]
+    with pytest.raises(ValueError):
+        where_expression(df, "path IN (SELECT 'b')")

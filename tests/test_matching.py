@@ -361,3 +361,17 @@ def test_audit_recall(spark):
     b = spark.createDataFrame([(1, 2), (5, 6)], "src int, dst int")
     got = {(r.kind, r.src) for r in partial.audit_join_recall(a, b, ["src", "dst"]).collect()}
     assert got == {("missing", 5), ("extra", 3)}
+
+
+def test_explain_tells_flip_and_ai(spark):
+    from mirrorset.operators.explain import explain_pairs
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 256, (8, 8)), rng.integers(0, 256, (8, 8))
+    f = features(spark, [file_row(1, a.ravel().tolist()), file_row(2, a[:, ::-1].ravel().tolist()), file_row(3, b.ravel().tolist())])
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "src bigint, dst bigint")
+    emb = embeddings(spark, {1: [127, 0], 2: [0, 127], 3: [127, 0]})
+    rows = explain_pairs(pairs, f, MatchConfig(compare_flipped=True, use_ai=True), 1, 8, emb, median_bits).collect()
+    got = {(r.dst, r.gate): r["pass"] for r in rows}
+    assert got[2, "flip"] and not got[2, "ai"] and got[2, "visual"] and not got[3, "flip"] and got[3, "ai"] and got[3, "visual"]
+    assert all(r.is_duplicate and len(r.similarities) == 1 and 0 <= r.similarities[0] <= 1 for r in rows)
