@@ -134,7 +134,13 @@ def _audio_flags(spark, sf):
     return X.audio_flags(c).select("file_id", "flags")
 
 
-@query("embed_frames")
+@query("embed_frames", O.with_(O.FRAMES_VEC, O.EMB) + """,
+m AS (SELECT file_id, gray, list_avg(gray) AS m FROM frames_vec WHERE file_id % 3 <> 0),
+c AS (SELECT file_id, list_transform(gray, lambda x: x - m) AS c FROM m),
+n AS (SELECT file_id, c, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-9::DOUBLE) AS n FROM c),
+q AS (SELECT file_id, list_transform(c, lambda x: greatest(-127, least(127, round_even(x / n * 127, 0)))::INT) AS q FROM n
+ UNION ALL SELECT vec_id * 3, q FROM emb WHERE copy = 0)
+SELECT '/v/'||file_id AS path, file_id AS size, 7::BIGINT AS mtime, 0 AS pos_idx, array_to_string(q, ',') AS q FROM q""")
 def _embed(spark, sf):
     rows = V.frames_vec(spark, sf).select(F.concat(F.lit("/v/"), "file_id").alias("path"), F.col("file_id").alias("size"),
                                           F.lit(7).cast("bigint").alias("mtime"), F.lit(0).alias("pos_idx"), "gray")
@@ -142,6 +148,7 @@ def _embed(spark, sf):
                                                       F.lit(7).cast("bigint").alias("mtime"), F.lit(0).alias("pos_idx"), "q")
 
     def unit(pixels):
+        pixels = pixels.astype(np.float64)
         centred = pixels - pixels.mean(axis=1, keepdims=True)
         return centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
 

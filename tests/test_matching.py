@@ -375,3 +375,13 @@ def test_explain_tells_flip_and_ai(spark):
     got = {(r.dst, r.gate): r["pass"] for r in rows}
     assert got[2, "flip"] and not got[2, "ai"] and got[2, "visual"] and not got[3, "flip"] and got[3, "ai"] and got[3, "visual"]
     assert all(r.is_duplicate and len(r.similarities) == 1 and 0 <= r.similarities[0] <= 1 for r in rows)
+
+
+def test_pairs_by_duration_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [file_row(i, [0] * 64, rng.choice([1.0, 5.0, 5.5, 60.0, 61.0, 72.0, 300.0]), is_image=i % 6 == 0) for i in range(60)]
+    for cfg in (MatchConfig(), MatchConfig(duration_percent=1.0, duration_min_s=4.0, duration_max_s=9.0), MatchConfig(duration_percent=0.0)):
+        got = [(r.src, r.dst) for r in B.pairs_by_duration(features(spark, rows), features(spark, rows), cfg).collect()]
+        want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and (
+            a[1] or abs(a[2] - b[2]) <= min(cfg.tolerance(a[2]), cfg.tolerance(b[2])))}
+        assert len(got) == len(set(got)) and set(got) == want
