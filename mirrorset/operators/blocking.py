@@ -186,30 +186,40 @@ def with_sums(df: DataFrame, side: int) -> DataFrame:
     return cells.select(*df.columns, *[F.get("_sums", F.lit(i)).alias(n) for i, n in enumerate(SUMS)])
 
 
+def _walsh(pattern: int) -> list[int]:
+    """Signs of the grid cells: 0 all equal, 1 top against bottom, 2 left against right, 3 both."""
+    return [(-1) ** ((pattern & 1) * (i // GRID // (GRID // 2)) + (pattern >> 1) * (i % GRID // (GRID // 2)))
+            for i in range(GRID * GRID)]
+
+
+def signed_cells(limit: int, patterns: int) -> list[Column]:
+    """Cell numbers of signed grid sums; frames within the limit lie at most one cell apart on each."""
+    return [F.floor(sum((F.col(c) if s > 0 else -F.col(c)) for c, s in zip(SUMS, _walsh(p))) / (limit + 1)) for p in range(patterns)]
+
+
 def gray_candidates(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int, side: int,
-                    order: Column | None = None) -> DataFrame:
+                    order: Column | None = None, patterns: int = 3) -> DataFrame:
     """(src, dst) whose grid sums do not rule out the gray limit.
 
-    The difference of any partial pixel sum is at most the pixel difference itself, so the top
-    and bottom halves of matching files lie within one cell of the limit's width, and the summed
-    differences of all grid cells stay within the limit.
+    A sum of pixels with any signs changes by at most the pixel difference itself, so matching files
+    lie within one cell of the limit's width on every signed sum, and the summed differences of all
+    grid cells stay within the limit. Each of the ``patterns`` signed sums is a key column over twice the
+    range of a half-frame sum; more of them give more cells and never change the result.
     """
     limit = cfg.gray_limit(side * side, k)
     cols = ["file_id", "is_image", "duration_s", "folder", *SUMS]
-    half = len(SUMS) // 2
+    names = [f"_w{p}" for p in range(patterns)]
 
     def celled(df: DataFrame) -> DataFrame:
         df = df if SUMS[0] in df.columns else with_sums(df, side)
-        return base_cells(df.select(*cols), cfg) \
-            .withColumn("_top", F.floor(sum(F.col(c) for c in SUMS[:half]) / (limit + 1))) \
-            .withColumn("_bottom", F.floor(sum(F.col(c) for c in SUMS[half:]) / (limit + 1)))
+        return base_cells(df.select(*cols), cfg).withColumns(dict(zip(names, signed_cells(limit, patterns))))
 
-    l = widen_duration(celled(left), cfg) \
-        .withColumn("_top", F.explode(near(F.col("_top")))) \
-        .withColumn("_bottom", F.explode(near(F.col("_bottom"))))
+    l = widen_duration(celled(left), cfg)
+    for n in names:
+        l = l.withColumn(n, F.explode(near(F.col(n))))
     bound = sum(F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) for c in SUMS) <= limit
     cond = (ordered_ids() if order is None else order) & bound & video_or_gate(cfg)
-    return cell_join(l, celled(right), [*BASE_KEYS, "_top", "_bottom"], cond).select(
+    return cell_join(l, celled(right), [*BASE_KEYS, *names], cond).select(
         F.col("l.file_id").alias("src"), F.col("r.file_id").alias("dst"))
 
 

@@ -385,3 +385,20 @@ def test_pairs_by_duration_equal_brute_force(spark):
         want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and (
             a[1] or abs(a[2] - b[2]) <= min(cfg.tolerance(a[2]), cfg.tolerance(b[2])))}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_signed_sums_leave_few_candidates(spark):
+    """Pairs that meet in a cell, for the half-frame sums of before and for the signed sums."""
+    rng = np.random.default_rng(3)
+    shape = np.kron(rng.integers(0, 256, (1500, 4, 4)), np.ones((2, 2), int)).reshape(1500, 64)
+    f = B.with_sums(features(spark, [file_row(i, x.tolist(), is_image=True) for i, x in enumerate(shape)]), 8)
+    limit = MatchConfig().gray_limit(64, 1)
+    rows = np.array(f.select(*B.signed_cells(limit, 3), *B.SUMS).collect())
+    signed, sums = rows[:, :3], rows[:, 3:]
+    halves = np.stack([sums[:, :8].sum(axis=1), sums[:, 8:].sum(axis=1)], axis=1) // (limit + 1)
+
+    def met(cells):
+        return sum(int((np.abs(cells - c) <= 1).all(axis=1).sum()) - 1 for c in cells) / 2
+
+    assert 4 * met(signed) < met(halves)
+    assert all(abs(np.dot(B._walsh(p), B._walsh(q))) == 16 * (p == q) for p in range(4) for q in range(4))
