@@ -18,7 +18,7 @@ from mirrorset.streaming import catalog_stream, events, sinks, stateful
 
 
 @query("top_duplicate_groups", O.with_(MQ.EDGES_DOC, MQ.COMPONENTS, recursive=True) + """,
-bd AS (SELECT dst AS file_id, min(difference) AS difference FROM edges GROUP BY dst),
+bd AS (SELECT file_id, min(difference) AS difference FROM (SELECT dst AS file_id, difference FROM edges UNION ALL SELECT src, difference FROM edges) GROUP BY file_id),
 it AS (SELECT g.group_id, c.file_id, path, size, (1 - coalesce(bd.difference, 0)) * 100 AS similarity, width + height AS fs,
  max(width + height) OVER (PARTITION BY g.group_id) AS mf, min(size) OVER (PARTITION BY g.group_id) AS ms
  FROM grp g JOIN catalog c USING (file_id) LEFT JOIN bd USING (file_id))

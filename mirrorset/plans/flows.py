@@ -60,8 +60,9 @@ def doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("is_reference", F.lit(False))
     edges = cut_lineage(matching.find_edges(V.features_doc(spark, sf_dir, 1), MatchConfig(), 1, V.SIDE), "edges")
     groups = graph.components(edges)
-    best = edges.select(F.col("dst").alias("file_id"), "difference").groupBy("file_id").agg(
-        F.min("difference").alias("difference"))
+    ends = edges.select(F.col("dst").alias("file_id"), "difference").unionByName(
+        edges.select(F.col("src").alias("file_id"), "difference"))
+    best = ends.groupBy("file_id").agg(F.min("difference").alias("difference"))
     rows = groups.join(best, "file_id", "left").select(
         "group_id", "file_id", F.coalesce("difference", F.lit(0.0)).alias("difference"), F.lit(0).alias("flags"))
     return duplicate_items(rows.drop("flags"), catalog).withColumn("flags", F.lit(0))
