@@ -37,7 +37,7 @@ ROWS_PER_PART = 8192
 #: The dictionary is trained on at most so many documents, picked by hash, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
 #: Encoded words that a worker keeps for reuse; more only costs time, never results.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 700_000
 _RUN_WORDS, _RUNS = 64, 256
 _UNEVEN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
