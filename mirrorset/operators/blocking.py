@@ -15,6 +15,8 @@ from mirrorset.config import MatchConfig
 from mirrorset.functions.bits import band_layout, band_value, col
 
 ROWS_PER_BLOCK = 20_000
+#: Above these row counts a third and a fourth signed sum pay for the copies they cost.
+ROWS_FOR_THREE_SUMS, ROWS_FOR_FOUR_SUMS = 50_000, 2_000_000
 MAX_BANDED_BITS = 7
 
 
@@ -198,16 +200,20 @@ def signed_cells(limit: int, patterns: int) -> list[Column]:
 
 
 def gray_candidates(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int, side: int,
-                    order: Column | None = None, patterns: int = 3) -> DataFrame:
+                    order: Column | None = None, patterns: int | None = None) -> DataFrame:
     """(src, dst) whose grid sums do not rule out the gray limit.
 
     A sum of pixels with any signs changes by at most the pixel difference itself, so matching files
     lie within one cell of the limit's width on every signed sum, and the summed differences of all
     grid cells stay within the limit. Each of the ``patterns`` signed sums is a key column over twice the
-    range of a half-frame sum; more of them give more cells and never change the result.
+    range of a half-frame sum; more of them give more cells and more copies of each row, and never
+    change the result. By default there are as many as the number of rows calls for.
     """
     limit = cfg.gray_limit(side * side, k)
     cols = ["file_id", "is_image", "duration_s", "folder", *SUMS]
+    if patterns is None:
+        rows = right.count()
+        patterns = 2 + (rows > ROWS_FOR_THREE_SUMS) + (rows > ROWS_FOR_FOUR_SUMS)
     names = [f"_w{p}" for p in range(patterns)]
 
     def celled(df: DataFrame) -> DataFrame:

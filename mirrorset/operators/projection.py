@@ -79,13 +79,20 @@ def sort_groups(view: DataFrame, ascending: bool = False) -> DataFrame:
     return view.orderBy(*group_order(ascending))
 
 
+#: Depth up to which a page is cut from the top rows of every task.
+SORTED_AT_ONCE = 10_000
+
+
 def page(view: DataFrame, number: int, size: int, ascending: bool = False) -> DataFrame:
     """One page of sorted groups; the page number is clamped to the existing pages.
 
-    Groups are numbered over range partitions, so a deep page costs no more than the first.
+    Up to SORTED_AT_ONCE groups from the top are found by each task's own best rows. For deeper pages the groups
+    are numbered over range partitions, so that no task sorts or skips them all.
     """
     pages = max(1, -(-view.count() // size))
     at = min(max(number, 1), pages)
+    if at * size <= SORTED_AT_ONCE:
+        return sort_groups(view, ascending).offset((at - 1) * size).limit(size)
     ranked = numbered_overall(view, group_order(ascending), "_rn")
     return ranked.where(F.col("_rn").between((at - 1) * size + 1, at * size)).orderBy("_rn").drop("_rn")
 

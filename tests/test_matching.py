@@ -401,4 +401,7 @@ def test_signed_sums_leave_few_candidates(spark):
         return sum(int((np.abs(cells - c) <= 1).all(axis=1).sum()) - 1 for c in cells) / 2
 
     assert 4 * met(signed) < met(halves)
+    few = f.where("file_id < 120").cache()
+    found = [rows_of(B.gray_candidates(few, few, MatchConfig(), 1, 8, patterns=n)) for n in (1, 2, 3, 4)]
+    assert found[0] == found[1] == found[2] == found[3]
     assert all(abs(np.dot(B._walsh(p), B._walsh(q))) == 16 * (p == q) for p in range(4) for q in range(4))

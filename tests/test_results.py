@@ -169,3 +169,10 @@ def test_results_keep_every_row_of_a_big_group(spark, tmp_path):
     stores.write_results(df, str(tmp_path / "r"))
     back = stores.read_results(spark, str(tmp_path / "r"), "item_id:bigint,path:string,similarity:double")
     assert rows_of(back.select("group_id", "item_id", "path", "similarity")) == rows_of(df)
+
+
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    view = spark.range(300).selectExpr("id AS group_id", "cast(id % 7 AS double) AS min_similarity", "id % 11 AS savings")
+    shallow = [r.group_id for r in projection.page(view, 4, 20).collect()]
+    monkeypatch.setattr(projection, "SORTED_AT_ONCE", 10)
+    assert [r.group_id for r in projection.page(view, 4, 20).collect()] == shallow and len(shallow) == 20
