@@ -153,4 +153,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     if bad.isEmpty():
         return kept
     host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host_col)))
-    return kept.withColumn("_host", host).join(bad.withColumnRenamed("host", "_host"), "_host", "left_anti").select(*names)
+    return kept.select(F.struct(*[F.col(c) for c in names]).alias("row"), host.alias("host")).join(bad, "host", "left_anti").select("row.*")

@@ -191,20 +191,17 @@ def hex_fingerprint(col: str = "fp"):
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group: that of the smallest id.
 
-    Repeated rows of the kept id and text leave one row. In a group without any id one row stays.
+    Repeated rows of the kept id and text leave one row; rows of one id with different texts stay or go
+    together. In a group without any id one row stays.
     """
     groups = near_groups(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .groupBy("doc_id").agg(F.min("fp").alias("_fp"))
-    named = kept.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"), "_fp")
-    rows = docs.where(F.col(id_col).isNotNull()).join(named, F.col(id_col) == F.col("_kept"), "left_semi")
-    rows = rows.dropDuplicates([id_col, text_col])
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    rows = docs.join(named, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
     nameless = groups.where("component_id IS NULL").select("fp").distinct()
     if nameless.isEmpty():
         return rows
-    loose = docs.where(F.col(id_col).isNull()).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    marked = loose.dropDuplicates(["_text"])
-    fps = fingerprints(marked.select(F.xxhash64("_text").alias("_id"), F.col("_text")), "_id", "_text") \
-        .join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id"))
-    alone = marked.withColumn("_id", F.xxhash64("_text")).join(fps, "_id", "left_semi").drop("_id", "_text")
-    return rows.unionByName(alone)
+    loose = docs.where(F.col(id_col).isNull()).select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")) \
+        .dropDuplicates(["t"]).withColumn("k", F.xxhash64("t"))
+    first = fingerprints(loose, "k", "t").join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("k"))
+    return rows.unionByName(loose.join(first.select("k"), "k", "left_semi").select("row.*"))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mirrorset.llm import (arrays, fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, quality,
                            surrogates, token_files)
@@ -171,6 +172,11 @@ def test_near_groups_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "x y z w")], "doc_id bigint, text string")
     assert [r["component_id"] for r in near_copies.near_groups(df).collect()] == [None] * 3
     assert near_copies.drop_near_copies(df).count() == 2
+    wide = df
+    for c in CLASHING:
+        wide = wide.withColumn(c, df["text"])
+    left = near_copies.drop_near_copies(wide)
+    assert left.columns == wide.columns and sorted(r["_text"] for r in left.collect()) == ["a b c d", "x y z w"]
 
 
 # ---- 9 host rules
@@ -203,8 +209,10 @@ def test_host_verdicts_shrink(spark):
 def test_bad_host_rejects_all_its_documents(spark):
     good, junk = " ".join(f"w{i}" for i in range(30)), "too short"
     rows = [(i, junk if i % 10 else good, "en", "bad", 1) for i in range(300)] + [(1000 + i, good, "en", "fine", 1) for i in range(300)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(r["doc_id"] for r in host_rules.keep_good(df).collect()) == list(range(1000, 1300))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_host", F.col("lang")).withColumn("host", F.col("lang"))
+    kept = host_rules.keep_good(df)
+    assert kept.columns == df.columns and {(r["_host"], r["host"]) for r in kept.collect()} == {("en", "en")}
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(1000, 1300))
     assert {r["doc_id"] for r in host_rules.quality_verdicts(df).where("kept").collect()} == set(range(1000, 1300))
 
 
@@ -600,8 +608,6 @@ def test_pipeline_against_brute_force(spark, sf, texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=PIECES)
     times = Counter(r["doc_id"] for r in rows)
     assert max(times.values()) <= 3 and all(list(r["ids"]) == sp.encode(clean[r["doc_id"]]) for r in rows)
-    from pyspark.sql import functions as F
-
     before_mix = docs.where(F.col("doc_id").isin(sorted(alone)))
     wanted = Counter()
     for name, f in p.STAGES[:3]:
