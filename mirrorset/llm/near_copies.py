@@ -9,6 +9,11 @@ differ in two bytes only, so a posting never has more than 65,536 of them, whate
 its links are settled exactly in one step over the 16 open bits. Each fingerprint is tied to the
 smallest one it reaches inside the posting, so the output is linear even for thousands of near
 copies, while the components are those of all links.
+
+Copies by similarity of shingle sets differ in too many bits for that index (Jaccard 0.8 is about 3 to
+11 of 64 bits). ``similar_links`` finds them by banded MinHash postings and checks every candidate on
+the whole shingle sets, so no pair below the limit links; a pair at the limit s shares no posting with
+the chance (1 - s ** BAND_ROWS) ** BANDS, 5e-8 at 0.8.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.llm.arrays import FOLD, SPACE, text_blocks, word_spans
+from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans
 from mirrorset.llm.common import cut_lineage, join_facts
 from mirrorset.operators.graph import components
 
 SEED = 42
 MAX_BITS = 2
 OPEN = list(combinations(range(8), 2))
+BANDS, BAND_ROWS = 32, 4
+_TURN = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(BANDS, BAND_ROWS, 2)
 _BALL = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))])
 
 
@@ -165,43 +172,229 @@ def links(distinct: DataFrame) -> DataFrame:
         .mapInArrow(_link_batches, "src bigint, dst bigint").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
+    """(hashes, first) of the distinct shingles of every document, ascending; document i has hashes[first[i]:first[i + 1]]."""
+    hashes, doc = shingle_hashes(data, offsets, size)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(offsets) - 1)))
+
+
+def set_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit key of every shingle set; the empty set has key 0."""
+    out, size = np.zeros(len(first) - 1, np.uint64), np.diff(first)
+    if len(hashes):
+        with np.errstate(over="ignore"):
+            out[size > 0] = mix(np.add.reduceat(mix(hashes), first[:-1][size > 0]) + size[size > 0].astype(np.uint64))
+    return out
+
+
+def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posting keys of every set that is not empty: one row a set, one column a band of MinHash values."""
+    at = first[:-1][np.diff(first) > 0]
+    out = np.zeros((len(at), BANDS), np.uint64)
+    if len(at):
+        with np.errstate(over="ignore"):
+            for b in range(BANDS):
+                key = np.full(len(at), b, np.uint64)
+                for turn, factor in _TURN[b]:
+                    key = mix(key + np.minimum.reduceat((hashes ^ turn) * (factor | np.uint64(1)), at))
+                out[:, b] = key
+    return out
+
+
+def _set_batches(words: int):
+    def run(batches):
+        for batch in batches:
+            fps, sizes, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                hashes, first = shingle_sets(data, offsets, words)
+                fps.append(set_keys(hashes, first))
+                sizes.append(np.diff(first))
+                keys.append(bands(hashes, first).ravel())
+            size = np.concatenate(sizes)
+            ends = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.concatenate(fps).view(np.int64)), pa.array(size),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], ["doc_id", "fp", "size", "bands"])
+    return run
+
+
+def _key_batches(words: int, texts: bool):
+    """(fp, text) of every set, once a task, or (doc_id, fp) of every row."""
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            found += [set_keys(*shingle_sets(data, offsets, words)) for _, _, data, offsets in text_blocks(batch.column("text"))]
+            fp = np.concatenate(found).view(np.int64)
+            if not texts:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                continue
+            new = []
+            for i, x in enumerate(fp.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[new]), batch.column("text").take(pa.array(new, pa.int64()))], ["fp", "text"])
+    return run
+
+
+def _whole_postings(batches):
+    """Arrays (key, fp, size, root) of whole postings from rows sorted by key."""
+    rest = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(4)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        cut = int(np.flatnonzero(now[0] != now[0][-1]).max(initial=-1)) + 1
+        rest = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _pivot_batches(low: int, high: int, similarity: float):
+    """Pairs of members low to high - 1 of every posting with all later ones that are not tied yet and have a fitting size."""
+    def run(batches):
+        for key, fp, size, root in _whole_postings(batches):
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(head)
+            n = np.diff(np.append(first, len(key)))
+            start, place = np.repeat(first, n), np.arange(len(key)) - np.repeat(first, n)
+            for p in range(low, min(high, int(n.max()))):
+                at = np.flatnonzero(place > p)
+                pivot = start[at] + p
+                ok = (root[at] != root[pivot]) & (np.minimum(size[at], size[pivot]) >= similarity * np.maximum(size[at], size[pivot]) - 1e-6)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[pivot[ok]]), pa.array(fp[at[ok]])], ["src", "dst"])
+    return run
+
+
+def _shared_batches(batches):
+    """The rows of postings that have more than one member."""
+    for key, fp, size, root in _whole_postings(batches):
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, fp, size)], ["key", "fp", "size"])
+
+
+def _check_batches(words: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                src, dst = part.column("src").to_numpy(), part.column("dst").to_numpy()
+                values, at = np.unique(np.concatenate([src, dst]), return_index=True)
+                both = pa.concat_arrays([part.column("src_text"), part.column("dst_text")]).take(pa.array(at))
+                sets = []
+                for _, _, data, offsets in text_blocks(both):
+                    hashes, first = shingle_sets(data, offsets, words)
+                    sets += [hashes[i:j] for i, j in zip(first[:-1], first[1:])]
+                near = []
+                for a, b in zip(np.searchsorted(values, src), np.searchsorted(values, dst)):
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    near.append(common / (len(sets[a]) + len(sets[b]) - common) >= similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(src[near]), pa.array(dst[near])], ["src", "dst"])
+    return run
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst): links whose components are those of all pairs of sets with a Jaccard index of ``similarity`` or more.
+
+    ``sets`` has unique ``fp`` with ``size`` and ``bands``, ``texts`` (fp, text). Postings are settled in rounds:
+    a few members of each posting against all others that no link ties to them yet, then four times as
+    many. A posting of copies is done after the first round; one of sets below the limit takes all its pairs.
+    """
+    rows = sets.select("fp", "size", F.explode("bands").alias("key")).select("key", "fp", "size", F.col("fp").alias("root"))
+    postings = cut_lineage(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+        _shared_batches, "key bigint, fp bigint, size bigint"), "copy-postings")
+    wanted = cut_lineage(texts.join(postings.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "copy-texts")
+    found = postings.sparkSession.createDataFrame([], "src bigint, dst bigint")
+    low, high, most = 0, 2, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    live = postings.withColumn("root", F.col("fp"))
+    while low < most - 1:
+        pairs = cut_lineage(live.select("key", "fp", "size", "root").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+            _pivot_batches(low, high, similarity), "src bigint, dst bigint").distinct(), "copy-pairs")
+        low, high = high, 4 * high
+        if pairs.isEmpty():
+            continue
+        left = cut_lineage(pairs.groupBy(F.col("src").alias("fp")).agg(F.count(F.lit(1)).alias("n")).join(wanted, "fp").select(
+            F.col("fp").alias("src"), F.col("text").alias("src_text"), "n"), "copy-pivots")
+        right = wanted.select(F.col("fp").alias("dst"), F.col("text").alias("dst_text"))
+        near = join_facts(pairs.join(right, "dst"), left, "src").select("src", "src_text", "dst", "dst_text") \
+            .mapInArrow(_check_batches(words, similarity), "src bigint, dst bigint")
+        found = cut_lineage(found.unionByName(near), "copy-links")
+        tied = cut_lineage(components(found).select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "copy-ties")
+        live = postings.join(tied, "fp", "left").select("key", "fp", "size", F.coalesce("tie", "fp").alias("root"))
+        open_keys = live.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+        most = open_keys.agg(F.max("n")).first()[0] or 0
+    return found
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, similarity: float):
+    """Rows (doc_id, fp), and one row per fp: (fp, component_id, root, n)."""
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    counts = F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")
+    if words is None:
+        rows = cut_lineage(fingerprints(docs, id_col, text_col), "simhash")
+        distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
+        edges = links(distinct)
+    else:
+        sets = cut_lineage(source.mapInArrow(_set_batches(words), "doc_id bigint, fp bigint, size bigint, bands array<bigint>"), "shingle-sets")
+        rows = sets.select("doc_id", "fp")
+        distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
+        texts = source.mapInArrow(_key_batches(words, True), "fp bigint, text string")
+        edges = similar_links(sets.select("fp", "size", "bands").dropDuplicates(["fp"]), texts, words, similarity)
+    groups = components(cut_lineage(edges, "simhash-links"))
+    members = cut_lineage(groups.select(F.col("file_id").alias("fp"), F.col("group_id").alias("root")), "simhash-groups")
+    lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("low"))
+    linked = members.join(lowest, "root").select("fp", "low", "root")
+    facts = cut_lineage(distinct.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root"), "n"), "simhash-facts")
+    return rows, facts
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp bigint, component_id): near-duplicate group of every row.
 
-    Fingerprints within two differing bits link; component_id is the smallest doc_id reachable.
+    Fingerprints within two differing bits link; component_id is the smallest doc_id reachable. With ``words``,
+    fp is the key of the set of shingles of so many words instead, and sets link at a Jaccard index of ``similarity``.
     Null and empty texts share fingerprint 0 and link like any other. Repeated rows stay rows. Rows
     with a null id join groups too; a group of null ids only has a null component_id. Other
     columns are not looked at. An empty table gives an empty result.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-values")
-    groups = components(cut_lineage(links(distinct), "simhash-links"))
-    members = cut_lineage(groups.select(F.col("file_id").alias("fp"), F.col("group_id").alias("root")), "simhash-groups")
-    lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("low"))
-    linked = members.join(lowest, "root").select("fp", "low")
-    facts = cut_lineage(distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("low", "first").alias("component_id"), "n"), "simhash-facts")
-    return join_facts(rows, facts, "fp").select("doc_id", "fp", "component_id")
+    rows, facts = _groups(docs, id_col, text_col, words, similarity)
+    return join_facts(rows, facts.drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(col: str = "fp"):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row of each near-duplicate group: that of the smallest id.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group of ``near_groups``: that of the smallest id.
 
     Repeated rows of the kept id and text leave one row; rows of one id with different texts stay or go
     together. In a group without any id one row stays.
     """
-    groups = near_groups(docs, id_col, text_col)
+    rows, facts = _groups(docs, id_col, text_col, words, similarity)
+    groups = join_facts(rows, facts.drop("root"), "fp")
     named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    rows = docs.join(named, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
-    nameless = groups.where("component_id IS NULL").select("fp").distinct()
+    left = docs.join(named, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    nameless = facts.where("component_id IS NULL").select("fp", "root")
     if nameless.isEmpty():
-        return rows
+        return left
     loose = docs.where(F.col(id_col).isNull()).select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")) \
         .dropDuplicates(["t"]).withColumn("k", F.xxhash64("t"))
-    first = fingerprints(loose, "k", "t").join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("k"))
-    return rows.unionByName(loose.join(first.select("k"), "k", "left_semi").select("row.*"))
+    keyed = fingerprints(loose, "k", "t") if words is None else \
+        loose.select(F.col("k").alias("doc_id"), F.col("t").alias("text")).mapInArrow(_key_batches(words, False), "doc_id bigint, fp bigint")
+    first = keyed.join(nameless, "fp").groupBy("root").agg(F.min("doc_id").alias("k"))
+    return left.unionByName(loose.join(first.select("k"), "k", "left_semi").select("row.*"))

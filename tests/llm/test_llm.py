@@ -168,6 +168,52 @@ def test_drop_near_copies(docs, texts, awkward, empty):
     assert near_copies.drop_near_copies(empty).count() == 0
 
 
+def brute_similar(texts):
+    """Components of all pairs of texts with a Jaccard index of 0.8 or more over five-word shingles."""
+    words = {i: [w.translate(FOLD) for w in WORD.findall(t or "")] for i, t in texts.items()}
+    sets = {i: {" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1e-6 and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                label[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in ids}
+
+
+def test_similar_groups(spark, docs, texts, awkward, empty):
+    """Copies with a few edited words leave one row in the stage, whatever the bits of their fingerprints."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    body = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(250)]
+    rows = dict(texts)
+    for k in range(40):  # a family, and edits of edits that only a chain ties to it
+        rows[10_000 + k] = " ".join(w if rng.random() > 0.008 else w + "x" for w in body)
+        body = body if k % 8 else [w if rng.random() > 0.01 else w + "y" for w in body]
+    for k in range(30):  # sets around the limit
+        rows[20_000 + k] = " ".join(w if rng.random() > 0.03 else f"{w}z{k}" for w in body)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows.items()], SCHEMA)
+    want = brute_similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(df, words=5, similarity=0.8).collect()}
+    assert got == want
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, df, "").collect()) == sorted(set(want.values()))
+    family = [i for i in rows if 10_000 <= i < 20_000]
+    assert len(set(brute_components({i: brute_fingerprint(rows[i]) for i in family}).values())) > len({want[i] for i in family})
+    left = p.near_dedup(spark, awkward, "")
+    assert left.columns == awkward.columns
+    named = {r["doc_id"]: r["text"] for r in awkward.collect() if r["doc_id"] is not None}
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter(set(brute_similar(named).values()))
+    assert p.near_dedup(spark, empty, "").count() == 0
+
+
 def test_near_groups_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "x y z w")], "doc_id bigint, text string")
     assert [r["component_id"] for r in near_copies.near_groups(df).collect()] == [None] * 3
