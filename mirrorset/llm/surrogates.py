@@ -38,22 +38,27 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
              "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
+#: Numbers of another kind that a phone number does not run into.
+_OTHER = r"(?:\d{1,3}\.){3}\d|\d{3}-\d{2}-\d"
+_TITLE = "|".join(re.escape(x) for t in TITLES for x in (t[0].upper() + t[1:], t.upper()))
 _NAME = r"[^\W\d_a-zà-öø-ÿ]\w*(?:[-'’]\w+)*"
 #: Detectors in order; where two overlap, the one that starts first wins, then the earlier in this list.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
-    "secret": r"(?<!\w)(?:password|passwd|pwd|secret|api_key|apikey|token)\s?[=:]\s?['\"]?(?P<secret_value>[^\s,;'\"]{6,})",
+    "secret": r"(?<![^\W_])(?i:password|passwd|pwd|secret|api[_-]?key|token)(?i:[_-]key)?['\"]?\s?[=:]\s?['\"]?(?P<secret_value>[^\s,;'\"]{6,})",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?:\d{1,3})?(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
-    "name": r"(?<!\w)(?:" + "|".join(re.escape(t[0].upper() + t[1:]) for t in TITLES) + r") (?P<name_value>" + _NAME + "(?: " + _NAME + "){0,2})",
+    "phone": r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|"
+             r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!" + _OTHER + r")\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
+    "name": r"(?<!\w)(?:" + _TITLE + r") (?P<name_value>" + _NAME + "(?: " + _NAME + "){0,2})",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+_CARD, _PHONE = re.compile(PATTERNS["card"]), re.compile(PATTERNS["phone"])
 _HEX = re.compile(r"[0-9a-f]{8,}")
-_HINT = re.compile(r"[@=:]|\d{3}|\d\.\d|\+\d|AKIA|ASIA|" + "|".join(re.escape(t[0].upper() + t[1:]) + " " for t in TITLES))
+_HINT = re.compile(r"[@=:]|\d{3}|\d\.\d|\+\d|AKIA|ASIA|" + "(?:" + _TITLE + ") ")
 
 
 def _iban_rest(compact: str) -> int:
@@ -65,38 +70,81 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _before_card(text: str, start: int, end: int) -> int:
+    """Where a phone number ends that runs into a card number; ``end`` if it does not."""
+    at = start
+    while (m := _CARD.search(text, at)) and m.start() < end:
+        if m.end() > end and luhn(re.sub(r"\D", "", m.group())):
+            shorter = _PHONE.match(text, start, m.start())
+            return shorter.end() if shorter else end
+        at = m.start() + 1
+    return end
+
+
+def _repeats(text: str, names: set[str], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of names without their title: the whole name, its first two words, or one word of it.
+
+    A single word counts if the name has at most two (a third may be any capitalised word behind it) and the text
+    does not also use it in lower case.
+    """
+    wanted = set(names)
+    for name in names:
+        words = name.split(" ")
+        wanted.add(" ".join(words[:2]))
+        wanted |= {w for w in words if len(words) <= 2 and len(w) > 2 and not re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)}
+    out, at = [], 0
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(wanted, key=lambda w: (-len(w), w))) + r")(?!\w)", text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            out.append((m.start(), m.end(), "name", m.group()))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of every entity, in order, not overlapping."""
     if not text or not _HINT.search(text):
         return []
-    out = []
-    for m in _FIND.finditer(text):
+    out, names, at = [], set(), 0
+    while m := _FIND.search(text, at):
         kind = m.lastgroup if m.lastgroup in PATTERNS else m.lastgroup.split("_")[0]
         part = f"{kind}_value" if f"{kind}_value" in m.re.groupindex else kind
         value = m.group(part)
         if kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
+            at = m.start() + 1
             continue
-        out.append((m.start(part), m.end(part), kind, value))
-    return out
-
-
-def _permute(x: int, n: int, key: bytes) -> int:
-    """Keyed permutation of 0..n-1."""
+        at = m.end()
+        if kind == "phone":
+            at = _before_card(text, m.start(), at)
+            value = text[m.start():at]
+        if kind == "name":
+            names.add(value)
+        out.append((m.start(part), m.start(part) + len(value), kind, value))
+    return sorted(out + _repeats(text, names, out)) if names else out
+
+
+def _permute(x: int, n: int, key: bytes, back: bool = False) -> int:
+    """Keyed permutation of 0..n-1, or its inverse."""
     if n < 2:
         return x
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     low, size = (1 << half) - 1, (half + 7) // 8
     while True:
-        left, right = x >> half, x & low
-        for r in range(6):
+        left, right = (x & low, x >> half) if back else (x >> half, x & low)
+        for r in range(5, -1, -1) if back else range(6):
             f = hashlib.shake_128(key + bytes([r]) + right.to_bytes(size, "big")).digest(size)
             left, right = right, left ^ (int.from_bytes(f, "big") & low)
-        x = left << half | right
+        x = right << half | left if back else left << half | right
         if x < n:
             return x
 
 
-def _letters(value: str, key: bytes) -> str:
+def _move(x: int, n: int, key: bytes) -> int:
+    """Keyed permutation of 0..n-1 in one cycle, so that nothing stays where it is."""
+    return _permute((_permute(x, n, key) + 1) % n, n, key, back=True)
+
+
+def _letters(value: str, key: bytes, change=_permute) -> str:
     """Permute letters and digits within their script and case; other characters stay."""
     at = [_PLACE.get(c) for c in value]
     pattern = "".join(p[0][0] if p else c for p, c in zip(at, value))
@@ -104,7 +152,7 @@ def _letters(value: str, key: bytes) -> str:
     for p in at:
         if p:
             x, n = x * len(p[0]) + p[1], n * len(p[0])
-    y, out = _permute(x, n, key + pattern.encode()), list(value)
+    y, out = change(x, n, key + pattern.encode()), list(value)
     for i in range(len(value) - 1, -1, -1):
         if at[i]:
             y, k = divmod(y, len(at[i][0]))
@@ -151,11 +199,13 @@ def _email(value: str, key: bytes) -> str:
 
 
 def _name_part(word: str, key: bytes) -> str:
+    if len(word) > 1 and word.isupper() and word.capitalize().upper() == word:
+        return _name_part(word.capitalize(), key).upper()
     gender = _GENDER.get(word)
     if gender is not None:
         names = GIVEN[gender]
-        return names[_permute(names.index(word), len(names), key + gender.encode())]
-    return _walk(word, lambda w: _letters(w, key + b"name"), lambda w: w not in _GENDER)
+        return names[_move(names.index(word), len(names), key + gender.encode())]
+    return _walk(word, lambda w: _letters(w, key + b"name", _move), lambda w: w not in _GENDER)
 
 
 @lru_cache(maxsize=1 << 16)

@@ -612,6 +612,27 @@ def test_surrogates_leave_clean_texts():
         assert surrogates.replace(text) == (text, 0)
 
 
+def test_planted_values_are_replaced():
+    planted = [('TOKEN = "9233A8EC11BB42"', ["9233A8EC11BB42"]), ("db_password=hunter2hunter", ["hunter2hunter"]), ("my openai_api_key: sk123456789", ["sk123456789"]),
+               ('{"Secret": "abcdef99"}', ["abcdef99"]), ("call +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081", "190.137.223.204"]),
+               ("call +49 30 1234 190.137.223.204", ["+49 30 1234", "190.137.223.204"]), ("+44 20 7946 4111 1111 1111 1111.", ["+44 20 7946", "4111 1111 1111 1111"]),
+               ("+1 415 555 2671 2024 was", ["+1 415 555 2671"]), ("Mr. John Smith came. John Smith said, and Smith left.", ["John Smith", "John Smith", "Smith"]),
+               ("MRS. MARY MILLER", ["MARY MILLER"])]
+    for text, values in planted:
+        assert [f[3] for f in surrogates.find(text)] == values
+        new = surrogates.replace(text)[0]
+        assert not any(w in new for v in values for w in [v, *(v.split(" ") if v[0].isalpha() else [])])
+    new = surrogates.replace("Mr. John Smith came. John Smith said, and Smith left.")[0]
+    name = re.match(r"Mr\. (\w+ \w+) came", new)[1]
+    assert new == f"Mr. {name} came. {name} said, and {name.split()[1]} left."
+    phone = "+1 (826) 555-4081"
+    assert surrogates.surrogate("phone", phone) in surrogates.replace(phone + " 190.137.223.204")[0]
+    for round_ in range(8):
+        for n in ["Li", "Xu", "J", "Иванов", *surrogates._GENDER]:
+            assert surrogates.surrogate("name", n, surrogates.KEY, round_) != n
+    assert all(surrogates._permute(surrogates._permute(x, 77, b"k"), 77, b"k", back=True) == x for x in range(77))
+
+
 def test_surrogates_are_permutations():
     values = [f"{i:04d}" for i in range(10_000)]
     assert len({surrogates._letters(v, b"k") for v in values}) == len(values)
