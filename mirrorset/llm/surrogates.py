@@ -49,7 +49,7 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?:\d{1,3})?(?![\w-])",
+    "card": r"(?<![\w-])(?:(?:\d{4}[ -]?){3}\d{4}(?:\d{1,3})?|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|"
              r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!" + _OTHER + r")\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
@@ -70,11 +70,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_card(value: str) -> bool:
+    """A number with the prefix, length and check digit of a payment card."""
+    d = re.sub(r"\D", "", value)
+    n, two, four = len(d), int(d[:2]), int(d[:4])
+    known = d[0] == "4" and n in (16, 19) or n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720) or two in (34, 37) and n == 15 \
+        or 16 <= n <= 19 and (two in (50, 62, 65) or 56 <= two <= 58 or two in (60, 61, 63, 64, 66, 67, 68, 69) or 3528 <= four <= 3589)
+    return known and luhn(d)
+
+
 def _before_card(text: str, start: int, end: int) -> int:
     """Where a phone number ends that runs into a card number; ``end`` if it does not."""
     at = start
     while (m := _CARD.search(text, at)) and m.start() < end:
-        if m.end() > end and luhn(re.sub(r"\D", "", m.group())):
+        if m.end() > end and is_card(m.group()):
             shorter = _PHONE.match(text, start, m.start())
             return shorter.end() if shorter else end
         at = m.start() + 1
@@ -110,7 +119,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         kind = m.lastgroup if m.lastgroup in PATTERNS else m.lastgroup.split("_")[0]
         part = f"{kind}_value" if f"{kind}_value" in m.re.groupindex else kind
         value = m.group(part)
-        if kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
+        if kind == "iban" and _iban_rest(value.replace(" ", "")) != 1 or kind == "card" and not is_card(value):
             at = m.start() + 1
             continue
         at = m.end()
@@ -227,8 +236,8 @@ def surrogate(kind: str, value: str, key: str = KEY, round_: int = 0) -> str:
         leads = value[first] in "01"
         return _walk(value, lambda v: head + _letters(v[len(head):], k + head.encode()), lambda v: (v[first] in "01") == leads)
     if kind == "card":
-        valid, first = luhn(re.sub(r"\D", "", value)), value[0]
-        return _walk(value, lambda v: first + _letters(v[1:], k + first.encode()), lambda v: luhn(re.sub(r"\D", "", v)) == valid)
+        valid, first = is_card(value), value[0]
+        return _walk(value, lambda v: first + _letters(v[1:], k + first.encode()), lambda v: is_card(v) == valid)
     if kind == "iban":
         return _walk(value, lambda v: v[:2] + _letters(v[2:], k + v[:2].encode()), lambda v: _iban_rest(v.replace(" ", "")) == 1)
     if _HEX.fullmatch(value):

@@ -612,6 +612,16 @@ def test_surrogates_leave_clean_texts():
         assert surrogates.replace(text) == (text, 0)
 
 
+def test_only_cards_are_cards():
+    for clean in ("order 9807915762804490 of", "1219538112535716", "4111 1111 1111 1112", "8111111111111114", "0000000000000000"):
+        assert surrogates.replace(clean) == (clean, 0)
+    for card in ("4111 1111 1111 1111", "5555-5555-5555-4444", "2223003122003222", "378282246310005", "3782 822463 10005", "6011000990139424", "3530111333300000"):
+        (found,) = surrogates.find(f"2024 {card} 12 paid")
+        assert found[2:] == ("card", card)
+        new = surrogates.surrogate("card", card)
+        assert new != card and new[0] == card[0] and surrogates.is_card(new) and re.sub(r"\d", "d", new) == re.sub(r"\d", "d", card)
+
+
 def test_planted_values_are_replaced():
     planted = [('TOKEN = "9233A8EC11BB42"', ["9233A8EC11BB42"]), ("db_password=hunter2hunter", ["hunter2hunter"]), ("my openai_api_key: sk123456789", ["sk123456789"]),
                ('{"Secret": "abcdef99"}', ["abcdef99"]), ("call +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081", "190.137.223.204"]),
