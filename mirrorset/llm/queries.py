@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, quality, surrogates, token_files
+from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, prefix_trie, quality, surrogates, token_files
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -119,3 +119,30 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.surrogate_texts(documents(spark, sf_dir))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(prefix_trie.conversation_paths(turns, every=5, shared=prefix_trie.shared_turns))
+
+
+sql("op11_prefix_trie", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, md5(concat(strlen(role), ':', role, ':', text))) AS turns FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, turns, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS bytes FROM o),
+h AS (SELECT conv_id, turns, xor(list_reduce(flatten(list_transform(bytes, lambda x: [x, 0, 0, 0, 0, 0, 0, 0])),
+        lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h FROM b),
+r AS (SELECT h.conv_id, list_concat(coalesce(l.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN o AS l ON l.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(turns) AS size, md5(turns[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(turns[1:d - 1]::VARCHAR) END AS up,
+        CASE WHEN d > 0 THEN strlen(turns[d].t) ELSE 0 END AS bytes FROM r, unnest(range(0, len(turns) + 1)) AS x(d)),
+n AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256 FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (d, k)),
+below AS (SELECT q.d, q.k, sum(f.saved) AS saved_tokens, sum((f.n_children = 0)::INT) AS n_leaves
+        FROM f JOIN p AS own ON own.conv_id = f.conv_id AND own.k = f.k AND own.d = f.d JOIN p AS q ON q.conv_id = f.conv_id AND q.d <= f.d GROUP BY q.d, q.k)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.n_leaves::BIGINT AS n_leaves,
+  below.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN below USING (d, k) LEFT JOIN f AS u ON u.d = f.d - 1 AND u.k = f.up
+""")
