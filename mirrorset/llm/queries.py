@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorset.llm import fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, prefix_trie, quality, surrogates, token_files
+from mirrorset.llm import (fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, prefix_trie, quality, spelling, surrogates,
+                           token_files)
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
@@ -146,3 +147,30 @@ SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_chil
   below.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
 FROM f JOIN below USING (d, k) LEFT JOIN f AS u ON u.d = f.d - 1 AND u.k = f.up
 """)
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(documents(spark, sf_dir))
+
+
+sql("op13_spelling", r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t
+        FROM range(0, 256) AS r(i)),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS hx FROM runs GROUP BY doc_id, run),
+h AS (SELECT run, n, 4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(hx) // 2),
+        lambda i: ('0x' || hx[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])) AS h FROM d, tab),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, range(0, length(word)) AS r(i)),
+pairs AS (SELECT DISTINCT a.word, b.word AS mate, b.n AS mate_n FROM cut AS a JOIN cut AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT DISTINCT a.word, v.word, v.n FROM cut AS a JOIN v ON a.rest = v.word UNION SELECT DISTINCT v.word, a.word, a.n FROM cut AS a JOIN v ON a.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(mate, (-mate_n, mate)) AS mate, max(mate_n) AS mate_n FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN mate_n >= 2 * v.n THEN mate END AS form, CASE WHEN mate_n >= 2 * v.n THEN mate_n END AS form_n
+        FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+last AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN last ON last.word = f.word
+""")
