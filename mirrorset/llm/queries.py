@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorset.llm import (fingerprints, host_rules, languages, lm_scores, mixing, near_copies, pieces, prefix_trie, quality, spelling, surrogates,
+from mirrorset.llm import (fingerprints, host_rules, languages, lm_scores, mixing, near_copies, neighbours, pieces, prefix_trie, quality, spelling, surrogates,
                            token_files)
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
@@ -174,3 +174,8 @@ chain AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT
 last AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN last ON last.word = f.word
 """)
+
+
+@query
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
