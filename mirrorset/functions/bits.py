@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,30 @@ def band_layout(bands: int, width: int = 64) -> list[tuple[int, int]]:
     return layout
 
 
+def hamming_parts(radius: int, width: int = 64, parts: int = 4) -> list[tuple[int, int, int]]:
+    """(shift, length, part radius) of disjoint parts of which one is within its radius if the whole is.
+
+    Up to ``parts`` - 1 bits, one part more than bits is equal. Beyond, the bits are spread: were every one
+    of the first parts over ``radius // parts`` and every other one at that many, there would be too many bits.
+    """
+    count = min(radius + 1, parts)
+    each, left = divmod(radius, count)
+    # ``left`` + 1 parts may hold ``each`` bits; the others hold one less, or are never needed.
+    return [(shift, length, each if i <= left else each - 1) for i, (shift, length) in enumerate(band_layout(count, width))
+            if i <= left or each]
+
+
+def ball(length: int, radius: int) -> list[int]:
+    """All masks of ``length`` bits with at most ``radius`` set, fewest first."""
+    return [sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(length), n)]
+
+
+def probes(value: Column, length: int, radius: int) -> Column:
+    """Array of all values of ``length`` bits within ``radius`` bits of ``value``."""
+    masks = F.split(F.lit(",".join(map(str, ball(length, radius)))), ",").cast("array<bigint>")
+    return F.transform(masks, lambda m: value.bitwiseXOR(m))
+
+
 def band_value(h, shift: int, length: int) -> Column:
     part = F.shiftrightunsigned(col(h), shift)
     return part if length == 64 else part.bitwiseAND(F.lit((1 << length) - 1))

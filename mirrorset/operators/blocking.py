@@ -8,16 +8,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirrorset.config import MatchConfig
-from mirrorset.functions.bits import band_layout, band_value, col
+from mirrorset.functions.bits import band_value, col, hamming_parts, probes
+from mirrorset.runtime import cut_lineage
 
 ROWS_PER_BLOCK = 20_000
 #: Above these row counts a third and a fourth signed sum pay for the copies they cost.
 ROWS_FOR_THREE_SUMS, ROWS_FOR_FOUR_SUMS = 50_000, 2_000_000
-MAX_BANDED_BITS = 7
+#: Bits of one part of a hash index: a part of 16 bits has 65,536 values to tell rows apart by.
+PART_BITS = 16
+#: Vectors per pivot of a metric join, and most pivots; pivots come from a sample, the index has every vector.
+ROWS_PER_PIVOT, MOST_PIVOTS, SAMPLES_PER_PIVOT = 400, 2048, 8
+#: Most distinct sets of free grid cells that masked comparison tells apart.
+MOST_FREE_SETS = 4096
 
 
 def duration_bin(seconds, cfg: MatchConfig) -> Column:
@@ -136,27 +146,27 @@ def phash_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int,
                 order: Column | None = None) -> DataFrame:
     """Video pairs within the Hamming bound at the required number of positions.
 
-    A pair passing q of k positions passes one of any k-q+1 positions, and a position within b
-    bits shares one of b+1 disjoint bit bands: joining on those bands loses nothing. Pairs that
-    share several bands are kept only on the first one, so no distinct is needed.
+    A pair passing q of k positions passes one of any k-q+1 positions, and hashes within b bits are
+    within b/4 bits in one of four parts (:func:`hamming_parts`): the left side asks for all values so
+    near to its own, the right side is stored once a part. Nothing is lost, for any b. A pair that
+    meets in several parts is kept on the first one, so no distinct is needed.
     """
     need, bits = cfg.required_positions(k), cfg.max_bits
     cols = ["file_id", "is_image", "duration_s", "folder", "phashes"]
     l = base_cells(left.select(*cols).where(~F.col("is_image")), cfg)
     r = base_cells(right.select(*cols).where(~F.col("is_image")), cfg)
-    cond = (ordered_ids() if order is None else order) & video_or_gate(cfg)
-    keys = list(BASE_KEYS)
-    if bits <= MAX_BANDED_BITS:
-        bands = [(p, s, n) for p in range(k - need + 1) for s, n in band_layout(bits + 1)]
-        cells = F.array(*[F.struct(F.lit(i).alias("_band"), band_value(
-            F.get("phashes", F.lit(p)), s, n).alias("_value")) for i, (p, s, n) in enumerate(bands)])
-        l = l.select("*", F.inline(cells))
-        r = r.select("*", F.inline(cells))
-        keys += ["_band", "_value"]
-        first = F.coalesce(*[
-            F.when(band_value(_xor(p), s, n) == 0, F.lit(i)) for i, (p, s, n) in enumerate(bands)])
-        cond = cond & (first == F.col("l._band"))
-    joined = cell_join(widen_duration(l, cfg), r, keys, cond & phash_quorum(k, need, bits))
+    parts = [(p, *part) for p in range(k - need + 1) for part in hamming_parts(bits, parts=64 // PART_BITS)]
+    value = [band_value(F.get("phashes", F.lit(p)), s, n) for p, s, n, _ in parts]
+    stored = F.array(*[F.struct(F.lit(i).alias("_part"), v.alias("_value")) for i, v in enumerate(value)])
+
+    def asks(i: int, v: Column, length: int, radius: int) -> Column:
+        return F.transform(probes(v, length, radius), lambda x: F.struct(F.lit(i).alias("_part"), x.alias("_value")))
+
+    asked = F.flatten(F.array(*[asks(i, v, n, radius) for i, (v, (_, _, n, radius)) in enumerate(zip(value, parts))]))
+    first = F.coalesce(*[F.when(F.bit_count(band_value(_xor(p), s, n)) <= radius, F.lit(i)) for i, (p, s, n, radius) in enumerate(parts)])
+    cond = (ordered_ids() if order is None else order) & video_or_gate(cfg) & (first == F.col("l._part"))
+    joined = cell_join(widen_duration(l.select("*", F.inline(asked)), cfg), r.select("*", F.inline(stored)), [*BASE_KEYS, "_part", "_value"],
+                       cond & phash_quorum(k, need, bits))
     return joined.select(
         F.col("l.file_id").alias("src"), F.col("r.file_id").alias("dst"),
         phash_difference(k).alias("difference"))
@@ -229,6 +239,87 @@ def gray_candidates(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int,
         F.col("l.file_id").alias("src"), F.col("r.file_id").alias("dst"))
 
 
+def free_cells(side: int, ignore_black: bool, ignore_white: bool):
+    """Bit set of the grid cells of which no pixel is masked at any position."""
+    from mirrorset.functions.frames import _matrix
+    from mirrorset.schema import BLACK_LIMIT, WHITE_LIMIT
+
+    step = max(1, -(-side // GRID))
+
+    @F.arrow_udf(T.IntegerType())
+    def run(gray: pa.Array) -> pa.Array:
+        if not len(gray):
+            return pa.array([], pa.int32())
+        frame = _matrix(gray).reshape(len(gray), -1, side, side)
+        masked = np.zeros(frame.shape, dtype=bool)
+        if ignore_black:
+            masked |= frame <= BLACK_LIMIT
+        if ignore_white:
+            masked |= frame >= WHITE_LIMIT
+        masked = masked.any(axis=1)
+        free = np.zeros(len(gray), dtype=np.int32)
+        for i in range(GRID * GRID):
+            y, x = divmod(i, GRID)
+            free |= (~masked[:, y * step:(y + 1) * step, x * step:(x + 1) * step].any(axis=(1, 2))).astype(np.int32) << i
+        return pa.array(free, pa.int32())
+
+    return run
+
+
+def free_regions(sets: list[tuple[int, int]], most: int = MOST_FREE_SETS) -> list[tuple[int, int, list[int]]]:
+    """(free, own, regions) of every distinct set of free cells, from (free, rows).
+
+    A file may always count as having fewer free cells than it has: sets beyond the ``most`` frequent ones
+    take the largest kept set they contain (the empty one at worst). ``regions`` are all that ``own`` can have
+    in common with another file's.
+    """
+    ranked = sorted(sets, key=lambda x: (-x[1], x[0]))
+    kept = sorted({x for x, _ in ranked[:most]} | {0})
+    own = {x: x if x in set(kept) else max((y for y in kept if y & ~x == 0), key=lambda y: (y.bit_count(), y)) for x, _ in sets}
+    return [(x, o, sorted({o & y for y in kept})) for x, o in sorted(own.items())]
+
+
+def masked_candidates(left: DataFrame, right: DataFrame, cfg: MatchConfig, k: int, side: int, order: Column | None = None) -> DataFrame:
+    """(src, dst) that masked comparison may accept.
+
+    In a grid cell that both files have free of masked pixels, all pixels count, so the sum of differences
+    there stays within the limit of the whole frame (a mean over fewer pixels allows less). Two files have
+    one region of common free cells; each posts signed sums over every region that some set of free cells
+    in the tables leaves it, and they meet under their own region in neighbouring sums. Files without a
+    common free cell meet by type and duration only.
+    """
+    limit = cfg.gray_limit(side * side, k) + 1
+    cols = ["file_id", "is_image", "duration_s", "folder", "gray", *SUMS]
+    free = free_cells(side, cfg.ignore_black, cfg.ignore_white)
+
+    def known(df: DataFrame) -> DataFrame:
+        return (df if SUMS[0] in df.columns else with_sums(df, side)).select(*cols).withColumn("_free", free("gray")).drop("gray")
+
+    l, r = cut_lineage(known(left), "masked"), cut_lineage(known(right), "masked")
+    # At most 2 ** 16 sets, whatever the tables hold.
+    sets = [(x["_free"], x["n"]) for x in l.select("_free").unionByName(r.select("_free")).groupBy("_free").agg(F.count(F.lit(1)).alias("n")).collect()]
+    regions = left.sparkSession.createDataFrame(free_regions(sets), "_free int, _own int, _regions array<int>")
+
+    def inside(i: int) -> Column:
+        return F.col("_region").bitwiseAND(F.lit(1 << i)) != 0
+
+    def celled(df: DataFrame) -> DataFrame:
+        posted = base_cells(df.join(F.broadcast(regions), "_free"), cfg).withColumn("_region", F.explode("_regions"))
+        for p in range(2):
+            signed = sum(F.when(inside(i), F.col(c) if s > 0 else -F.col(c)).otherwise(0) for i, (c, s) in enumerate(zip(SUMS, _walsh(p))))
+            posted = posted.withColumn(f"_w{p}", F.floor(signed / (limit + 1)))
+        return posted.drop("_regions", "_free")
+
+    l = widen_duration(celled(l), cfg)
+    for p in range(2):
+        l = l.withColumn(f"_w{p}", F.explode(F.when(F.col("_region") == 0, F.array(f"_w{p}")).otherwise(near(F.col(f"_w{p}")))))
+    common = F.col("l._own").bitwiseAND(F.col("r._own")) == F.col("l._region")
+    apart = sum(F.when(F.col("l._region").bitwiseAND(F.lit(1 << i)) != 0, F.abs(F.col(f"l.{c}") - F.col(f"r.{c}"))).otherwise(0) for i, c in enumerate(SUMS))
+    cond = (ordered_ids() if order is None else order) & common & (apart <= limit) & video_or_gate(cfg)
+    return cell_join(l, celled(r), [*BASE_KEYS, "_region", "_w0", "_w1"], cond).select(
+        F.col("l.file_id").alias("src"), F.col("r.file_id").alias("dst"))
+
+
 def with_pair_columns(pairs: DataFrame, left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     """Late materialisation: bring feature columns to candidate pairs as a_* and b_*."""
     a = left.select(F.col("file_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in cols])
@@ -244,8 +335,6 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], payload: list
     block pair is one group, so a group is bounded whatever the cell holds. Rows are shipped
     once per block pair instead of once per candidate pair. ``fn`` gets and returns pandas.
     """
-    import pandas as pd
-
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name))
 
@@ -268,22 +357,101 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], payload: list
     return side(left, True).unionByName(side(right, False)).groupBy(*keys, "_lb", "_rb").applyInPandas(run, schema)
 
 
+class Pivots:
+    """A partition of unit vectors by their nearest pivot, and the cells that vectors within an angle may lie in.
+
+    A vector of cell c is at least as near to c as to any other pivot, so it lies on c's side of the
+    bisector of c and the home pivot of another vector v. If v is farther from that bisector than the
+    angle, nothing in c is within the angle of v. Pairs within the angle therefore meet in the home cell of
+    the one among the cells of the other, once, and none is lost.
+    """
+
+    def __init__(self, points, least_dot: float, longest: float):
+        unit = np.asarray(points, dtype=np.float64).reshape(len(points), -1)
+        self.points = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        #: Smallest cosine between two vectors whose product reaches the limit.
+        cosine = least_dot / (127.0 * 127.0) / max(longest, 1e-12) ** 2
+        self.every = cosine <= 0
+        self.sine = 2.0 if self.every else float(np.sqrt(max(0.0, 1 - min(1.0, cosine) ** 2))) + 1e-9
+
+    def _home(self, q):
+        x = np.asarray(q, dtype=np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x / np.maximum(size, 1e-12)) @ self.points.T
+        return near, near.argmax(axis=1)
+
+    def home(self, q):
+        return [[c] for c in self._home(q)[1].tolist()]
+
+    def reach(self, q):
+        near, home = self._home(q)
+        apart = np.sqrt(np.maximum(2 - 2 * np.clip(self.points @ self.points.T, -1, 1), 0))
+        beyond = near[np.arange(len(home)), home][:, None] - near
+        return [np.flatnonzero(row).tolist() for row in self.every | (beyond <= self.sine * apart[home] + 1e-9)]
+
+
+def pivots_for(vectors: DataFrame, limit: float, rows_per_pivot: int = ROWS_PER_PIVOT) -> Pivots:
+    """Pivots for joining the int8 vectors ``q`` at a cosine of ``limit``; as many as the rows call for."""
+    square = F.aggregate("q", F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint") * x.cast("bigint"))
+    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max(F.size("q")).alias("d")).first()
+    wanted = max(1, min(MOST_PIVOTS, (facts["n"] or 0) // rows_per_pivot))
+    rows = SAMPLES_PER_PIVOT * wanted
+    share = min(1.0, 2.0 * rows / max(1, facts["n"]))
+    some = vectors.where((F.pmod(F.xxhash64("q"), 1_000_000) < math.ceil(share * 1_000_000)) & (square > 0))
+    sample = some.select("q").distinct().orderBy(F.xxhash64(F.lit(1), "q")).limit(rows)
+    points = [[float(x) for x in r["q"]] + [0.0] * (facts["d"] - len(r["q"])) for r in sample.collect()] or [[0.0]]
+    return Pivots(_spread(np.array(points), wanted), (limit - 1e-9) * 127.0 * 127.0, math.sqrt(facts["m"] or 0) / 127.0)
+
+
+def _spread(points: np.ndarray, wanted: int) -> np.ndarray:
+    """``wanted`` of the points, each the one with the least cosine to those taken before."""
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    taken = [0]
+    nearest = unit @ unit[0]
+    while len(taken) < min(wanted, len(unit)):
+        taken.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[taken[-1]])
+    return unit[taken]
+
+
+def with_cells(df: DataFrame, pivots: Pivots, reach: bool) -> DataFrame:
+    """One row per cell of every vector ``q``: its home cell, or all cells in reach. The name is ``_pivot``."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def cells(q: pa.Array) -> pa.Array:
+        if not len(q) or len(pivots.points) == 1:
+            return pa.array([[0]] * len(q), pa.list_(pa.int32()))
+        width = pivots.points.shape[1]
+        x = np.zeros((len(q), width))
+        for i, v in enumerate(q.to_pylist()):
+            x[i, :len(v)] = v[:width]
+        return pa.array(pivots.reach(x) if reach else pivots.home(x), pa.list_(pa.int32()))
+
+    return df.withColumn("_pivot", F.explode(cells("q")))
+
+
 def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: MatchConfig, k: int,
                     ordered: bool = True) -> DataFrame:
     """(src, dst, ai_sim): duration-compatible pairs whose mean cosine reaches the threshold.
 
-    Candidates are the duration bands; each pair of blocks is one integer matrix product per
-    position. ``emb``: file_id, pos_idx, q, bright; at most k rows per file. ``ordered`` keeps src < dst only.
+    A mean reaches the threshold only if one position does, so candidates are files with near vectors at
+    one position: those that meet in a cell of :class:`Pivots` besides type, folder and duration. A pair
+    that meets at several positions is kept on the first one that reaches the threshold. Each pair of
+    blocks is one integer matrix product per position. ``emb``: file_id, pos_idx, q, bright; at most k rows
+    per file. ``ordered`` keeps src < dst only.
     """
-    import numpy as np
-    import pandas as pd
-
     cols = ["file_id", "is_image", "duration_s", "folder"]
     usable = F.when(F.col("bright") & F.col("q").isNotNull(), F.col("q"))
     packed = emb.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos_idx", usable.alias("q")))).alias("qs"))
-    l = widen_duration(base_cells(left.select(*cols), cfg), cfg).join(packed, "file_id")
-    r = base_cells(right.select(*cols), cfg).join(packed, "file_id")
     need, limit = cfg.ai_required(k), cfg.ai_threshold
+    pivots = pivots_for(emb.where("bright AND q IS NOT NULL"), limit)
+
+    def celled(df: DataFrame, reach: bool) -> DataFrame:
+        single = df.join(packed, "file_id").withColumn("_at", F.explode("qs")).where("_at.q IS NOT NULL") \
+            .withColumn("_pos", F.col("_at.pos_idx").cast("int")).withColumn("q", F.col("_at.q")).drop("_at")
+        return with_cells(single, pivots, reach).drop("q")
+
+    l = widen_duration(celled(base_cells(left.select(*cols), cfg), True), cfg)
+    r = celled(base_cells(right.select(*cols), cfg), False)
 
     def matrix(rows: pd.DataFrame, p: int, dims: int):
         m, ok = np.zeros((len(rows), dims), dtype=np.float32), np.zeros(len(rows), dtype=bool)
@@ -300,15 +468,21 @@ def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: Matc
         if not len(a) or not len(b) or dims == 0:
             return empty
         total, count = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), dtype=np.int32)
+        here, earlier = int(a["_pos"].iloc[0]), np.zeros((len(a), len(b)), dtype=bool)
         for p in range(k):
             (x, okx), (y, oky) = matrix(a, p, dims), matrix(b, p, dims)
             both = okx[:, None] & oky[None, :]
-            total += np.where(both, np.clip((x @ y.T).astype(np.float64) / (127.0 * 127.0), -1.0, 1.0), 0.0)
+            cosine = np.where(both, np.clip((x @ y.T).astype(np.float64) / (127.0 * 127.0), -1.0, 1.0), 0.0)
+            if p < here:
+                earlier |= both & (cosine >= limit - 1e-9)
+            elif p == here:
+                earlier |= ~(both & (cosine >= limit - 1e-9))
+            total += cosine
             count += both
         ia, ib = a["file_id"].to_numpy(), b["file_id"].to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = total / count
-        keep = (count >= need) & (mean >= limit)
+        keep = (count >= need) & (mean >= limit) & ~earlier
         if ordered:
             keep &= ia[:, None] < ib[None, :]
         da, db, video = a["duration_s"].to_numpy(), b["duration_s"].to_numpy(), ~a["is_image"].to_numpy(dtype=bool)
@@ -317,5 +491,5 @@ def embedding_pairs(left: DataFrame, right: DataFrame, emb: DataFrame, cfg: Matc
         i, j = np.nonzero(keep & (gate | ~video[:, None]))
         return pd.DataFrame({"src": ia[i], "dst": ib[j], "ai_sim": mean[i, j]})
 
-    return block_join(l, r, BASE_KEYS, ["duration_s", "qs"], compare,
+    return block_join(l, r, [*BASE_KEYS, "_pos", "_pivot"], ["duration_s", "qs"], compare,
                       "src bigint, dst bigint, ai_sim double")

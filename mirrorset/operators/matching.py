@@ -215,7 +215,7 @@ def class_pairs(reps: DataFrame, cfg: MatchConfig, k: int, side: int,
     pixels, lhs = side * side, reps if left is None else left
     masked = cfg.ignore_black or cfg.ignore_white
     if masked:
-        cand = B.pairs_by_duration(lhs, reps, cfg, order)
+        cand = B.masked_candidates(lhs, reps, cfg, k, side, order)
     else:
         gray_left, gray_right = lhs, reps
         if cfg.use_phash and not cfg.combine_gray_and_phash:
@@ -319,7 +319,7 @@ def group_links(features: DataFrame, groups: DataFrame, cfg: MatchConfig, k: int
     matching and the pairs of a group are never listed as such. ``groups``: file_id, group_id.
     """
     inside = cfg.with_(folder_mode="same", folder_depth=1, exclude_hardlinks=False, compare_flipped=False)
-    own = groups.select("file_id", F.concat(F.lit("/g"), F.col("group_id").cast("string"), F.lit("/x")).alias("folder"))
+    own = groups.select("file_id", F.concat(F.lit("/g"), F.col("group_id").cast("string")).alias("folder"))
     rows = features.drop("folder", "duration_s").join(own, "file_id").withColumn("duration_s", F.lit(0.0))
     rows = cut_lineage(B.with_sums(rows, side), "members")
     found = _all_pairs(rows, inside, k, side, emb).select("src", "dst").distinct()

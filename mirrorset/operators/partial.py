@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorset.config import MatchConfig
 from mirrorset.functions import vectors
-from mirrorset.functions.bits import any_flag, hamming_words, sign_words
+from mirrorset.functions.bits import any_flag
 from mirrorset.functions.frames import sad_batch
 from mirrorset.functions.paths import folder_suffix
-from mirrorset.operators.blocking import cell_join
+from mirrorset.operators.blocking import block_join, cell_join, pivots_for, with_cells
 from mirrorset.operators.features import usable_audio
 from mirrorset.operators.grouping import numbered
 from mirrorset.runtime import cut_lineage
@@ -304,36 +305,62 @@ def find_partial_audio(files: DataFrame, cfg: MatchConfig, grouped: DataFrame |
 
 # --- visual timelines ---------------------------------------------------------------------------
 
-def dense_frame_hits(pairs: DataFrame, dense: DataFrame, threshold: float, dims: int) -> DataFrame:
-    """(src, clip, offset, dot): frame pairs whose cosine reaches the threshold.
+def dense_frame_hits(files: DataFrame, dense: DataFrame, cfg: MatchConfig, threshold: float, dims: int) -> DataFrame:
+    """(src, clip, offset, dot): frame pairs of a clip and an admissible source whose cosine reaches the threshold.
 
-    The sign-bit distance is checked first; both timelines are bounded by the sampling schedule
-    (at most 400 slots a file), so a file pair contributes a bounded number of frame pairs.
+    Frames come first: they meet in the cells of a metric partition (:class:`blocking.Pivots`), so files
+    without a near frame never meet, and the duration ratio is looked at for pairs of near frames only.
+    A pair of blocks is one matrix product for the cosines and one for the sign-bit distances, which must
+    not be out of reach either. ``files``: file_id, duration_s, folder; ``dense``: file_id, slot, interval_s, q.
     """
     bound = vectors.sign_bound(threshold, dims)
-    d = dense.where("q IS NOT NULL").withColumn("sig", sign_words("q", dims))
-    s = d.select(F.col("file_id").alias("src"), F.col("q").alias("qs"), F.col("sig").alias("ss"),
-                 (F.col("slot") * F.col("interval_s")).alias("ts"))
-    c = d.select(F.col("file_id").alias("clip"), F.col("q").alias("qc"), F.col("sig").alias("sc"),
-                 (F.col("slot") * F.col("interval_s")).alias("tc"))
-    near = pairs.join(c, "clip").join(s, "src").where(hamming_words("ss", "sc") <= bound)
-    hit = near.select("src", "clip", (F.col("ts") - F.col("tc")).alias("offset"), "qs", "qc") \
-        .withColumn("dot", vectors.dot_batch("qs", "qc")).drop("qs", "qc")
-    return hit.where(vectors.clamp_cosine(F.col("dot")) >= threshold)
+    folder = folder_suffix("folder", cfg.folder_depth) if cfg.folder_mode != "none" else F.lit("")
+    frames = dense.where("q IS NOT NULL").select("file_id", (F.col("slot") * F.col("interval_s")).cast("double").alias("ts"), "q").join(
+        files.where("duration_s >= 1").select("file_id", "duration_s", F.coalesce(folder, F.lit("")).alias("near_folder")), "file_id")
+    frames = cut_lineage(frames, "frames")
+    pivots = pivots_for(frames, threshold)
+    schema = "src bigint, clip bigint, offset double, dot bigint"
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": pd.Series(dtype="int64"), "clip": pd.Series(dtype="int64"),
+                                 "offset": pd.Series(dtype="float64"), "dot": pd.Series(dtype="int64")})
+        x, y = (np.stack(d["q"].to_numpy()).astype(np.float64) for d in (a, b))
+        dot = x @ y.T
+        ok = np.clip(dot / float(vectors.SCALE ** 2), -1.0, 1.0) >= threshold
+        signs = np.where(x < 0, -1.0, 1.0) @ np.where(y < 0, -1.0, 1.0).T
+        ok &= (x.shape[1] - signs) / 2 <= bound
+        ratio = b["duration_s"].to_numpy()[None, :] / a["duration_s"].to_numpy()[:, None]
+        ia, ib = a["file_id"].to_numpy(), b["file_id"].to_numpy()
+        ok &= (ratio >= cfg.partial_min_ratio) & (ratio < cfg.partial_max_ratio) & (ia[:, None] != ib[None, :])
+        if cfg.folder_mode != "none":
+            same = a["near_folder"].to_numpy()[:, None] == b["near_folder"].to_numpy()[None, :]
+            ok &= same if cfg.folder_mode == "same" else ~same
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"src": ia[i], "clip": ib[j], "offset": a["ts"].to_numpy()[i] - b["ts"].to_numpy()[j],
+                             "dot": dot[i, j].astype(np.int64)})
+
+    return block_join(with_cells(frames, pivots, True), with_cells(frames, pivots, False), ["_pivot"],
+                      ["ts", "duration_s", "near_folder", "q"], compare, schema)
 
 
 def offset_consensus(hits: DataFrame) -> DataFrame:
-    """(src, clip, similarity, offset_s) where enough hits agree with the upper median offset."""
-    g = hits.groupBy("src", "clip").agg(F.sort_array(F.collect_list(F.struct("offset", "dot"))).alias("h")) \
-        .where(F.size("h") >= MIN_CONSISTENT_HITS)
-    median = F.get(F.col("h.offset"), F.floor(F.size("h") / 2).cast("int"))
-    g = g.withColumn("median", median)
-    agree = F.filter("h", lambda x: F.abs(x["offset"] - F.col("median")) <= OFFSET_TOLERANCE_S)
-    g = g.withColumn("agree", agree).where(F.size("agree") >= MIN_CONSISTENT_HITS)
-    total = F.aggregate(F.transform("agree", lambda x: vectors.clamp_cosine(x["dot"])), F.lit(0.0),
-                        lambda acc, x: acc + x)
-    return g.select("src", "clip", (total / F.size("agree")).alias("similarity"),
-                    F.rint(F.greatest(F.lit(0.0), F.col("median"))).cast("int").alias("offset_s"))
+    """(src, clip, similarity, offset_s) where enough hits agree with the upper median offset.
+
+    Hits become votes of an offset first; the median comes from cumulated votes, so no list of a pair's
+    hits is ever held.
+    """
+    votes = hits.groupBy("src", "clip", "offset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(vectors.clamp_cosine(F.col("dot"))).alias("total"))
+    pair = Window.partitionBy("src", "clip")
+    counted = votes.withColumn("all", F.sum("n").over(pair)).where(F.col("all") >= MIN_CONSISTENT_HITS) \
+        .withColumn("upto", F.sum("n").over(pair.orderBy("offset"))) \
+        .withColumn("middle", (F.col("upto") > F.expr("all div 2")) & (F.col("upto") - F.col("n") <= F.expr("all div 2"))) \
+        .withColumn("median", F.max(F.when(F.col("middle"), F.col("offset"))).over(pair))
+    agreed = counted.where(F.abs(F.col("offset") - F.col("median")) <= OFFSET_TOLERANCE_S).groupBy("src", "clip", "median").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")).where(F.col("n") >= MIN_CONSISTENT_HITS)
+    return agreed.select("src", "clip", (F.col("total") / F.col("n")).alias("similarity"),
+                         F.rint(F.greatest(F.lit(0.0), F.col("median"))).cast("int").alias("offset_s"))
 
 
 def find_partial_visual(files: DataFrame, dense: DataFrame, cfg: MatchConfig, dims: int,
@@ -342,9 +369,7 @@ def find_partial_visual(files: DataFrame, dense: DataFrame, cfg: MatchConfig, di
     ready = files.where(~F.col("is_image") & (F.col("duration_s") >= MIN_VISUAL_DURATION_S))
     if grouped is not None:
         ready = ready.join(grouped.select("file_id"), "file_id", "left_anti")
-    pairs = partial_pairs(ready, ready, cfg, length=None)
-    hits = dense_frame_hits(pairs, dense, cfg.ai_hit_threshold, dims)
-    matches = offset_consensus(hits)
+    matches = offset_consensus(dense_frame_hits(ready, dense, cfg, cfg.ai_hit_threshold, dims))
     return emit_partial(assign_clips(matches, ready), MATCH_FLAGS["partial_clip"] | MATCH_FLAGS["ai_matched"])
 
 

@@ -316,7 +316,7 @@ def dense(spark, sf):
 
 def dense_hits(spark, sf):
     files, d = dense(spark, sf)
-    return P.dense_frame_hits(P.partial_pairs(files, files, MatchConfig(), length=None), d, 0.89, 64)
+    return P.dense_frame_hits(files, d, MatchConfig(), 0.89, 64)
 
 
 @query("dense_frame_hits", O.with_(DENSE) + "SELECT src, clip, off::DOUBLE AS offset_s, dot FROM hit")
