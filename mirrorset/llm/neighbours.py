@@ -7,7 +7,9 @@ All of it is joins by vector number: vectors are numbered in an order that keeps
 of them is one unit of the round, and a vector travels once to every block whose lists name it. Queries walk
 the graph: the best vectors seen so far are expanded, some at a time, until all of the best are.
 
-Comparisons use normalised half-precision vectors; final scores are exact cosines of the original ones.
+Walks compare normalised vectors by the negative squared distance, which orders like the cosine and stays
+precise in single precision for groups of nearly equal vectors, where cosines are all about one. Final
+scores are exact cosines of the original vectors.
 """
 
 from __future__ import annotations
@@ -63,14 +65,20 @@ def _normal(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _halves(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
 
 
-def _from_halves(column, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+def _unpacked(values: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.float32).reshape(-1, width)
+
+
+def _nearness(y: np.ndarray) -> np.ndarray:
+    """Negative squared distances of all rows; most precise where the rows are small. The diagonal is out of reach."""
+    square = (y * y).sum(axis=1)
+    s = np.minimum(2 * (y @ y.T) - square[:, None] - square[None, :], 0)
+    np.fill_diagonal(s, -9)
+    return s
 
 
 def _orders(classes: DataFrame, rows: int, width: int):
@@ -88,7 +96,7 @@ def _node_batches(width: int, directions, middles):
         for batch in batches:
             x = _normal(_matrix(batch.column("embedding"), width))
             codes = [((x @ d.T > mid) @ (1 << np.arange(DIRECTIONS)[::-1])).astype(np.int64) for d, mid in zip(directions, middles)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *map(pa.array, codes), _halves(x)], ["vec_id", "code", "code2", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *map(pa.array, codes), _packed(x)], ["vec_id", "code", "code2", "x"])
     return run
 
 
@@ -105,8 +113,7 @@ def _start_batches(width: int, degree: int):
         k = min(degree, len(ids) - 1)
         if k < 1:
             return
-        s = x @ x.T
-        np.fill_diagonal(s, -9)
+        s = _nearness(x - x[len(x) // 2])
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         yield _pairs_batch(np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
@@ -116,7 +123,7 @@ def _start_batches(width: int, degree: int):
             if not len(batch):
                 continue
             ids = np.append(ids, batch.column("u").to_numpy())
-            x = np.vstack([x, _from_halves(batch.column("x"), width)])
+            x = np.vstack([x, _unpacked(batch.column("x").to_pylist(), width)])
             while len(ids) >= 2 * START_BLOCK:
                 yield from block(ids[:START_BLOCK], x[:START_BLOCK])
                 ids, x = ids[START_BLOCK:], x[START_BLOCK:]
@@ -141,7 +148,7 @@ def _reversed(edges: DataFrame, most: int, order: Column) -> DataFrame:
 def _round_batches(width: int, degree: int):
     """Better neighbours found in whole blocks: rows of members (kind 0) come before lists (kind 1)."""
     def block(members, x, worst, lists):
-        x = _from_halves(pa.array(x, pa.binary()), width)
+        x = _unpacked(x, width)
         members, worst = np.array(members), np.array(worst, np.float32)
         w, m, fresh = (np.array(c) for c in lists)
         at = np.searchsorted(members, m)
@@ -152,8 +159,7 @@ def _round_batches(width: int, degree: int):
             if not new.any():
                 continue
             own = at[a:b]
-            s = x[own] @ x[own].T
-            np.fill_diagonal(s, -9)
+            s = _nearness(x[own] - x[np.searchsorted(members, w[a])])
             i, j = np.nonzero((s > worst[own][:, None]) & (new[:, None] | new[None, :]))
             us.append(own[i])
             vs.append(own[j])
@@ -206,8 +212,8 @@ def descend(nodes: DataFrame, rows: int, width: int, degree: int = DEGREE) -> Da
             F.max("fresh").alias("fresh")).withColumn("block", F.floor(F.col("u") / ROUND_BLOCK)), "graph-lists")
         worst = graph.groupBy("u").agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("n"))
         known = nodes.select("u", "x").join(worst, "u", "left").select(
-            "u", "x", F.when(F.col("n") >= degree, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        members = lists.select("block", F.col("v").alias("u")).distinct().join(known, "u").select(
+            "u", "x", F.when(F.col("n") >= degree, F.col("low")).otherwise(F.lit(-5.0)).cast("float").alias("worst"))
+        members = lists.select("block", F.explode(F.array("u", "v")).alias("u")).distinct().join(known, "u").select(
             "block", F.lit(0).alias("kind"), "u", F.lit(0).cast("bigint").alias("v"), F.lit(False).alias("fresh"), "x", "worst")
         rows_of = members.unionByName(lists.select("block", F.lit(1).alias("kind"), "u", "v", "fresh", F.lit(None).cast("binary").alias("x"),
                                                    F.lit(None).cast("float").alias("worst")))
@@ -228,7 +234,7 @@ def _search_batches(width: int, beam: int, step: int):
         s = np.array([r[1] for r in seen] + [0.0] * len(new), np.float32)
         done = np.array([r[2] for r in seen] + [False] * len(new), bool)
         if new:
-            s[len(seen):] = _from_halves(pa.array([r[1] for r in new], pa.binary()), width) @ x
+            s[len(seen):] = -((_unpacked([r[1] for r in new], width) - x) ** 2).sum(axis=1)
         order = np.lexsort((ids, -s))[:beam]
         ids, s, done = ids[order], s[order], done[order]
         ask = np.zeros(len(ids), bool)
@@ -257,7 +263,7 @@ def _search_batches(width: int, beam: int, step: int):
                     close()
                     query, x, seen, new = q, None, [], []
                 if kind == 0:
-                    x = np.frombuffer(vec, np.float16).astype(np.float32)
+                    x = np.frombuffer(vec, np.float32)
                 elif kind == 1:
                     seen.append((v, s, done))
                 else:
@@ -342,7 +348,7 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 5, id_col: str = "vec_i
     first = numbered(several, ["key"], [F.col("vec_id")], "rn").where(F.col("rn") <= k + 1).select("key", F.col("vec_id").alias("member"))
     alone = owner.where("m = 1").select("u", F.col("vec_id").alias("member"))
     members = alone.unionByName(owner.where("m > 1").select("key", "u").join(first, "key").select("u", "member"))
-    # Half precision may swap close neighbours: some more than k classes are scored exactly.
+    # Single precision may swap close neighbours: some more than k classes are scored exactly.
     order = Window.partitionBy("q").orderBy(F.col("s").desc(), "v")
     close = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 4 * k + 12).select("q", "v")
     own = asked.where("m > 1").select("q", F.col("q").alias("v")).distinct()
