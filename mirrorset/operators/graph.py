@@ -45,6 +45,27 @@ def components(edges: DataFrame) -> DataFrame:
     return members.unionByName(members.select(F.col("group_id").alias("file_id"), "group_id").distinct())
 
 
+def add_edges(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components after more edges: (file_id, group_id), stored. ``groups`` is an earlier result, or None.
+
+    Old groups become single nodes, so the work is that of the new edges and one relabelling.
+    """
+    if groups is None:
+        return cut_lineage(components(edges), "groups")
+
+    def own(x: str) -> DataFrame:
+        return groups.select(F.col("file_id").alias(x), F.col("group_id").alias(f"{x}_group"))
+
+    lifted = cut_lineage(edges.select("src", "dst").join(own("src"), "src", "left").join(own("dst"), "dst", "left").select(
+        F.coalesce("src_group", "src").alias("src"), F.coalesce("dst_group", "dst").alias("dst")).where("src <> dst").distinct(), "lifted")
+    merged = cut_lineage(components(lifted).select(F.col("file_id").alias("group_id"), F.col("group_id").alias("merged")), "merged")
+    fresh = merged.select(F.col("group_id").alias("file_id")).join(groups, "file_id", "left_anti").withColumn("group_id", F.col("file_id"))
+    out = cut_lineage(groups.select("file_id", "group_id").unionByName(fresh).join(merged, "group_id", "left").select(
+        "file_id", F.coalesce("merged", "group_id").alias("group_id")), "groups")
+    forget(lifted, merged)
+    return out
+
+
 def _priority(c):
     """Fixed pseudo-random order of representatives; keeps the number of pivot rounds small."""
     return F.struct(F.md5(F.col(c).cast("string")).alias("p"), F.col(c).alias("id"))
