@@ -10,10 +10,13 @@ its links are settled exactly in one step over the 16 open bits. Each fingerprin
 smallest one it reaches inside the posting, so the output is linear even for thousands of near
 copies, while the components are those of all links.
 
-Copies by similarity of shingle sets differ in too many bits for that index (Jaccard 0.8 is about 3 to
-11 of 64 bits). ``similar_links`` finds them by banded MinHash postings and checks every candidate on
-the whole shingle sets, so no pair below the limit links; a pair at the limit s shares no posting with
-the chance (1 - s ** BAND_ROWS) ** BANDS, 5e-8 at 0.8.
+Copies by similarity of shingle sets differ in too many bits for that index (Jaccard 0.8 is about 3 to 11 of
+64 bits). ``similar_links`` keeps the two steps, an inverted index with a count filter and an exact check, on
+the shingles themselves: sets of n and m shingles with an index of s have at least s / (1 + s) * (n + m) in
+common, so each of two such sets has one of them among its first n - ceil(s * n) + 1 in any order that both
+use. The order is from rare to frequent: what many documents share comes last and is hardly ever posted.
+Places in the order and sizes bound the count from above, and pairs whose bound falls short are never listed.
+Nothing is lost, so recall is one.
 """
 
 from __future__ import annotations
@@ -26,15 +29,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans
+from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans, words
 from mirrorset.llm.common import cut_lineage, join_facts
-from mirrorset.operators.graph import components
+from mirrorset.operators.graph import add_edges, components
+from mirrorset.runtime import forget
 
 SEED = 42
 MAX_BITS = 2
 OPEN = list(combinations(range(8), 2))
-BANDS, BAND_ROWS = 32, 4
-_TURN = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(BANDS, BAND_ROWS, 2)
+#: A shingle in a set is a number of so many bytes.
+SET_BYTES = 6
+#: Frequencies of shingles are counted in 2 ** SKETCH_BITS cells, sent in SKETCH_RANGES pieces. They order postings only.
+SKETCH_BITS, SKETCH_RANGES = 20, 64
+#: A pivot of more pairs than this is copied, so that its pairs are checked by several tasks.
+PAIRS_PER_PIVOT = 2000
+#: Bits of the filter that holds back sets without a pair.
+FILTER_BITS = 1 << 23
 _BALL = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))])
 
 
@@ -172,9 +182,23 @@ def links(distinct: DataFrame) -> DataFrame:
         .mapInArrow(_link_batches, "src bigint, dst bigint").distinct()
 
 
+def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int):
+    """(48-bit number, document) of every word shingle, repeats included; a shorter text is one shingle."""
+    word, _, _, doc = words(data, offsets, fold=True)
+    count = np.bincount(doc, minlength=len(offsets) - 1)
+    end = np.cumsum(count)[doc]
+    at = np.arange(len(doc))
+    out = np.zeros(len(doc), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            out = mix(out + np.where(at + j < end, word[np.minimum(at + j, len(word) - 1)], np.uint64(0)) + np.uint64(1))
+    head = (at + size <= end) | (at == end - count[doc])
+    return out[head] >> np.uint64(64 - 8 * SET_BYTES), doc[head]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
-    """(hashes, first) of the distinct shingles of every document, ascending; document i has hashes[first[i]:first[i + 1]]."""
-    hashes, doc = shingle_hashes(data, offsets, size)
+    """(numbers, first) of the distinct shingles of every document, ascending; document i has numbers[first[i]:first[i + 1]]."""
+    hashes, doc = word_shingles(data, offsets, size)
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     new = np.ones(len(doc), bool)
@@ -191,151 +215,273 @@ def set_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Posting keys of every set that is not empty: one row a set, one column a band of MinHash values."""
-    at = first[:-1][np.diff(first) > 0]
-    out = np.zeros((len(at), BANDS), np.uint64)
-    if len(at):
-        with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                key = np.full(len(at), b, np.uint64)
-                for turn, factor in _TURN[b]:
-                    key = mix(key + np.minimum.reduceat((hashes ^ turn) * (factor | np.uint64(1)), at))
-                out[:, b] = key
-    return out
+def pack(numbers: np.ndarray) -> np.ndarray:
+    """SET_BYTES bytes of every number."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).ravel()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return wide.view("<u8")[:, 0]
 
 
-def _set_batches(words: int):
+def _cell(numbers: np.ndarray) -> np.ndarray:
+    return (mix(numbers) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+_SETS = "doc_id bigint, fp bigint, size bigint, set binary, piece int, counts binary"
+
+
+def _set_batches(size: int):
+    """One row per document, with its set once a task, and at last the task's frequencies of shingles (``counts``)."""
     def run(batches):
+        seen: set = set()
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            fps, sizes, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            ids = batch.column("doc_id")
+            done = 0
             for _, _, data, offsets in text_blocks(batch.column("text")):
-                hashes, first = shingle_sets(data, offsets, words)
-                fps.append(set_keys(hashes, first))
-                sizes.append(np.diff(first))
-                keys.append(bands(hashes, first).ravel())
-            size = np.concatenate(sizes)
-            ends = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(fps).view(np.int64)), pa.array(size),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], ["doc_id", "fp", "size", "bands"])
+                hashes, first = shingle_sets(data, offsets, size)
+                fps = set_keys(hashes, first).view(np.int64)
+                flat = pack(hashes).tobytes()
+                sets = []
+                for fp, lo, hi in zip(fps.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    new = hi > lo and fp not in seen
+                    seen.add(fp)
+                    sets.append(flat[lo * SET_BYTES:hi * SET_BYTES] if new else None)
+                fresh = np.repeat(np.array([x is not None for x in sets], bool), np.diff(first))
+                counts += np.bincount(_cell(hashes[fresh]), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                n = len(fps)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(done, n), pa.array(fps), pa.array(np.diff(first)), pa.array(sets, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=_SET_NAMES)
+                done += n
+        width = len(counts) // SKETCH_RANGES
+        pieces = [(i, counts[i * width:(i + 1) * width]) for i in range(SKETCH_RANGES)]
+        pieces = [(i, c.tobytes()) for i, c in pieces if c.any()]
+        n = len(pieces)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array([i for i, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())],
+            names=_SET_NAMES)
     return run
 
 
-def _key_batches(words: int, texts: bool):
-    """(fp, text) of every set, once a task, or (doc_id, fp) of every row."""
+_SET_NAMES = [c.split()[0] for c in _SETS.split(", ")]
+
+
+def _sum_batches(batches):
+    """Sums of sketch pieces from rows sorted by piece."""
+    piece = total = None
+    for batch in batches:
+        for p, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+            counts = np.frombuffer(counts, np.uint32).astype(np.uint64)
+            if p != piece:
+                if total is not None:
+                    yield _piece(piece, total)
+                piece, total = p, counts
+            else:
+                total = total + counts
+    if total is not None:
+        yield _piece(piece, total)
+
+
+def _piece(piece, total):
+    # Frequencies only order shingles, so steps of a sixteenth do and two bytes hold any of them.
+    steps = np.minimum(np.log2(total + 1.0) * 16, 65_535).astype(np.uint16)
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([steps.tobytes()], pa.binary())], ["piece", "counts"])
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of every cell are, in steps; 2 ** SKETCH_BITS numbers whatever the corpus."""
+    rows = sets.where("counts IS NOT NULL").select("piece", "counts").repartition("piece").sortWithinPartitions("piece") \
+        .mapInArrow(_sum_batches, "piece int, counts binary").collect()
+    out = np.zeros((SKETCH_RANGES, (1 << SKETCH_BITS) // SKETCH_RANGES), np.uint16)
+    for r in rows:
+        out[r["piece"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
+
+
+def least_common(n, m, similarity: float):
+    """Smallest number of shared shingles of sets of n and m shingles with the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+
+
+def _posting_batches(frequency: np.ndarray, similarity: float):
+    """(key, fp, size, place) of the first shingles of every set, from rare to frequent."""
+    def run(batches):
+        for batch in batches:
+            fps, sizes, data = batch.column("fp").to_numpy(), batch.column("size").to_numpy(), batch.column("set").to_pylist()
+            for lo in range(0, len(fps), 512):
+                size = sizes[lo:lo + 512]
+                numbers = unpack(b"".join(data[lo:lo + 512]))
+                owner = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((numbers, frequency[_cell(numbers)], owner))
+                place = np.arange(len(numbers)) - np.repeat(np.cumsum(size) - size, size)
+                keep = place <= (size - np.ceil(similarity * size - 1e-9).astype(np.int64))[owner]
+                at = order[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[at].view(np.int64)), pa.array(fps[lo:lo + 512][owner[keep]]), pa.array(size[owner[keep]]), pa.array(place[keep].astype(np.int32))],
+                    ["key", "fp", "size", "place"])
+    return run
+
+
+def _key_batches(size: int):
+    """(doc_id, fp) of every row."""
     def run(batches):
-        seen: set = set()
         for batch in batches:
             found = [np.empty(0, np.uint64)]
-            found += [set_keys(*shingle_sets(data, offsets, words)) for _, _, data, offsets in text_blocks(batch.column("text"))]
-            fp = np.concatenate(found).view(np.int64)
-            if not texts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
-                continue
-            new = []
-            for i, x in enumerate(fp.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[new]), batch.column("text").take(pa.array(new, pa.int64()))], ["fp", "text"])
+            found += [set_keys(*shingle_sets(data, offsets, size)) for _, _, data, offsets in text_blocks(batch.column("text"))]
+            yield _rows([batch.column("doc_id"), np.concatenate(found).view(np.int64)], ["doc_id", "fp"])
     return run
 
 
-def _whole_postings(batches):
-    """Arrays (key, fp, size, root) of whole postings from rows sorted by key."""
-    rest = None
+def _rows(arrays, names):
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+
+def _shared_batches(batches):
+    """Rows of postings that have more than one member, each member once, from rows sorted by key and fp."""
+    held, given = None, False
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(4)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        if not len(now[0]):
+        if not len(batch):
             continue
-        cut = int(np.flatnonzero(now[0] != now[0][-1]).max(initial=-1)) + 1
-        rest = [x[cut:] for x in now]
-        if cut:
-            yield [x[:cut] for x in now]
-    if rest is not None and len(rest[0]):
-        yield rest
+        now = [batch.column(i).to_numpy() for i in range(4)]
+        if held is not None:
+            now = [np.append(h, x) for h, x in zip(held, now)]
+        again = np.append(False, (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1]))
+        now = [x[~again] for x in now]
+        same = now[0][1:] == now[0][:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if given:
+            keep[0] = False
+        yield _rows([x[keep] for x in now], ["key", "fp", "size", "place"])
+        given = bool(same[-1]) if len(same) else given
+        held = [x[-1:] for x in now]
 
 
 def _pivot_batches(low: int, high: int, similarity: float):
-    """Pairs of members low to high - 1 of every posting with all later ones that are not tied yet and have a fitting size."""
+    """Pairs of members low to high - 1 of every posting with all later ones that are not tied yet and may be similar.
+
+    Rows come sorted by key and fp; of a posting only its first ``high`` members are held.
+    """
     def run(batches):
-        for key, fp, size, root in _whole_postings(batches):
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            first = np.flatnonzero(head)
+        front, count = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [batch.column(i).to_numpy() for i in range(5)]
+            old, shift = 0, 0
+            if front is not None and front[0][0] == now[0][0]:
+                old, shift = len(front[0]), count - len(front[0])
+                now = [np.append(f, x) for f, x in zip(front, now)]
+            key, fp, size, root, place = now
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(first, len(key)))
-            start, place = np.repeat(first, n), np.arange(len(key)) - np.repeat(first, n)
-            for p in range(low, min(high, int(n.max()))):
-                at = np.flatnonzero(place > p)
+            start = np.repeat(first, n)
+            rank = np.arange(len(key)) - start
+            rank[old:n[0]] += shift
+            rank[:old] = -1
+            for p in range(low, min(high, int(rank.max()))):
+                at = np.flatnonzero(rank > p)
                 pivot = start[at] + p
                 ok = (root[at] != root[pivot]) & (np.minimum(size[at], size[pivot]) >= similarity * np.maximum(size[at], size[pivot]) - 1e-6)
+                at, pivot = at[ok], pivot[ok]
+                most = np.minimum(size[at] - place[at], size[pivot] - place[pivot])
+                ok = most >= least_common(size[at], size[pivot], similarity)
                 if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[pivot[ok]]), pa.array(fp[at[ok]])], ["src", "dst"])
+                    yield _rows([fp[pivot[ok]], fp[at[ok]]], ["src", "dst"])
+            front = [x[first[-1]:first[-1] + high] for x in now]
+            count = (shift if len(first) == 1 else 0) + int(n[-1])
     return run
 
 
-def _shared_batches(batches):
-    """The rows of postings that have more than one member."""
-    for key, fp, size, root in _whole_postings(batches):
-        same = key[1:] == key[:-1]
-        keep = np.append(False, same) | np.append(same, False)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, fp, size)], ["key", "fp", "size"])
+def _wanted_batches(mask: np.ndarray):
+    """Sets whose fp is marked; a few others pass too."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(mask[batch.column("fp").to_numpy() & (FILTER_BITS - 1)]))
+    return run
 
 
-def _check_batches(words: int, similarity: float):
+def _marked(pairs: DataFrame) -> np.ndarray:
+    """Which remainders of fp occur in pairs; FILTER_BITS of them whatever the number of pairs."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp"))
+    rows = ends.select(F.col("fp").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("m"))
+    mask = np.zeros((FILTER_BITS // 32_768, 4096), np.uint8)
+    for r in rows.collect():
+        mask[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    return np.unpackbits(mask.ravel(), bitorder="little").astype(bool)
+
+
+def _check_batches(similarity: float):
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                src, dst = part.column("src").to_numpy(), part.column("dst").to_numpy()
-                values, at = np.unique(np.concatenate([src, dst]), return_index=True)
-                both = pa.concat_arrays([part.column("src_text"), part.column("dst_text")]).take(pa.array(at))
-                sets = []
-                for _, _, data, offsets in text_blocks(both):
-                    hashes, first = shingle_sets(data, offsets, words)
-                    sets += [hashes[i:j] for i, j in zip(first[:-1], first[1:])]
-                near = []
-                for a, b in zip(np.searchsorted(values, src), np.searchsorted(values, dst)):
-                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    near.append(common / (len(sets[a]) + len(sets[b]) - common) >= similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(src[near]), pa.array(dst[near])], ["src", "dst"])
+            src, dst = batch.column("src").to_numpy(), batch.column("dst").to_numpy()
+            near = np.zeros(len(src), bool)
+            for i, (a, b) in enumerate(zip(batch.column("src_set"), batch.column("dst_set"))):
+                a, b = unpack(a.as_py()), unpack(b.as_py())
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                near[i] = common >= similarity * (len(a) + len(b) - common) - 1e-9
+            yield _rows([src[near], dst[near]], ["src", "dst"])
     return run
 
 
-def similar_links(sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) of stored ``pairs`` whose ``sets`` (fp, set) are similar; sets of frequent pivots are copied."""
+    wanted = cut_lineage(sets.mapInArrow(_wanted_batches(_marked(pairs)), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
+    hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_PER_PIVOT).select(
+        "src", F.ceil(F.col("n") / PAIRS_PER_PIVOT).cast("int").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    left = wanted.select(F.col("fp").alias("src"), F.col("set").alias("src_set")).join(hot, "src", "left").select(
+        "src", "src_set", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    right = wanted.select(F.col("fp").alias("dst"), F.col("set").alias("dst_set"))
+    salted = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), copies).cast("int").alias("salt"))
+    near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_set", "dst", "dst_set")
+                       .mapInArrow(_check_batches(similarity), "src bigint, dst bigint"), "copy-links")
+    forget(wanted)
+    return near
+
+
+def similar_links(stored: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): links whose components are those of all pairs of sets with a Jaccard index of ``similarity`` or more.
 
-    ``sets`` has unique ``fp`` with ``size`` and ``bands``, ``texts`` (fp, text). Postings are settled in rounds:
-    a few members of each posting against all others that no link ties to them yet, then four times as
-    many. A posting of copies is done after the first round; one of sets below the limit takes all its pairs.
+    ``stored`` is the table of :func:`_set_batches`. Postings are settled in rounds: a few members of each
+    posting against all others that no link ties to them yet, then four times as many. A posting of copies
+    is done after the first round; members whose bounds allow a similarity that they do not have take more.
     """
-    rows = sets.select("fp", "size", F.explode("bands").alias("key")).select("key", "fp", "size", F.col("fp").alias("root"))
+    sets = stored.where("set IS NOT NULL")
+    rows = sets.select("fp", "size", "set").mapInArrow(
+        _posting_batches(frequencies(stored), similarity), "key bigint, fp bigint, size bigint, place int")
     postings = cut_lineage(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-        _shared_batches, "key bigint, fp bigint, size bigint"), "copy-postings")
-    wanted = cut_lineage(texts.join(postings.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "copy-texts")
-    found = postings.sparkSession.createDataFrame([], "src bigint, dst bigint")
+        _shared_batches, "key bigint, fp bigint, size bigint, place int"), "copy-postings")
+    spark = postings.sparkSession
+    found, ties = [], None
     low, high, most = 0, 2, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     live = postings.withColumn("root", F.col("fp"))
     while low < most - 1:
-        pairs = cut_lineage(live.select("key", "fp", "size", "root").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+        pairs = cut_lineage(live.select("key", "fp", "size", "root", "place").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
             _pivot_batches(low, high, similarity), "src bigint, dst bigint").distinct(), "copy-pairs")
         low, high = high, 4 * high
-        if pairs.isEmpty():
-            continue
-        left = cut_lineage(pairs.groupBy(F.col("src").alias("fp")).agg(F.count(F.lit(1)).alias("n")).join(wanted, "fp").select(
-            F.col("fp").alias("src"), F.col("text").alias("src_text"), "n"), "copy-pivots")
-        right = wanted.select(F.col("fp").alias("dst"), F.col("text").alias("dst_text"))
-        near = join_facts(pairs.join(right, "dst"), left, "src").select("src", "src_text", "dst", "dst_text") \
-            .mapInArrow(_check_batches(words, similarity), "src bigint, dst bigint")
-        found = cut_lineage(found.unionByName(near), "copy-links")
-        tied = cut_lineage(components(found).select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "copy-ties")
-        live = postings.join(tied, "fp", "left").select("key", "fp", "size", F.coalesce("tie", "fp").alias("root"))
-        open_keys = live.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-        most = open_keys.agg(F.max("n")).first()[0] or 0
-    return found
+        if not pairs.isEmpty():
+            near = check_pairs(pairs, sets.select("fp", "set"), similarity)
+            found.append(near)
+            before, ties = ties, add_edges(ties, near)
+            if before is not None:
+                forget(before)
+        forget(pairs)
+        if ties is not None:
+            tied = postings.join(ties.select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "fp", "left") \
+                .withColumn("root", F.coalesce("tie", "fp")).drop("tie")
+            open_keys = cut_lineage(tied.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b"), "copy-open")
+            most = open_keys.agg(F.max("n")).first()[0] or 0
+            live = tied.join(open_keys.select("key"), "key", "left_semi")
+    links = found[0] if found else spark.createDataFrame([], "src bigint, dst bigint")
+    for near in found[1:]:
+        links = links.unionByName(near)
+    out = cut_lineage(links, "copy-links")
+    forget(postings, *found, *([ties] if ties is not None else []))
+    return out
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, similarity: float):
@@ -347,11 +493,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, simi
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
         edges = links(distinct)
     else:
-        sets = cut_lineage(source.mapInArrow(_set_batches(words), "doc_id bigint, fp bigint, size bigint, bands array<bigint>"), "shingle-sets")
-        rows = sets.select("doc_id", "fp")
+        stored = cut_lineage(source.mapInArrow(_set_batches(words), _SETS), "shingle-sets")
+        rows = cut_lineage(stored.where("size IS NOT NULL").select("doc_id", "fp"), "shingle-keys")
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
-        texts = source.mapInArrow(_key_batches(words, True), "fp bigint, text string")
-        edges = similar_links(sets.select("fp", "size", "bands").dropDuplicates(["fp"]), texts, words, similarity)
+        edges = similar_links(stored, similarity)
+        forget(stored)
     groups = components(cut_lineage(edges, "simhash-links"))
     members = cut_lineage(groups.select(F.col("file_id").alias("fp"), F.col("group_id").alias("root")), "simhash-groups")
     lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("low"))
@@ -387,7 +533,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows, facts = _groups(docs, id_col, text_col, words, similarity)
     groups = join_facts(rows, facts.drop("root"), "fp")
     named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(named, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    # Hashes stand for the text, and the rows are dealt by id already.
+    text = F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()
+    left = docs.join(named, id_col, "left_semi").select(*docs.columns, F.xxhash64(*text).alias("_near_text_1"), F.xxhash64(F.lit(1), *text).alias("_near_text_2")) \
+        .dropDuplicates([id_col, "_near_text_1", "_near_text_2"]).select(*docs.columns)
     nameless = facts.where("component_id IS NULL").select("fp", "root")
     if nameless.isEmpty():
         return left
@@ -395,6 +544,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")) \
         .dropDuplicates(["t"]).withColumn("k", F.xxhash64("t"))
     keyed = fingerprints(loose, "k", "t") if words is None else \
-        loose.select(F.col("k").alias("doc_id"), F.col("t").alias("text")).mapInArrow(_key_batches(words, False), "doc_id bigint, fp bigint")
+        loose.select(F.col("k").alias("doc_id"), F.col("t").alias("text")).mapInArrow(_key_batches(words), "doc_id bigint, fp bigint")
     first = keyed.join(nameless, "fp").groupBy("root").agg(F.min("doc_id").alias("k"))
     return left.unionByName(loose.join(first.select("k"), "k", "left_semi").select("row.*"))

@@ -24,13 +24,13 @@ from mirrorset.operators.grouping import numbered
 from mirrorset.runtime import forget
 
 #: Edges of a vector in the graph, and most edges against their direction that a round or a search looks at.
-DEGREE, REVERSED = 40, 40
+DEGREE, REVERSED = 32, 32
 #: A round is the last one when it changes fewer than CHANGED of all edges.
 ROUNDS, CHANGED = 8, 0.05
 #: Vectors of a start block; vectors of a block of a round.
-START_BLOCK, ROUND_BLOCK = 512, 1024
+START_BLOCK, ROUND_BLOCK = 512, 256
 #: Best vectors a search keeps, and how many of them a step expands.
-BEAM, STEP = 96, 32
+BEAM, STEP = 192, 64
 #: Random directions of a start order, and vectors their middles are taken from.
 DIRECTIONS, SAMPLE_ROWS = 16, 20_000
 _SEED = 12

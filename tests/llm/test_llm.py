@@ -677,7 +677,7 @@ def test_pipeline_against_brute_force(spark, sf, texts):
     assert [n for n, _ in p.STAGES] == ["quality_rules", "near_dedup", "pii", "mix", "encode"]
     docs = p.documents(spark, sf)
     kept = {i for i, t in texts.items() if (r := brute_rules(t))[0] >= 20 and 100 * r[4] <= 30 * r[0]}
-    group = brute_components({i: brute_fingerprint(texts[i]) for i in kept})
+    group = brute_similar({i: texts[i] for i in kept})
     alone = set(group.values())
     clean = {i: surrogates.replace(texts[i])[0] for i in alone}
     rows = p.run(spark, sf).collect()
