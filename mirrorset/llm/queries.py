@@ -11,6 +11,9 @@ from mirrorset.llm import (fingerprints, host_rules, languages, lm_scores, mixin
 from mirrorset.llm.common import documents
 from mirrorset.runtime import scratch_path
 
+#: Key of the registered query only; whoever uses the operators brings an own secret.
+TEST_KEY = "key of the test tables"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -119,7 +122,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.surrogate_texts(documents(spark, sf_dir))
+    return surrogates.surrogate_texts(documents(spark, sf_dir), TEST_KEY)
 
 
 @query
