@@ -1,9 +1,13 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 A text is cut into units (a run of the space mark and what follows up to the next); no piece crosses
-them. Each distinct unit is encoded once per batch. Units of equal length advance together, one
-position at a time: the polynomial hashes of all substrings that end there are probed in the sorted
-piece keys, and each unit takes the best candidate and stores a back-pointer.
+them, nor a place between two characters that stand side by side in no piece, so a unit is cut there too
+(text without blanks becomes many short rows). Each distinct unit is encoded once per batch. Rows advance
+together, the longest first and shorter ones dropping out, one position at a time: the polynomial hashes of
+all substrings that end there are probed in the sorted piece keys, and each row takes the best candidate
+and stores a back-pointer. A very long row of a BPE model advances as overlapping stretches of equal length:
+the candidate at a place depends on the places one piece back only, so where two stretches agree on that
+many places they agree from there on; where they do not, the later one is advanced from the earlier one.
 
 What is best depends on the model file. For a unigram model it is the highest sum of scores. A BPE
 model's scores are merge ranks, whose highest sum is not the encoding; there a prefix has exactly
@@ -35,6 +39,8 @@ _BATCH_CHARS = 1 << 19
 _CACHE_UNITS = 300_000
 #: Characters of the texts that are encoded in one step; a longer text is a step of its own.
 _STEP_CHARS = 1 << 22
+#: Rows of a BPE model beyond this length advance as stretches of this length, with so much overlap at first.
+_STRETCH, _OVERLAP = 1024, 128
 
 
 def _points(text: str) -> np.ndarray:
@@ -99,7 +105,14 @@ class PieceModel:
         self.rank = np.empty(len(self.pieces), np.int64)
         self.rank[order] = np.arange(len(order))
         self._spell()
+        points = [_points(self.pieces[i]).astype(np.int64) for i in usable if self.length[i] > 1]
+        #: Pairs of characters that stand side by side in some piece.
+        self.pairs = np.unique(np.concatenate([p[:-1] << 21 | p[1:] for p in points])) if points else np.empty(0, np.int64)
         if self.bpe:
+            #: Marks of the piece that long runs of marks are cut into from the left; nothing merges with it any more.
+            first = self._merge(MARK * 4 * self.longest)[0][:2] if MARK in self.by_text else []
+            size = int(self.length[first[0]]) if len(set(first)) == 1 and len(first) == 2 and first[0] >= 0 else 0
+            self.mark_run = size if not any(MARK * (size + n) in self.by_text for n in range(1, self.longest + 1)) else 0
             self._find_splits(usable)
 
     def _spell(self) -> None:
@@ -250,43 +263,106 @@ class Encoder:
         return np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
 
     def _learn(self, keys: list[str]) -> None:
+        m = self.model
         units = [k if k.startswith(MARK) else k[1:] if k.startswith(" ") else MARK + k for k in keys]
-        by_length: dict[int, list[int]] = {}
-        sizes, groups = np.zeros(len(keys), np.int64), []
-        for i, u in enumerate(units):
-            if self.model.bpe and u.startswith(MARK * 2):
-                # runs of marks are pieces of equal score, whose order of merging is by place
-                ids = np.array(self.model._merge(u)[0])
-                groups.append(([i], ids, np.array([len(ids)])))
-            else:
-                by_length.setdefault(len(u), []).append(i)
-        for length, members in by_length.items():
-            step = max(1, _BATCH_CHARS // length)
-            for a in range(0, len(members), step):
-                part = members[a:a + step]
-                groups.append((part, *self._viterbi([units[i] for i in part], length)))
-        start, base, parts = np.zeros(len(keys), np.int64), len(self.flat), [self.flat]
-        for members, ids, size in groups:
-            ids, size = self._with_bytes(ids, size)
-            start[members], sizes[members] = base + np.cumsum(size) - size, size
-            base += len(ids)
-            parts.append(ids)
+        runs = [i for i, u in enumerate(units) if m.bpe and u.startswith(MARK * 2)]
+        plain = np.ones(len(keys), bool)
+        plain[runs] = False
+        members = np.flatnonzero(plain)
+        flat = _points("".join(units[i] for i in members)).astype(np.int64)
+        first = np.zeros(len(flat), bool)
+        length = np.array([len(units[i]) for i in members], np.int64)
+        unit_start = np.cumsum(length) - length
+        first[unit_start] = True
+        if len(flat):
+            code = flat[:-1] << 21 | flat[1:]
+            at = np.minimum(np.searchsorted(m.pairs, code), max(len(m.pairs) - 1, 0))
+            first[1:] |= m.pairs[at] != code if len(m.pairs) else True
+        row_start = np.flatnonzero(first)
+        ids, size = self._rows(flat, row_start, np.diff(np.append(row_start, len(flat))))
+        sizes = np.zeros(len(keys), np.int64)
+        if len(members):
+            sizes[members] = np.add.reduceat(size, np.searchsorted(row_start, unit_start))
+        parts = [self.flat, ids]
+        for i in runs:
+            # runs of marks are pieces of equal score, whose order of merging is by place
+            some = np.array(self._mark_run(units[i]))
+            some = self._with_bytes(some, np.array([len(some)]))[0]
+            sizes[i] = len(some)
+            parts.append(some)
+        start = np.zeros(len(keys), np.int64)
+        order = np.append(members, np.array(runs, np.int64))
+        start[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
         self.flat = np.concatenate(parts)
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, sizes])
 
-    def _viterbi(self, units: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all units in a row, ids per unit); -1 - code point stands for a character without a piece."""
-        m, n = self.model, len(units)
-        points = _points("".join(units)).reshape(n, length).astype(np.uint64)
-        prefix = np.zeros((length + 1, n), np.uint64)
-        back, piece = np.ones((length + 1, n), np.int16), np.full((length + 1, n), -1, np.int32)
+    def _mark_run(self, unit: str) -> list[int]:
+        m = self.model
+        n = len(unit) - len(unit.lstrip(MARK))
+        whole = max(0, n // m.mark_run - 3) if m.mark_run > 1 else 0
+        return [m.by_text[MARK * m.mark_run]] * whole + m._merge(unit[whole * m.mark_run:])[0] if whole else m._merge(unit)[0]
+
+    def _rows(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in order, ids per row) of stretches of code points."""
+        order = np.argsort(-length, kind="stable")
+        found, at = [], 0
+        while at < len(order):
+            longest = int(length[order[at]])
+            if self.model.bpe and longest > 2 * _STRETCH:
+                part = order[at:at + 1]
+                found.append((part, *self._with_bytes(*self._long_row(flat[start[part[0]]:start[part[0]] + longest]))))
+            else:
+                part = order[at:at + max(1, _BATCH_CHARS // longest)]
+                found.append((part, *self._with_bytes(*self._viterbi(*self._padded(flat, start[part], length[part])))))
+            at += len(part)
+        if not found:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        size = np.empty(len(start), np.int64)
+        base = np.empty(len(start), np.int64)
+        done = 0
+        for part, _, n in found:
+            size[part] = n
+            base[part] = done + np.cumsum(n) - n
+            done += int(n.sum())
+        ids = np.concatenate([x for _, x, _ in found])
+        ends = np.cumsum(size)
+        return ids[np.repeat(base - ends + size, size) + np.arange(len(ids))], size
+
+    @staticmethod
+    def _padded(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(points, length) of rows from the longest to the shortest, filled up by zeros."""
+        within = np.arange(int(length[0]))
+        points = flat[np.minimum(start[:, None] + within, len(flat) - 1)]
+        points[within >= length[:, None]] = 0
+        return points.astype(np.uint64), length
+
+    def _lattice(self, points: np.ndarray, length: np.ndarray, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(back, piece) at every place of every row: length and id of the last piece up to there.
+
+        ``known`` has both of the first places of a single row, from which it goes on.
+        """
+        n, longest = points.shape
+        prefix = np.zeros((longest + 1, n), np.uint64)
+        back, piece = np.ones((longest + 1, n), np.int16), np.full((longest + 1, n), -1, np.int32)
         with np.errstate(over="ignore"):
-            for i in range(length):
+            for i in range(longest):
                 prefix[i + 1] = prefix[i] * _BASE + points[:, i] + np.uint64(1)
-            for end in range(1, length + 1):
-                (self._only_candidate if m.bpe else self._best_candidate)(prefix, back, piece, end)
-        row, at, found = np.arange(n), np.full(n, length), []
+            if known is not None:
+                back[:len(known[0]), 0], piece[:len(known[0]), 0] = known
+            for end in range(1 if known is None else len(known[0]), longest + 1):
+                k = int(np.searchsorted(-length, -end, "right"))
+                (self._only_candidate if self.model.bpe else self._best_candidate)(prefix[:, :k], back[:, :k], piece[:, :k], end)
+        return back, piece
+
+    def _viterbi(self, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in a row, ids per row); -1 - code point stands for a character without a piece."""
+        return self._walk_back(points, length, *self._lattice(points, length))
+
+    @staticmethod
+    def _walk_back(points, length, back, piece) -> tuple[np.ndarray, np.ndarray]:
+        n = len(points)
+        row, at, found = np.arange(n), length.copy(), []
         while len(row):
             p = piece[at, row].astype(np.int64)
             found.append((row, np.where(p >= 0, p, -1 - points[row, at - 1].astype(np.int64))))
@@ -298,6 +374,31 @@ class Encoder:
             ids[ends[r] - 1 - step] = x
         return ids, size
 
+    def _long_row(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One very long row by overlapping stretches that are checked to agree."""
+        n, window = len(row), self.model.longest
+        overlap = max(_OVERLAP, 4 * window)
+        begin = np.arange(0, n, _STRETCH)
+        start, stop = np.maximum(begin - overlap, 0), np.minimum(begin + _STRETCH, n)
+        back, piece = np.ones(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+        order = np.argsort(start - stop, kind="stable")
+        backs, pieces = self._lattice(*self._padded(row, start[order], (stop - start)[order]))
+        column = np.argsort(order)
+        for j, (lo, b, hi) in enumerate(zip(start.tolist(), begin.tolist(), stop.tolist())):
+            own_back, own_piece = backs[:, column[j]], pieces[:, column[j]]
+            if lo and not ((own_back[b - lo - window + 1:b - lo + 1] == back[b - window + 1:b + 1]).all()
+                              and (own_piece[b - lo - window + 1:b - lo + 1] == piece[b - window + 1:b + 1]).all()):
+                lo = b - window
+                one_back, one_piece = self._lattice(row[None, lo:hi].astype(np.uint64), np.array([hi - lo]), (back[lo:b + 1], piece[lo:b + 1]))
+                own_back, own_piece = one_back[:, 0], one_piece[:, 0]
+            back[b + 1:hi + 1], piece[b + 1:hi + 1] = own_back[b - lo + 1:hi - lo + 1], own_piece[b - lo + 1:hi - lo + 1]
+        found, at = [], n
+        back, piece = back.tolist(), piece.tolist()
+        while at:
+            found.append(piece[at] if piece[at] >= 0 else -1 - int(row[at - 1]))
+            at -= back[at]
+        return np.array(found[::-1], np.int64), np.array([len(found)])
+
     def _only_candidate(self, prefix, back, piece, end: int) -> None:
         """BPE: the longest candidate that stays apart from the piece before it is the only one that does."""
         m = self.model
@@ -328,7 +429,7 @@ class Encoder:
         if end == 1:
             self._score = np.full(prefix.shape, -np.inf)
             self._score[0] = 0
-        score = self._score
+        score = self._score[:, :prefix.shape[1]]
         score[end] = score[end - 1] + float(m.scores.min()) - 10.0
         for size in range(1, min(m.longest, end) + 1):
             found = m.probe(prefix[end] - prefix[end - size] * m.powers[size], size)
@@ -341,15 +442,17 @@ class Encoder:
         m, missing = self.model, np.unique(ids[ids < 0])
         if not len(missing):
             return ids.astype(np.int32), size
+        spelled = [[m.byte_ids[b] for b in chr(-1 - i).encode()] if m.byte_ids else [m.unknown] for i in missing.tolist()]
+        letters, first = np.array([b for x in spelled for b in x], np.int64), np.cumsum([0, *map(len, spelled)])
+        lost = np.flatnonzero(ids < 0)
+        which = np.searchsorted(missing, ids[lost])
         width = np.ones(len(ids), np.int64)
-        spelled = {i: [m.byte_ids[b] for b in chr(-1 - i).encode()] if m.byte_ids else [m.unknown] for i in missing.tolist()}
-        for i, x in spelled.items():
-            width[ids == i] = len(x)
+        width[lost] = np.diff(first)[which]
         at = np.cumsum(width) - width
         out = np.repeat(ids, width)
-        for i, x in spelled.items():
-            for k, b in enumerate(x):
-                out[at[ids == i] + k] = b
+        n = width[lost]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[lost], n) + within] = letters[np.repeat(first[which], n) + within]
         owner = np.repeat(np.arange(len(size)), size)
         return out.astype(np.int32), np.bincount(owner, width, len(size)).astype(np.int64)
 

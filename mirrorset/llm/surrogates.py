@@ -283,7 +283,7 @@ def _email(value: str, key: bytes) -> str:
 
 
 def _name_part(word: str, key: bytes) -> str:
-    if len(word) > 1 and word.isupper() and word.capitalize().upper() == word:
+    if len(word) > 1 and word.isupper() and word.capitalize() != word == word.capitalize().upper():
         new = _name_part(word.capitalize(), key)
         if len(new.upper()) == len(word):
             return new.upper()
