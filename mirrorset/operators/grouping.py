@@ -96,3 +96,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
                              .rowsBetween(Window.unboundedPreceding, 0))
     return stored.withColumn("_local", local).join(carry.drop("_m"), [*keys, "_part"]) \
         .withColumn(name, F.col("_local") + F.col("_carry")).drop("_pos", "_part", "_v", "_local", "_carry")
+
+
+def previous(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """The value of the row before, inside ``keys`` by a total order; null on first rows. Values must not be null.
+
+    A segmented scan: rows are range partitioned by key and order, every partition looks back on its own,
+    and only one row per key and partition (its last value) is handed on, so that no task holds a key.
+    """
+    by = [F.col(k) for k in keys] + order
+    stored = cut_lineage(
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_pos", 33)), "previous")
+    last = stored.groupBy(*keys, "_part").agg(F.max_by(value, "_pos").alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part"))).drop("_last")
+    local = F.lag(value).over(Window.partitionBy(*keys, "_part").orderBy("_pos"))
+    return stored.withColumn("_local", local).join(carry, [*keys, "_part"]) \
+        .withColumn(name, F.coalesce("_local", "_carry")).drop("_pos", "_part", "_local", "_carry")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list | None] = ContextVar("scratch tables of the running step", default=None)
 _OWN_DIR = "spark.mirrorset.local.checkpoint.dir"
 
 
@@ -40,9 +44,32 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
+    if (made := _scope.get()) is not None:
+        made.append(stored)
     return stored
 
 
+@contextmanager
+def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that :func:`cut_lineage` makes inside, except those handed to the yielded function.
+
+    What is computed inside must be written, or kept, before the end.
+    """
+    made: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    before = _scope.set(made)
+    try:
+        yield keep
+    finally:
+        _scope.reset(before)
+        forget(*[df for df in made if id(df) not in kept])
+
+
 def forget(*stored: DataFrame) -> None:
     """Delete tables made by :func:`cut_lineage` that no later step reads any more."""
     for df in stored:

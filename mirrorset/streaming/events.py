@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.operators.grouping import running_sum
+from mirrorset.operators.grouping import previous, running_sum
+from mirrorset.runtime import cut_lineage
 
 
 def progress_rate(progress: DataFrame, window: str = "90 seconds", slide: str = "30 seconds",
@@ -69,7 +70,21 @@ def stream_templates(log: DataFrame, window: str, watermark: str) -> DataFrame:
 
 
 def gap_sessions(log: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
-    """Sessions of a user's log rows separated by silence."""
+    """Sessions of a user's log rows separated by silence of at least ``gap``.
+
+    Stored logs are cut by a segmented scan, so a user with a third of all rows is spread over tasks;
+    streams keep a window per open session as state.
+    """
+    if not log.isStreaming:
+        length = log.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp '1970-01-01' + interval {gap}) - unix_micros(timestamp '1970-01-01')")).first()[0]
+        rows = log.select("user_id", F.unix_micros("ts").alias("at")).where("at IS NOT NULL")
+        none = F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.col("user_id").isNull()
+        keyed = rows.withColumn("_user", F.concat_ws(":", none[1].cast("string"), none[0])).withColumn("_id", F.monotonically_increasing_id())
+        seen = cut_lineage(previous(keyed, ["_user"], [F.col("at"), F.col("_id")], "at", "before"), "sessions")
+        starts = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") >= length), 1).otherwise(0)
+        numbered = running_sum(seen, ["_user"], [F.col("at"), F.col("_id")], starts, "session")
+        return numbered.groupBy("_user", "session").agg(F.first("user_id").alias("user_id"), F.min("at").alias("start"), F.count(F.lit(1)).alias("messages")) \
+            .select("user_id", F.timestamp_micros("start").alias("session_start"), "messages")
     src = log.withWatermark("ts", watermark) if watermark else log
     return src.groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("messages")).select(
         "user_id", F.col("session_window.start").alias("session_start"), "messages")

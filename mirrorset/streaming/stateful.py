@@ -6,8 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mirrorset.operators.grouping import previous
+from mirrorset.runtime import cut_lineage, scratch_scope
+from mirrorset.streaming.sinks import run_available, write_batch
+
 
 def capped_samples(events: DataFrame, k: int = 5) -> DataFrame:
     """(reason, event_id, sample_no): the first k arriving examples of every reason.
@@ -33,6 +38,29 @@ def capped_samples(events: DataFrame, k: int = 5) -> DataFrame:
         take, "reason string, event_id bigint, sample_no bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def dedup_backlog(frames: DataFrame, out_root: str, checkpoint: str) -> None:
+    """Like :func:`dedup_consecutive`, for streams whose batches hold many frames of one file.
+
+    Inside a batch the frame before comes from a segmented scan, so no task holds a file; between batches
+    the last digest of every touched file is stored. Rows (file_id, slot) go to one folder per batch, and a
+    retried batch overwrites its own.
+    """
+    last_root = f"{out_root}-last"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope():
+            rows = cut_lineage(batch.select("file_id", "slot", "digest"), "frames")
+            seen = previous(rows, ["file_id"], [F.col("slot"), F.col("digest")], "digest", "before")
+            if batch_id > 0:
+                state = batch.sparkSession.read.parquet(last_root).where(F.col("batch_id") < batch_id) \
+                    .groupBy("file_id").agg(F.max_by("digest", "batch_id").alias("last"))
+                seen = seen.join(state, "file_id", "left").withColumn("before", F.coalesce("before", "last"))
+            write_batch(seen.where("before IS NULL OR before <> digest").select("file_id", "slot"), batch_id, out_root)
+            write_batch(rows.groupBy("file_id").agg(F.max_by("digest", F.struct("slot", "digest")).alias("digest")), batch_id, last_root)
+
+    run_available(frames, checkpoint, handle)
+
+
 def dedup_consecutive(frames: DataFrame) -> DataFrame:
     """(file_id, slot) of frames that differ from the file's previous frame.
 
