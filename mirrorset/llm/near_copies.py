@@ -11,7 +11,7 @@ smallest one it reaches inside the posting, so the output is linear even for tho
 copies, while the components are those of all links.
 
 Copies by similarity of shingle sets differ in too many bits for that index (Jaccard 0.8 is about 3 to 11 of
-64 bits). ``similar_links`` keeps the two steps, an inverted index with a count filter and an exact check, on
+64 bits). ``similar_groups`` keeps the two steps, an inverted index with a count filter and an exact check, on
 the shingles themselves: sets of n and m shingles with an index of s have at least s / (1 + s) * (n + m) in
 common, so each of two such sets has one of them among its first n - ceil(s * n) + 1 in any order that both
 use. The order is from rare to frequent: what many documents share comes last and is hardly ever posted.
@@ -443,45 +443,37 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return near
 
 
-def similar_links(stored: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): links whose components are those of all pairs of sets with a Jaccard index of ``similarity`` or more.
+def similar_groups(stored: DataFrame, similarity: float) -> DataFrame:
+    """(file_id, group_id): components of all pairs of sets with a Jaccard index of ``similarity`` or more.
 
-    ``stored`` is the table of :func:`_set_batches`. Postings are settled in rounds: a few members of each
-    posting against all others that no link ties to them yet, then four times as many. A posting of copies
+    ``stored`` is the table of :func:`_set_batches`. Postings are settled in rounds: the first members of each
+    posting against all others that no link ties to them yet, then sixteen times as many. A posting of copies
     is done after the first round; members whose bounds allow a similarity that they do not have take more.
     """
-    sets = stored.where("set IS NOT NULL")
-    rows = sets.select("fp", "size", "set").mapInArrow(
-        _posting_batches(frequencies(stored), similarity), "key bigint, fp bigint, size bigint, place int")
+    sets = stored.where("set IS NOT NULL").select("fp", "size", "set")
+    rows = sets.mapInArrow(_posting_batches(frequencies(stored), similarity), "key bigint, fp bigint, size bigint, place int")
     postings = cut_lineage(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
         _shared_batches, "key bigint, fp bigint, size bigint, place int"), "copy-postings")
-    spark = postings.sparkSession
-    found, ties = [], None
-    low, high, most = 0, 2, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ties = postings.sparkSession.createDataFrame([], "file_id bigint, group_id bigint")
+    low, high, most = 0, 8, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     live = postings.withColumn("root", F.col("fp"))
     while low < most - 1:
         pairs = cut_lineage(live.select("key", "fp", "size", "root", "place").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
             _pivot_batches(low, high, similarity), "src bigint, dst bigint").distinct(), "copy-pairs")
-        low, high = high, 4 * high
-        if not pairs.isEmpty():
-            near = check_pairs(pairs, sets.select("fp", "set"), similarity)
-            found.append(near)
-            before, ties = ties, add_edges(ties, near)
-            if before is not None:
-                forget(before)
-        forget(pairs)
-        if ties is not None:
-            tied = postings.join(ties.select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "fp", "left") \
-                .withColumn("root", F.coalesce("tie", "fp")).drop("tie")
-            open_keys = cut_lineage(tied.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b"), "copy-open")
-            most = open_keys.agg(F.max("n")).first()[0] or 0
-            live = tied.join(open_keys.select("key"), "key", "left_semi")
-    links = found[0] if found else spark.createDataFrame([], "src bigint, dst bigint")
-    for near in found[1:]:
-        links = links.unionByName(near)
-    out = cut_lineage(links, "copy-links")
-    forget(postings, *found, *([ties] if ties is not None else []))
-    return out
+        first, low, high = low == 0, high, 16 * high
+        if pairs.isEmpty():
+            forget(pairs)
+            continue
+        near = check_pairs(pairs, sets.select("fp", "set"), similarity)
+        before, ties = ties, add_edges(None if first else ties, near)
+        forget(before, near, pairs)
+        tied = postings.join(ties.select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "fp", "left") \
+            .withColumn("root", F.coalesce("tie", "fp")).drop("tie")
+        open_keys = cut_lineage(tied.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b"), "copy-open")
+        most = open_keys.agg(F.max("n")).first()[0] or 0
+        live = tied.join(open_keys.select("key"), "key", "left_semi")
+    forget(postings)
+    return ties
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, similarity: float):
@@ -491,14 +483,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, simi
     if words is None:
         rows = cut_lineage(fingerprints(docs, id_col, text_col), "simhash")
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
-        edges = links(distinct)
+        groups = components(cut_lineage(links(distinct), "simhash-links"))
     else:
         stored = cut_lineage(source.mapInArrow(_set_batches(words), _SETS), "shingle-sets")
         rows = cut_lineage(stored.where("size IS NOT NULL").select("doc_id", "fp"), "shingle-keys")
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
-        edges = similar_links(stored, similarity)
+        groups = similar_groups(stored, similarity)
         forget(stored)
-    groups = components(cut_lineage(edges, "simhash-links"))
     members = cut_lineage(groups.select(F.col("file_id").alias("fp"), F.col("group_id").alias("root")), "simhash-groups")
     lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("low"))
     linked = members.join(lowest, "root").select("fp", "low", "root")
