@@ -11,6 +11,7 @@ from mirrorset.functions.bits import any_flag
 from mirrorset.functions.paths import folder_suffix
 from mirrorset.operators import blocking as B
 from mirrorset.operators import matching
+from mirrorset.operators.partial import bit_budget, sliding_batch, visual_gate
 from mirrorset.schema import FILE_FLAGS
 
 # --- fixed values: gates in the order they are tested and the advice on a failure ----------
@@ -24,9 +25,76 @@ HINTS = {
     "visual": "Lower the similarity threshold or try flipped comparison.",
     "hardlink": "Both paths are the same file on disk.",
 }
+PARTIAL_GATES = ("type", "length", "min_ratio", "max_ratio", "source_audio", "clip_audio", "blocks", "audio", "visual")
+PARTIAL_HINTS = {
+    "type": "Only videos can be clips of each other.",
+    "length": "Both videos must be at least one second long.",
+    "min_ratio": "Lower the minimum ratio of clip and source.",
+    "max_ratio": "Videos of nearly one length are handled by the visual comparison.",
+    "source_audio": "The longer video has no usable audio fingerprint.",
+    "clip_audio": "The shorter video has no usable audio fingerprint.",
+    "blocks": "The shorter video's fingerprint must be shorter than the longer one's.",
+    "audio": "Lower the audio similarity threshold.",
+    "visual": "Lower the visual threshold of clips or switch the visual confirmation off.",
+}
 # -----------------------------------------------------------------------------------------
 
 
+def explain_partial(pairs: DataFrame, files: DataFrame, cfg: MatchConfig, timeline: DataFrame | None = None) -> DataFrame:
+    """(src, clip, gate, step, pass, measured, required, hint, first_failure, is_partial) of clip detection by audio.
+
+    The longer video of a pair is the source (the first one on ties). ``files``: file_id, is_image, duration_s,
+    flags, fp, and interval_s where a ``timeline`` is given for the visual confirmation. Fingerprints are aligned
+    only where all gates before pass; gates behind a failure count as failed.
+    """
+    facts = files.select("file_id", "is_image", "duration_s", "flags", "fp")
+    a = facts.select(*[F.col(c).alias(f"a_{c}") for c in facts.columns]).withColumnRenamed("a_file_id", "first")
+    b = facts.select(*[F.col(c).alias(f"b_{c}") for c in facts.columns]).withColumnRenamed("b_file_id", "second")
+    both = pairs.select(F.col("src").alias("first"), F.col("dst").alias("second")).join(a, "first").join(b, "second")
+    longer = F.col("a_duration_s") >= F.col("b_duration_s")
+    side = lambda c, source: F.when(longer, F.col(f"{'a' if source else 'b'}_{c}")).otherwise(F.col(f"{'b' if source else 'a'}_{c}"))
+    wide = both.select(
+        F.when(longer, F.col("first")).otherwise(F.col("second")).alias("src"), F.when(longer, F.col("second")).otherwise(F.col("first")).alias("clip"),
+        (F.col("a_is_image") | F.col("b_is_image")).alias("image"), side("duration_s", True).alias("s_len"), side("duration_s", False).alias("c_len"),
+        side("flags", True).alias("s_flags"), side("flags", False).alias("c_flags"), side("fp", True).alias("s_fp"), side("fp", False).alias("c_fp"))
+    silent = FILE_FLAGS["no_audio_track"] | FILE_FLAGS["silent_audio_track"] | FILE_FLAGS["audio_fingerprint_error"]
+    heard = lambda s: ~any_flag(f"{s}_flags", silent) & F.col(f"{s}_fp").isNotNull() & (F.coalesce(F.size(f"{s}_fp"), F.lit(0)) >= 2)
+    ratio = F.col("c_len") / F.col("s_len")
+    early = {
+        "type": ~F.col("image"), "length": (F.col("s_len") >= 1) & (F.col("c_len") >= 1), "min_ratio": ratio >= cfg.partial_min_ratio,
+        "max_ratio": ratio < cfg.partial_max_ratio, "source_audio": heard("s"), "clip_audio": heard("c"), "blocks": F.size("c_fp") < F.size("s_fp")}
+    ready = F.lit(True)
+    for ok in early.values():
+        ready = ready & F.coalesce(ok, F.lit(False))
+    wide = wide.withColumn("_ready", ready)
+    found = wide.where("_ready").select("src", "clip", F.size("c_fp").alias("len"), sliding_batch("c_fp", "s_fp").alias("m")).select(
+        "src", "clip", (1 - F.col("m.bits") / (F.col("len") * F.lit(32.0))).alias("similarity"), F.col("m.offset").alias("offset_s"),
+        (F.col("m.bits") <= bit_budget(F.col("len"), cfg.partial_similarity)).alias("alike"))
+    judged = wide.drop("s_fp", "c_fp", "s_flags", "c_flags").withColumns(
+        {f"_{g}": F.coalesce(ok, F.lit(False)) for g, ok in early.items() if g not in ("source_audio", "clip_audio", "blocks")})
+    heard_rows = wide.select("src", "clip", *[F.coalesce(early[g], F.lit(False)).alias(f"_{g}") for g in ("source_audio", "clip_audio", "blocks")])
+    judged = judged.join(heard_rows, ["src", "clip"]).join(found, ["src", "clip"], "left").withColumn("_audio", F.coalesce("alike", F.lit(False)))
+    used = list(PARTIAL_GATES)
+    if cfg.partial_require_visual and timeline is not None:
+        sure = visual_gate(found.where("alike").select("src", "clip", "similarity", "offset_s"), files, timeline, cfg.partial_visual_threshold, cfg.use_phash)
+        judged = judged.join(sure.select("src", "clip", F.lit(True).alias("_seen")), ["src", "clip"], "left").withColumn("_visual", F.coalesce("_seen", F.lit(False)))
+    else:
+        used.remove("visual")
+    text = lambda c: F.round(c, 6).cast("string")
+    none = F.lit(None).cast("string")
+    measured = {"length": text("c_len"), "min_ratio": text(ratio), "max_ratio": text(ratio), "audio": text("similarity")}
+    required = {"length": text(F.lit(1.0)), "min_ratio": text(F.lit(cfg.partial_min_ratio)), "max_ratio": text(F.lit(cfg.partial_max_ratio)),
+                "audio": text(F.lit(cfg.partial_similarity)), "visual": text(F.lit(cfg.partial_visual_threshold))}
+    gates, so_far = [], F.lit(True)
+    for i, g in enumerate(used):
+        so_far = so_far & F.col(f"_{g}")
+        gates.append(F.struct(F.lit(i).alias("step"), F.lit(g).alias("gate"), so_far.alias("pass"), measured.get(g, none).alias("measured"),
+                              required.get(g, none).alias("required"), F.when(~F.col(f"_{g}"), F.lit(PARTIAL_HINTS[g])).otherwise(none).alias("hint")))
+    failed = F.filter("gates", lambda x: ~x["pass"])
+    return judged.withColumn("gates", F.array(*gates)).withColumn("first_failure", F.get(failed, F.lit(0))["gate"]) \
+        .select("src", "clip", "offset_s", "first_failure", F.inline("gates")).withColumn("is_partial", F.col("first_failure").isNull())
+
+
 def explain_pairs(pairs: DataFrame, features: DataFrame, cfg: MatchConfig, k: int, side: int,
                   emb: DataFrame | None = None, frame_hash=None) -> DataFrame:
     """(src, dst, gate, step, pass, measured, required, hint, first_failure, is_duplicate, similarities).

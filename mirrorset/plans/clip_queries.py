@@ -206,6 +206,33 @@ def _sliding(spark, sf):
     return P.sliding_match(P.partial_pairs(s, c, EXACT), s, c, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+# Every clip with its first-block source, if any, and with three sources dealt by its number.
+@query("explain_partial", O.with_(O.FINGERPRINTS, SRC) + f""", k AS (SELECT count(*) AS n FROM sn),
+first AS (SELECT pr.src, pr.clip FROM pr JOIN clp c ON c.file_id = clip AND c.idx = 0 JOIN src s ON s.file_id = src AND s.blk = c.blk AND s.idx <= sn - cn),
+several AS (SELECT DISTINCT src, clip FROM first UNION SELECT sn.file_id, cn.file_id FROM cn, k, (SELECT unnest(range(3)) AS j) AS j, sn WHERE sn.file_id = (cn.file_id * 7 + j * 131) % k.n),
+p AS (SELECT src, clip, sn.n AS sn, cn.n AS cn, cn.n > sn.n AS swapped FROM several JOIN sn ON sn.file_id = src JOIN cn ON cn.file_id = clip),
+g AS (SELECT *, least(sn, cn)::DOUBLE / greatest(sn, cn) AS ratio FROM p),
+al AS (SELECT src, clip, CASE WHEN swapped THEN c.idx - s.idx ELSE s.idx - c.idx END AS off, sum(bit_count(xor(s.blk, c.blk))) AS bits, any_value(least(sn, cn)) AS len,
+  any_value(greatest(sn, cn)) AS long FROM g JOIN clp c ON c.file_id = clip JOIN src s ON s.file_id = src
+  WHERE ratio >= 0.1::DOUBLE AND ratio < 0.95::DOUBLE AND least(sn, cn) >= 2 AND CASE WHEN swapped THEN c.idx - s.idx ELSE s.idx - c.idx END BETWEEN 0 AND greatest(sn, cn) - least(sn, cn)
+  GROUP BY ALL),
+best AS (SELECT src, clip, min(bits) AS bits, any_value(len) AS len FROM al GROUP BY src, clip)
+SELECT CASE WHEN swapped THEN g.clip + {CLIP_BASE} ELSE g.src END AS src, CASE WHEN swapped THEN g.src ELSE g.clip + {CLIP_BASE} END AS clip,
+ CASE WHEN ratio < 0.1::DOUBLE THEN 'min_ratio' WHEN ratio >= 0.95::DOUBLE THEN 'max_ratio' WHEN greatest(sn, cn) < 2 THEN 'source_audio' WHEN least(sn, cn) < 2 THEN 'clip_audio'
+ WHEN bits > floor((1 - 0.8::DOUBLE) * 32 * len + 1e-6) THEN 'audio' END AS first_failure, round(1 - bits / (len * 32::DOUBLE), 6) AS similarity
+FROM g LEFT JOIN best ON best.src = g.src AND best.clip = g.clip""")
+def _explain_partial(spark, sf):
+    from mirrorset.operators.explain import explain_partial
+
+    s, c = sources(spark, sf), clips(spark, sf)
+    n = s.count()
+    dealt = c.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select(
+        (((F.col("file_id") - CLIP_BASE) * 7 + F.col("j") * 131) % n).alias("src"), F.col("file_id").alias("dst")).join(s.select(F.col("file_id").alias("src")), "src", "left_semi")
+    pairs = first_block_matches(s, c).select("src", F.col("clip").alias("dst")).unionByName(dealt.select("src", "dst")).distinct()
+    out = explain_partial(pairs, s.unionByName(c), MatchConfig())
+    return out.where("gate = 'audio'").select("src", "clip", "first_failure", F.col("measured").cast("double").alias("similarity"))
+
+
 # A match table that costs little in any engine: the clip's first block found in the source.
 FIRST = """mt AS (SELECT src, clip, min(s.idx) AS off FROM pr JOIN clp c ON c.file_id = clip AND c.idx = 0 JOIN src s ON s.file_id = src AND s.blk = c.blk
  AND s.idx <= sn - cn GROUP BY src, clip),
