@@ -93,7 +93,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ascending doc_id (null first, ties by text); the first document follows the last. Documents are
     dealt by id range once; the first id of every range is dealt to the range before it as well, so
     that each task sees the successor of its last row without a global sort. A single row is its own
-    successor. An empty table gives an empty result.
+    successor. Null texts count as empty; repeated rows follow one another; other columns are not looked at.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -150,7 +150,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     by name; it is ``und`` with score 0 for null texts, texts without a letter, and without any
     training text. score is the calibrated probability: a softmax over -sharpness x entropy, the
     sharpness being the best of a fixed grid over all training rows. accepted is false where the entropy
-    is over the limit that ACCEPTED of the training rows of that language stay under.
+    is over the limit that ACCEPTED of the training rows of that language stay under. Repeated rows stay rows
+    and count again in training; other columns are not looked at; an empty table gives an empty result. Long
+    texts are read whole.
     """
     spark = docs.sparkSession
     held_out = id_remainder(id_col, HELD_OUT_MOD) == HELD_OUT_REST

@@ -165,7 +165,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``source_col`` is a string or, for overlapping sources, an array of them; source_size and target
     are those of the first source. Null sources are one source, weighed last. A null text has size
-    0. Rows of one id are taken together. A pattern's documents are taken at most ``cap`` times.
+    0. Rows of one id are taken together. A pattern's documents are taken at most ``cap`` times. Ties in the
+    seeded order go by id; repeated rows stay rows and are taken alike; other columns are not looked at; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     sized = _sized(docs, id_col, text_col, source_col, seed)
@@ -184,7 +186,8 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              weights: tuple = WEIGHTS, cap: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, all columns kept.
 
-    Copies follow from the pattern's plan and the row's own hash, so texts are not shuffled.
+    Copies follow from the pattern's plan and the row's own hash, so texts are not shuffled. Nulls, ties and
+    repeated rows as in :func:`mix_sources`; columns keep their names and values; an empty table stays empty.
     """
     spark, names = docs.sparkSession, docs.columns
     sized = _sized(docs, id_col, text_col, source_col, seed)

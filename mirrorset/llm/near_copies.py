@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans, words
-from mirrorset.llm.common import cut_lineage, join_facts
+from mirrorset.llm.common import arrow_rows, cut_lineage, join_facts
 from mirrorset.operators.graph import add_edges, components
 from mirrorset.runtime import forget
 
@@ -43,6 +43,8 @@ SET_BYTES = 6
 SKETCH_BITS, SKETCH_RANGES = 20, 64
 #: A pivot of more pairs than this is copied, so that its pairs are checked by several tasks.
 PAIRS_PER_PIVOT = 2000
+#: Sets handed to a Python worker at a time; they are as long as their texts.
+ROWS_OF_SETS = 512
 #: Bits of the filter that holds back sets without a pair.
 FILTER_BITS = 1 << 23
 _BALL = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))])
@@ -429,7 +431,8 @@ def _check_batches(similarity: float):
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (src, dst) of stored ``pairs`` whose ``sets`` (fp, set) are similar; sets of frequent pivots are copied."""
-    wanted = cut_lineage(sets.mapInArrow(_wanted_batches(_marked(pairs)), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
+    with arrow_rows(pairs.sparkSession, ROWS_OF_SETS):
+        wanted = cut_lineage(sets.mapInArrow(_wanted_batches(_marked(pairs)), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
     hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_PER_PIVOT).select(
         "src", F.ceil(F.col("n") / PAIRS_PER_PIVOT).cast("int").alias("copies"))
     copies = F.coalesce("copies", F.lit(1))
@@ -437,8 +440,9 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         "src", "src_set", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     right = wanted.select(F.col("fp").alias("dst"), F.col("set").alias("dst_set"))
     salted = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), copies).cast("int").alias("salt"))
-    near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_set", "dst", "dst_set")
-                       .mapInArrow(_check_batches(similarity), "src bigint, dst bigint"), "copy-links")
+    with arrow_rows(pairs.sparkSession, ROWS_OF_SETS // 8):
+        near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_set", "dst", "dst_set")
+                           .mapInArrow(_check_batches(similarity), "src bigint, dst bigint"), "copy-links")
     forget(wanted)
     return near
 
@@ -452,8 +456,11 @@ def similar_groups(stored: DataFrame, similarity: float) -> DataFrame:
     """
     sets = stored.where("set IS NOT NULL").select("fp", "size", "set")
     rows = sets.mapInArrow(_posting_batches(frequencies(stored), similarity), "key bigint, fp bigint, size bigint, place int")
-    postings = cut_lineage(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+    with arrow_rows(stored.sparkSession, ROWS_OF_SETS):
+        firsts = cut_lineage(rows, "copy-firsts")
+    postings = cut_lineage(firsts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
         _shared_batches, "key bigint, fp bigint, size bigint, place int"), "copy-postings")
+    forget(firsts)
     ties = postings.sparkSession.createDataFrame([], "file_id bigint, group_id bigint")
     low, high, most = 0, 8, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     live = postings.withColumn("root", F.col("fp"))
@@ -485,7 +492,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, simi
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
         groups = components(cut_lineage(links(distinct), "simhash-links"))
     else:
-        stored = cut_lineage(source.mapInArrow(_set_batches(words), _SETS), "shingle-sets")
+        with arrow_rows(docs.sparkSession, 2 * ROWS_OF_SETS):
+            stored = cut_lineage(source.mapInArrow(_set_batches(words), _SETS), "shingle-sets")
         rows = cut_lineage(stored.where("size IS NOT NULL").select("doc_id", "fp"), "shingle-keys")
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
         groups = similar_groups(stored, similarity)

@@ -190,7 +190,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Held out: crc32 of the id as text, modulo 4, is 2 (a null id counts as the empty text). Null and
     empty texts have zero features and are scored like any other. Labels other than 0 and 1 and those of
-    unknown ids are ignored; several labels of one id each count. Only the text decides a score.
+    unknown ids are ignored; several labels of one id each count. Only the text decides a score, so equal
+    texts tie. Repeated rows stay rows and are scored alike; other columns are not looked at, whatever their
+    names; an empty table gives an empty result.
     """
     features = cut_lineage(document_features(docs, term_vectors(docs, text_col), id_col, text_col), "quality-features")
     probability = train(features, labels, id_col, label_col)
