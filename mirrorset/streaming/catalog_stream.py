@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mirrorset.config import MatchConfig
 from mirrorset.operators import blocking as B
@@ -62,10 +63,11 @@ def with_buckets(prepared: DataFrame, cfg: MatchConfig, k: int, side: int, near:
     return cells.withColumn("bucket", bucket).drop("_dur", "_folder", "_bright")
 
 
-def arrivals_near(spark: SparkSession, arrived: str, schema: str, own: DataFrame, cfg: MatchConfig, k: int, side: int) -> DataFrame:
+def arrivals_near(spark: SparkSession, arrived: str, own: DataFrame, cfg: MatchConfig, k: int, side: int) -> DataFrame:
     """Earlier arrivals in the buckets that ``own`` rows can match; only these partitions are read."""
     wanted = [r["bucket"] for r in with_buckets(own, cfg, k, side, near=True).select("bucket").distinct().collect()]
-    rows = spark.read.schema(schema + ", batch_id int, bucket int").option("basePath", arrived).parquet(arrived)
+    schema = StructType([*own.schema.fields, StructField("batch_id", IntegerType()), StructField("bucket", IntegerType())])
+    rows = spark.read.schema(schema).option("basePath", arrived).parquet(arrived)
     return rows.where(F.col("bucket").isin(wanted or [-1]))
 
 
@@ -79,7 +81,6 @@ def stream_match(new_features: DataFrame, stored: DataFrame, cfg: MatchConfig, k
     """
     ready = prepare(stored, cfg, side, emb)
     arrived = f"{out_root}-arrived"
-    schema = ready.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -89,7 +90,7 @@ def stream_match(new_features: DataFrame, stored: DataFrame, cfg: MatchConfig, k
             own = prepare(new, cfg, side, emb)
             rows = match_against(new, ready, cfg, k, side, emb, frame_hash, stored_ready=True)
             if batch_id > 0:
-                earlier = arrivals_near(spark, arrived, schema, own, cfg, k, side).where(F.col("batch_id") < batch_id).drop("batch_id", "bucket")
+                earlier = arrivals_near(spark, arrived, own, cfg, k, side).where(F.col("batch_id") < batch_id).drop("batch_id", "bucket")
                 rows = rows.unionByName(match_against(new, earlier, cfg, k, side, emb, frame_hash, stored_ready=True))
             inside = find_edges(new, cfg, k, side, emb, frame_hash).select(
                 F.col("dst").alias("new_id"), F.col("src").alias("stored_id"), "difference", "flags")
