@@ -36,9 +36,9 @@ _NONE = 1 << 40
 #: Units advanced together at most; bounds memory.
 _BATCH_CHARS = 1 << 19
 #: Encoded units that a worker keeps for reuse; more only costs time, never results.
-_CACHE_UNITS = 300_000
+_CACHE_UNITS = 200_000
 #: Characters of the texts that are encoded in one step; a longer text is a step of its own.
-_STEP_CHARS = 1 << 22
+_STEP_CHARS = 1 << 20
 #: Rows of a BPE model beyond this length advance as stretches of this length, with so much overlap at first.
 _STRETCH, _OVERLAP = 1024, 128
 

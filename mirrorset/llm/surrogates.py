@@ -51,6 +51,8 @@ TWO_DIGIT_CODES = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52
                    "81 82 84 86 90 91 92 93 94 95 98").split()
 #: Characters that are permuted as one number; longer values go piece by piece.
 _PIECE = 64
+#: Rows of a batch whose texts a worker holds at a time.
+_SLICE_ROWS = 1000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -326,7 +328,7 @@ def _iban(value: str, key: bytes) -> str:
     return _refilled(value, new, str.isalnum)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 15)
 def surrogate(kind: str, value: str, key: str, round_: int = 0) -> str:
     """The replacement of one mention; a permutation of the entities of one type, in the mention's format."""
     k = f"{key}|{round_}|{kind}|".encode()
@@ -439,8 +441,10 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            new = [replace(t, key, round_)[0] for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            for lo in range(0, max(len(batch), 1), _SLICE_ROWS):
+                part = batch.slice(lo, _SLICE_ROWS)
+                new = [replace(t, key, round_)[0] for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
     return docs.mapInArrow(run, fields)
 
@@ -455,9 +459,11 @@ def surrogate_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            done = [replace(t, key, round_) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for _, n in done], pa.int64()), pa.array([t for t, _ in done], pa.string())],
-                                             ["doc_id", "n_entities", "text"])
+            for lo in range(0, max(len(batch), 1), _SLICE_ROWS):
+                part = batch.slice(lo, _SLICE_ROWS)
+                done = [replace(t, key, round_) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in done], pa.int64()), pa.array([t for t, _ in done], pa.string())],
+                                                 ["doc_id", "n_entities", "text"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")) \
         .mapInArrow(run, "doc_id bigint, n_entities bigint, text string")
