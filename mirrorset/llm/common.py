@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,23 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def frugal(run, forget=None):
+    """``run`` of a mapInArrow for workers that go on to other tasks: when a task ends, ``forget`` empties the caches
+    and freed memory goes back to the system. Results never depend on it."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -78,5 +97,5 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str = "n") ->
     return cold.unionByName(rows.where(F.col(key).isin(hot_keys)).join(F.broadcast(hot), key))
 
 
-__all__ = ["cut_lineage", "documents", "hash_sample", "id_remainder", "join_facts", "partitions_for", "range_bounds",
+__all__ = ["cut_lineage", "documents", "frugal", "hash_sample", "id_remainder", "join_facts", "partitions_for", "range_bounds",
            "shuffle_partitions"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import SPACE, line_hashes, mix, per_doc, text_blocks, words
-from mirrorset.llm.common import cut_lineage, join_facts
+from mirrorset.llm.common import cut_lineage, frugal, join_facts
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -92,7 +92,7 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, host, FACTS, base_failed) of every row; null texts have no words, null hosts are one host."""
     host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host_col)))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), host.alias("host"), F.col(text_col).alias("text")) \
-        .mapInArrow(_fact_batches, "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in FACTS)) \
+        .mapInArrow(frugal(_fact_batches), "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in FACTS)) \
         .withColumn("base_failed", base_failed())
 
 
@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             ok = (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * n)
             yield batch.filter(pa.array(ok))
 
-    kept = docs.mapInArrow(passing, fields)
+    kept = docs.mapInArrow(frugal(passing), fields)
     if bad.isEmpty():
         return kept
     host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host_col)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans, words
-from mirrorset.llm.common import arrow_rows, cut_lineage, join_facts
+from mirrorset.llm.common import arrow_rows, cut_lineage, frugal, join_facts
 from mirrorset.operators.graph import add_edges, components
 from mirrorset.runtime import forget
 
@@ -432,7 +432,7 @@ def _check_batches(similarity: float):
 def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (src, dst) of stored ``pairs`` whose ``sets`` (fp, set) are similar; sets of frequent pivots are copied."""
     with arrow_rows(pairs.sparkSession, ROWS_OF_SETS):
-        wanted = cut_lineage(sets.mapInArrow(_wanted_batches(_marked(pairs)), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
+        wanted = cut_lineage(sets.mapInArrow(frugal(_wanted_batches(_marked(pairs))), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
     hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_PER_PIVOT).select(
         "src", F.ceil(F.col("n") / PAIRS_PER_PIVOT).cast("int").alias("copies"))
     copies = F.coalesce("copies", F.lit(1))
@@ -442,7 +442,7 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     salted = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), copies).cast("int").alias("salt"))
     with arrow_rows(pairs.sparkSession, ROWS_OF_SETS // 8):
         near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_set", "dst", "dst_set")
-                           .mapInArrow(_check_batches(similarity), "src bigint, dst bigint"), "copy-links")
+                           .mapInArrow(frugal(_check_batches(similarity)), "src bigint, dst bigint"), "copy-links")
     forget(wanted)
     return near
 
@@ -455,18 +455,18 @@ def similar_groups(stored: DataFrame, similarity: float) -> DataFrame:
     is done after the first round; members whose bounds allow a similarity that they do not have take more.
     """
     sets = stored.where("set IS NOT NULL").select("fp", "size", "set")
-    rows = sets.mapInArrow(_posting_batches(frequencies(stored), similarity), "key bigint, fp bigint, size bigint, place int")
+    rows = sets.mapInArrow(frugal(_posting_batches(frequencies(stored), similarity)), "key bigint, fp bigint, size bigint, place int")
     with arrow_rows(stored.sparkSession, ROWS_OF_SETS):
         firsts = cut_lineage(rows, "copy-firsts")
     postings = cut_lineage(firsts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-        _shared_batches, "key bigint, fp bigint, size bigint, place int"), "copy-postings")
+        frugal(_shared_batches), "key bigint, fp bigint, size bigint, place int"), "copy-postings")
     forget(firsts)
     ties = postings.sparkSession.createDataFrame([], "file_id bigint, group_id bigint")
     low, high, most = 0, 8, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     live = postings.withColumn("root", F.col("fp"))
     while low < most - 1:
         pairs = cut_lineage(live.select("key", "fp", "size", "root", "place").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-            _pivot_batches(low, high, similarity), "src bigint, dst bigint").distinct(), "copy-pairs")
+            frugal(_pivot_batches(low, high, similarity)), "src bigint, dst bigint").distinct(), "copy-pairs")
         first, low, high = low == 0, high, 16 * high
         if pairs.isEmpty():
             forget(pairs)
@@ -493,7 +493,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, simi
         groups = components(cut_lineage(links(distinct), "simhash-links"))
     else:
         with arrow_rows(docs.sparkSession, 2 * ROWS_OF_SETS):
-            stored = cut_lineage(source.mapInArrow(_set_batches(words), _SETS), "shingle-sets")
+            stored = cut_lineage(source.mapInArrow(frugal(_set_batches(words)), _SETS), "shingle-sets")
         rows = cut_lineage(stored.where("size IS NOT NULL").select("doc_id", "fp"), "shingle-keys")
         distinct = cut_lineage(rows.groupBy("fp").agg(*counts), "simhash-values")
         groups = similar_groups(stored, similarity)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import blocks, utf8
+from mirrorset.llm.common import frugal
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -219,9 +220,9 @@ class Encoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -246,7 +247,7 @@ class Encoder:
         """(ids of all texts in a row, ids per text)."""
         cut = [self.units(t) for t in texts]
         if len(self.known) > _CACHE_UNITS:
-            self._forget()
+            self.forget()
         new = list(set().union(*cut).difference(self.known))
         if new:
             self._learn(new)
@@ -501,7 +502,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id bigint, n_pieces bigint, ids array<int>" + (", decoded string" if decoded else ""))
+        .mapInArrow(frugal(run, lambda: encoder(model_path).forget()), "doc_id bigint, n_pieces bigint, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorset.llm.common import cut_lineage
+from mirrorset.llm.common import cut_lineage, frugal
 from mirrorset.runtime import forget
 
 _WALKS = 100_000
@@ -376,6 +376,11 @@ def replace(text: str | None, key: str, round_: int = 0) -> tuple[str | None, in
     return "".join([*parts, text[at:]]), len(found)
 
 
+def _forget() -> None:
+    for cached in (_place, _block, surrogate):
+        cached.cache_clear()
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, value, mentions): distinct entities of the corpus; counted per task first."""
 
@@ -388,7 +393,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in count], pa.string()), "value": pa.array([v for _, v in count], pa.string()),
                                               "n": pa.array(list(count.values()), pa.int64())})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string, n bigint") \
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run, _forget), "kind string, value string, n bigint") \
         .groupBy("kind", "value").agg(F.sum("n").alias("mentions"))
 
 
@@ -401,7 +406,7 @@ def surrogate_table(found: DataFrame, key: str, round_: int = 0) -> DataFrame:
             new = [surrogate(k, v, key, round_) for k, v in zip(kinds.to_pylist(), values.to_pylist())]
             yield pa.RecordBatch.from_arrays([kinds, values, pa.array(new, pa.string())], ["kind", "value", "surrogate"])
 
-    return found.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string")
+    return found.select("kind", "value").mapInArrow(frugal(run, _forget), "kind string, value string, surrogate string")
 
 
 def _letters_of(col: str):
@@ -446,7 +451,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                 new = [replace(t, key, round_)[0] for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(frugal(run, _forget), fields)
 
 
 def surrogate_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -466,4 +471,4 @@ def surrogate_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
                                                  ["doc_id", "n_entities", "text"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id bigint, n_entities bigint, text string")
+        .mapInArrow(frugal(run, _forget), "doc_id bigint, n_entities bigint, text string")
