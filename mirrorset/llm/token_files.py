@@ -34,7 +34,8 @@ MAGIC, VERSION = b"MTOK", 1
 _HEAD = struct.Struct("<4sHBBQQ")
 SHARD_BYTES = 4 << 20
 ROWS_PER_PART = 8192
-#: The dictionary is trained on at most so many documents, picked by hash, and so many characters of each.
+#: The dictionary is trained on at most so many documents, picked by hash, and one slice of so many
+#: characters of each, which starts anywhere by another hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
 #: Encoded words that a worker keeps for reuse; more only costs time, never results.
 _CACHE_WORDS = 700_000
@@ -124,7 +125,9 @@ def _codec(data: bytes):
 def train_dictionary(docs: DataFrame, n_docs: int, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
     """Dictionary bytes; plain content of the sample where it is too small to train on, empty without text."""
     picked = hash_sample(F.xxhash64(id_col, text_col), n_docs, SAMPLE_DOCS)
-    sample = docs.where((F.length(text_col) > 0) & picked).select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect()
+    starts = F.greatest(F.length(text_col) - SAMPLE_CHARS + 1, F.lit(1))
+    first = F.pmod(F.xxhash64(F.lit("slice"), id_col, text_col), starts).cast("int") + 1
+    sample = docs.where((F.length(text_col) > 0) & picked).select(F.substring(F.col(text_col), first, F.lit(SAMPLE_CHARS)).alias("t")).limit(SAMPLE_DOCS).collect()
     arrays = encoder(tokenizer_path).encode(sorted(r["t"] for r in sample)) if sample else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()

@@ -357,6 +357,18 @@ def test_token_files(spark, docs, texts, awkward, empty):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+def test_dictionary_learns_from_anywhere(spark, monkeypatch):
+    seen = []
+    fake = type("Fake", (), {"encode": lambda self, texts: seen.extend(texts) or [t.encode() for t in texts]})
+    monkeypatch.setattr(token_files, "encoder", lambda path: fake())
+    monkeypatch.setattr(token_files, "SAMPLE_CHARS", 50)
+    text = " ".join(f"w{i:04d}" for i in range(2000))
+    rows = spark.createDataFrame([(i, text) for i in range(40)] + [(99, "short"), (100, ""), (101, None)], "doc_id bigint, text string")
+    token_files.train_dictionary(rows, 43, "any", "doc_id", "text")
+    assert len(seen) == 41 and "short" in seen and all(t in text for t in seen if t != "short")
+    assert all(len(t) == 50 for t in seen if t != "short") and len({text.index(t) * 4 // len(text) for t in seen if t != "short"}) == 4
+
+
 def test_word_encoder_equals_library():
     from tokenizers import Tokenizer
 
