@@ -10,7 +10,8 @@ from mirrorset.runtime import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", glob).load(folder)
+    """Rows of what ``glob`` names in a folder: files, or folders of part files. Braces make any name a pattern."""
+    return spark.readStream.format(fmt).schema(schema).load(f"{folder}/{{{glob}}}")
 
 
 def write_batch(df: DataFrame, batch_id: int, root: str) -> None:

@@ -131,3 +131,17 @@ def test_blacklist_files_of_both_kinds(spark, tmp_path):
     old = tmp_path / "old.json"
     old.write_text('[["/x",\n "/y"],\n ["/z", "/w"]]')
     assert {r.path for r in stores.read_blacklist(spark, str(old)).collect()} == {"/x", "/y", "/z", "/w"}
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark, sf, tmp_path):
+    """A table may be one file or a folder of them; a filter on file names took no part file."""
+    import __spark_entry__ as entry
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_catalog", "capped_samples"):
+        query = entry.queries()[name]
+        one, many = (sorted(map(tuple, query(spark, where).collect()), key=str) for where in (sf, str(tmp_path)))
+        assert len(one) > 0 and len(one) == len(many)
+        if name == "stream_catalog":
+            assert one == many
