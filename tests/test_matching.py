@@ -405,3 +405,22 @@ def test_signed_sums_leave_few_candidates(spark):
     found = [rows_of(B.gray_candidates(few, few, MatchConfig(), 1, 8, patterns=n)) for n in (1, 2, 3, 4)]
     assert found[0] == found[1] == found[2] == found[3]
     assert all(abs(np.dot(B._walsh(p), B._walsh(q))) == 16 * (p == q) for p in range(4) for q in range(4))
+
+
+def test_audit_counts_the_copies_of_a_vector_only(spark, tmp_path):
+    """Vectors 0 to 19 come again as 50 to 69, with the same durations: their pairs are none of the audited ones."""
+    import random
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 0.125) for _ in range(64)] for _ in range(20)]
+    rows = [(i + base, v) for base in (0, 50) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.execute(entry.oracle_sql()["audit_join_recall"]).fetchall())
+    got = {r.kind: r.pairs for r in entry.queries()["audit_join_recall"](spark, str(tmp_path)).collect()}
+    assert got == want and want["missing"] > 0
