@@ -58,7 +58,7 @@ def doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("audio_sample_rate", F.lit(48000)).withColumn("audio_bitrate_kbs", F.lit(128).cast("bigint")) \
         .withColumn("frame_size_int", F.col("width") + F.col("height")) \
         .withColumn("is_reference", F.lit(False))
-    edges = cut_lineage(matching.find_edges(V.features_doc(spark, sf_dir, 1), MatchConfig(), 1, V.SIDE), "edges")
+    edges = cut_lineage(matching.find_edges(V.features_doc(spark, sf_dir, 1), MatchConfig(), 1, V.SIDE, forest=True), "edges")
     groups = graph.components(edges)
     ends = edges.select(F.col("dst").alias("file_id"), "difference").unionByName(
         edges.select(F.col("src").alias("file_id"), "difference"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mirrorset.config import MatchConfig
 from mirrorset.functions import bits
 from mirrorset.operators import blocking as B
-from mirrorset.operators import matching, partial
+from mirrorset.operators import graph, matching, partial
 from mirrorset.runtime import cut_lineage
 
 
@@ -233,3 +233,61 @@ def test_group_links_stay_inside_their_group(spark):
     groups = spark.createDataFrame([(i, 0 if i < 4 else 4) for i in range(8)], "file_id bigint, group_id bigint")
     links = [(r.group_id, r.src, r.dst) for r in matching.group_links(f, groups, MatchConfig(), 1, 8).collect()]
     assert sorted(links) == sorted((g, a, b) for g in (0, 4) for a, b in itertools.combinations(range(g, g + 4), 2))
+
+
+def near_frames(n, seed, noise):
+    """Frames around three pictures; with little noise all frames of a picture match each other."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (3, 64))
+    return np.clip(base[np.arange(n) % 3] + rng.integers(-noise, noise + 1, (n, 64)), 0, 255).astype(int)
+
+
+def test_frame_angles_keep_every_pair_within_the_limit():
+    for side, k, limit in ((8, 1, 655), (8, 2, 60), (32, 1, 10485), (10, 1, 0)):
+        rng = np.random.default_rng(side + k)
+        x = rng.integers(0, 256, (300, k * side * side)).astype(np.int16)
+        y = np.clip(x + rng.integers(-1, 2, x.shape) * rng.integers(0, 25, (300, 1)), 0, 255).astype(np.int16)
+        (fx, least), fy = B.frame_angles(x, k, side, limit), B.frame_angles(y, k, side, limit)[0]
+        sad = np.abs(x[:, None].astype(int) - y[None]).sum(axis=2)
+        kept = fx @ fy.T >= least
+        assert (sad <= limit).any() and kept[sad <= limit].all()
+        assert kept[sad > 6 * max(limit, 1)].mean() < 0.1
+
+
+def test_matches_of_a_crowd_leave_the_task_as_a_forest(spark):
+    """120 frames of three pictures match 40 * 39 / 2 times each; the forest has the components and least differences."""
+    g = near_frames(120, 4, 6)
+    f = features(spark, [file_row(i, g[i].tolist(), duration=100.0 + i % 5) for i in range(120)])
+    cfg = MatchConfig()
+    whole = matching.find_edges(f, cfg, 1, 8).toPandas()
+    some = matching.find_edges(f, cfg, 1, 8, forest=True)
+    sad = np.abs(g[:, None] - g[None]).sum(axis=2)
+    want = {(i, j): sad[i, j] / (64 * 256) for i in range(120) for j in range(i + 1, 120) if sad[i, j] <= cfg.gray_limit(64, 1)}
+    assert {(s, d): x for s, d, x in zip(whole.src, whole.dst, whole.difference)} == want and len(want) > 2000
+    pairs = {(r.src, r.dst): r.difference for r in some.collect()}
+    assert len(pairs) == 117 and all(want[p] == x for p, x in pairs.items())
+    least = lambda e: {i: min(x for p, x in e.items() if i in p) for i in range(120)}
+    assert least(pairs) == least(want)
+    assert {(r.file_id, r.group_id) for r in graph.components(some).collect()} == {(i, i % 3) for i in range(120)}
+
+
+def test_scattered_vectors_are_not_copied_to_every_cell(spark):
+    """Vectors spread evenly in 64 dimensions reach most cells at 94 %; they were sent to each of them."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 64))
+    q = np.rint(v / np.linalg.norm(v, axis=1, keepdims=True) * 127).astype(int)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "file_id bigint, q array<tinyint>")
+    pivots = B.pivots_for(df, 0.94)
+    assert B.with_cells(df, pivots, True).count() <= 4000 * B.MOST_REACH * B.MOST_PIVOTS / 100
+
+
+def test_small_cells_share_groups(spark):
+    """Thousands of cells of two rows each make a few groups, and each cell is compared on its own."""
+    df = spark.range(6000).select(F.col("id").alias("file_id"), (F.col("id") % 3000).alias("cell"))
+
+    def pairs(a, b):
+        assert len(a) == len(b) == 2
+        return a.merge(b, how="cross", suffixes=("", "_r"))[["file_id", "file_id_r"]].set_axis(["src", "dst"], axis=1)
+
+    rows = B.block_join(df, df, ["cell"], [], pairs, "src bigint, dst bigint").withColumn("task", F.spark_partition_id())
+    assert rows.count() == 12_000 and rows.where("src % 3000 <> dst % 3000").count() == 0
