@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorset.llm.arrays import FOLD, SPACE, mix, text_blocks, word_spans, words
@@ -47,6 +47,8 @@ PAIRS_PER_PIVOT = 2000
 ROWS_OF_SETS = 512
 #: Bits of the filter that holds back sets without a pair.
 FILTER_BITS = 1 << 23
+#: A signature has 2 ** MIN_POWER bits or more.
+MIN_POWER = 6
 _BALL = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))])
 
 
@@ -232,7 +234,29 @@ def _cell(numbers: np.ndarray) -> np.ndarray:
     return (mix(numbers) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-_SETS = "doc_id bigint, fp bigint, size bigint, set binary, piece int, counts binary"
+def signatures(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Size of every set and, in a power of two of bits (half its size or more), how many of its shingles fall on each bit, modulo two."""
+    size = np.diff(first)
+    power = np.maximum(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1, MIN_POWER)
+    width = 1 << power
+    start = np.cumsum(width) - width
+    bit = (mix(hashes) >> np.repeat(64 - power, size).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(start, size) + bit, minlength=int(width.sum())) & 1
+    flat = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [n.tobytes() + flat[a // 8:(a + w) // 8] for n, a, w in zip(size.astype("<i8"), start.tolist(), width.tolist())]
+
+
+def may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only if the signatures differ in more bits than similar sets have shingles of their own."""
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    a, b = np.frombuffer(a, np.uint8, -1, 8), np.frombuffer(b, np.uint8, -1, 8)
+    if len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = np.packbits(np.bitwise_xor.reduce(np.unpackbits(b, bitorder="little").reshape(8 * len(a), -1), axis=1), bitorder="little")
+    return int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * int(least_common(n, m, similarity))
+
+
+_SETS = "doc_id bigint, fp bigint, size bigint, set binary, signature binary, piece int, counts binary"
 
 
 def _set_batches(size: int):
@@ -247,7 +271,7 @@ def _set_batches(size: int):
                 hashes, first = shingle_sets(data, offsets, size)
                 fps = set_keys(hashes, first).view(np.int64)
                 flat = pack(hashes).tobytes()
-                sets = []
+                sets, signs = [], signatures(hashes, first)
                 for fp, lo, hi in zip(fps.tolist(), first[:-1].tolist(), first[1:].tolist()):
                     new = hi > lo and fp not in seen
                     seen.add(fp)
@@ -256,7 +280,8 @@ def _set_batches(size: int):
                 counts += np.bincount(_cell(hashes[fresh]), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 n = len(fps)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, n), pa.array(fps), pa.array(np.diff(first)), pa.array(sets, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [ids.slice(done, n), pa.array(fps), pa.array(np.diff(first)), pa.array(sets, pa.binary()),
+                     pa.array([x if s is not None else None for x, s in zip(signs, sets)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     names=_SET_NAMES)
                 done += n
         width = len(counts) // SKETCH_RANGES
@@ -264,7 +289,7 @@ def _set_batches(size: int):
         pieces = [(i, c.tobytes()) for i, c in pieces if c.any()]
         n = len(pieces)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array([i for i, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())],
+            [*[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2, pa.array([i for i, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())],
             names=_SET_NAMES)
     return run
 
@@ -342,48 +367,64 @@ def _rows(arrays, names):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
 
-def _shared_batches(batches):
-    """Rows of postings that have more than one member, each member once, from rows sorted by key and fp."""
-    held, given = None, False
+def _merged(batches, rows: int = 16_384):
+    """The same rows in batches of at least ``rows`` rows."""
+    held, n = [], 0
     for batch in batches:
-        if not len(batch):
-            continue
-        now = [batch.column(i).to_numpy() for i in range(4)]
-        if held is not None:
-            now = [np.append(h, x) for h, x in zip(held, now)]
-        again = np.append(False, (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1]))
-        now = [x[~again] for x in now]
-        same = now[0][1:] == now[0][:-1]
-        keep = np.append(False, same) | np.append(same, False)
-        if given:
-            keep[0] = False
-        yield _rows([x[keep] for x in now], ["key", "fp", "size", "place"])
-        given = bool(same[-1]) if len(same) else given
-        held = [x[-1:] for x in now]
-
-
-def _pivot_batches(low: int, high: int, similarity: float):
-    """Pairs of members low to high - 1 of every posting with all later ones that are not tied yet and may be similar.
-
-    Rows come sorted by key and fp; of a posting only its first ``high`` members are held.
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_ROUND = "key bigint, fp bigint, size bigint, place int, dst bigint"
+_ROUND_NAMES = [c.split()[0] for c in _ROUND.split(", ")]
+
+
+def _round_batches(low: int, high: int, similarity: float):
+    """Pairs (fp, dst) of members low to high - 1 of every posting with all later ones that are not tied yet and may
+    be similar, and the members of postings of more than ``high`` (``dst`` null), which take another round.
+
+    Rows (key, fp, size, place, root) come sorted by key and fp; repeated ones count once, and of a posting only its
+    first ``high`` members are held.
     """
+    def pairs(src, dst):
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        new = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))
+        src, dst = src[new], dst[new]
+        none = pa.array(np.zeros(len(src), np.int64))
+        return pa.RecordBatch.from_arrays([none, pa.array(src), none, none.cast(pa.int32()), pa.array(dst)], _ROUND_NAMES)
+
     def run(batches):
-        front, count = None, 0
-        for batch in batches:
-            if not len(batch):
+        front, count, last = None, 0, None
+        for batch in _merged(batches):
+            now = [batch.column(c).to_numpy() for c in ("key", "fp", "size", "place", "root")]
+            again = np.append((now[0][0], now[1][0]) == last, (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1]))
+            last = now[0][-1], now[1][-1]
+            now = [x[~again] for x in now]
+            if not len(now[0]):
                 continue
-            now = [batch.column(i).to_numpy() for i in range(5)]
             old, shift = 0, 0
             if front is not None and front[0][0] == now[0][0]:
                 old, shift = len(front[0]), count - len(front[0])
                 now = [np.append(f, x) for f, x in zip(front, now)]
-            key, fp, size, root, place = now
+            key, fp, size, place, root = now
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(first, len(key)))
             start = np.repeat(first, n)
             rank = np.arange(len(key)) - start
+            # Held members were pivots and given out already, unless the posting was not known to be large.
+            large = np.repeat(n, n) > high
+            large[:n[0]] = shift + n[0] > high
+            if count > high:
+                large[:old] = False
             rank[old:n[0]] += shift
             rank[:old] = -1
+            src, dst = [], []
             for p in range(low, min(high, int(rank.max()))):
                 at = np.flatnonzero(rank > p)
                 pivot = start[at] + p
@@ -391,15 +432,19 @@ def _pivot_batches(low: int, high: int, similarity: float):
                 at, pivot = at[ok], pivot[ok]
                 most = np.minimum(size[at] - place[at], size[pivot] - place[pivot])
                 ok = most >= least_common(size[at], size[pivot], similarity)
-                if ok.any():
-                    yield _rows([fp[pivot[ok]], fp[at[ok]]], ["src", "dst"])
-            front = [x[first[-1]:first[-1] + high] for x in now]
+                src.append(fp[pivot[ok]])
+                dst.append(fp[at[ok]])
+            if sum(map(len, src)):
+                yield pairs(np.concatenate(src), np.concatenate(dst))
+            if large.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[large]) for x in now[:4]], pa.nulls(int(large.sum()), pa.int64())], _ROUND_NAMES)
             count = (shift if len(first) == 1 else 0) + int(n[-1])
+            front = [x[first[-1]:first[-1] + high] for x in now]
     return run
 
 
 def _wanted_batches(mask: np.ndarray):
-    """Sets whose fp is marked; a few others pass too."""
+    """Rows whose fp is marked; a few others pass too."""
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(mask[batch.column("fp").to_numpy() & (FILTER_BITS - 1)]))
@@ -416,37 +461,51 @@ def _marked(pairs: DataFrame) -> np.ndarray:
     return np.unpackbits(mask.ravel(), bitorder="little").astype(bool)
 
 
-def _check_batches(similarity: float):
+def _similar(a: bytes, b: bytes, similarity: float) -> bool:
+    a, b = unpack(a), unpack(b)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def _check_batches(test, similarity: float):
     def run(batches):
         for batch in batches:
-            src, dst = batch.column("src").to_numpy(), batch.column("dst").to_numpy()
-            near = np.zeros(len(src), bool)
-            for i, (a, b) in enumerate(zip(batch.column("src_set"), batch.column("dst_set"))):
-                a, b = unpack(a.as_py()), unpack(b.as_py())
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                near[i] = common >= similarity * (len(a) + len(b) - common) - 1e-9
-            yield _rows([src[near], dst[near]], ["src", "dst"])
+            near = [test(a.as_py(), b.as_py(), similarity) for a, b in zip(batch.column("src_data"), batch.column("dst_data"))]
+            near = np.array(near, bool)
+            yield _rows([batch.column("src").to_numpy()[near], batch.column("dst").to_numpy()[near]], ["src", "dst"])
     return run
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst) of stored ``pairs`` whose ``sets`` (fp, set) are similar; sets of frequent pivots are copied."""
+def _passing(pairs: DataFrame, rows: DataFrame, data: str, test, similarity: float, label: str) -> DataFrame:
+    """The (src, dst) of stored ``pairs`` that pass a test of the ``data`` of both in ``rows``; that of frequent pivots is copied."""
     with arrow_rows(pairs.sparkSession, ROWS_OF_SETS):
-        wanted = cut_lineage(sets.mapInArrow(frugal(_wanted_batches(_marked(pairs))), "fp bigint, set binary").dropDuplicates(["fp"]), "copy-sets")
+        wanted = cut_lineage(rows.select("fp", F.col(data).alias("data")).mapInArrow(
+            frugal(_wanted_batches(_marked(pairs))), "fp bigint, data binary").dropDuplicates(["fp"]), label)
     hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_PER_PIVOT).select(
         "src", F.ceil(F.col("n") / PAIRS_PER_PIVOT).cast("int").alias("copies"))
     copies = F.coalesce("copies", F.lit(1))
-    left = wanted.select(F.col("fp").alias("src"), F.col("set").alias("src_set")).join(hot, "src", "left").select(
-        "src", "src_set", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    right = wanted.select(F.col("fp").alias("dst"), F.col("set").alias("dst_set"))
+    left = wanted.select(F.col("fp").alias("src"), F.col("data").alias("src_data")).join(hot, "src", "left").select(
+        "src", "src_data", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    right = wanted.select(F.col("fp").alias("dst"), F.col("data").alias("dst_data"))
     salted = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), copies).cast("int").alias("salt"))
     with arrow_rows(pairs.sparkSession, ROWS_OF_SETS // 8):
-        near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_set", "dst", "dst_set")
-                           .mapInArrow(frugal(_check_batches(similarity)), "src bigint, dst bigint"), "copy-links")
+        near = cut_lineage(salted.join(right, "dst").join(left, ["src", "salt"]).select("src", "src_data", "dst", "dst_data")
+                           .mapInArrow(frugal(_check_batches(test, similarity)), "src bigint, dst bigint"), "copy-links")
     forget(wanted)
     return near
 
 
+def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) of stored ``pairs`` whose ``sets`` (fp, set, signature) are similar.
+
+    Signatures, about a fiftieth of the sets, rule out most pairs that are not; sets travel for the rest only.
+    """
+    close = _passing(pairs, sets, "signature", may_be_similar, similarity, "copy-signatures")
+    near = _passing(close, sets, "set", _similar, similarity, "copy-sets")
+    forget(close)
+    return near
+
+
 def similar_groups(stored: DataFrame, similarity: float) -> DataFrame:
     """(file_id, group_id): components of all pairs of sets with a Jaccard index of ``similarity`` or more.
 
@@ -455,32 +514,31 @@ def similar_groups(stored: DataFrame, similarity: float) -> DataFrame:
     is done after the first round; members whose bounds allow a similarity that they do not have take more.
     """
     sets = stored.where("set IS NOT NULL").select("fp", "size", "set")
-    rows = sets.mapInArrow(frugal(_posting_batches(frequencies(stored), similarity)), "key bigint, fp bigint, size bigint, place int")
-    with arrow_rows(stored.sparkSession, ROWS_OF_SETS):
-        firsts = cut_lineage(rows, "copy-firsts")
-    postings = cut_lineage(firsts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-        frugal(_shared_batches), "key bigint, fp bigint, size bigint, place int"), "copy-postings")
-    forget(firsts)
-    ties = postings.sparkSession.createDataFrame([], "file_id bigint, group_id bigint")
-    low, high, most = 0, 8, postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    live = postings.withColumn("root", F.col("fp"))
-    while low < most - 1:
-        pairs = cut_lineage(live.select("key", "fp", "size", "root", "place").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-            frugal(_pivot_batches(low, high, similarity)), "src bigint, dst bigint").distinct(), "copy-pairs")
-        first, low, high = low == 0, high, 16 * high
-        if pairs.isEmpty():
-            forget(pairs)
-            continue
-        near = check_pairs(pairs, sets.select("fp", "set"), similarity)
-        before, ties = ties, add_edges(None if first else ties, near)
-        forget(before, near, pairs)
-        tied = postings.join(ties.select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "fp", "left") \
-            .withColumn("root", F.coalesce("tie", "fp")).drop("tie")
-        open_keys = cut_lineage(tied.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b"), "copy-open")
-        most = open_keys.agg(F.max("n")).first()[0] or 0
-        live = tied.join(open_keys.select("key"), "key", "left_semi")
-    forget(postings)
-    return ties
+    live = sets.mapInArrow(frugal(_posting_batches(frequencies(stored), similarity)), "key bigint, fp bigint, size bigint, place int") \
+        .withColumn("root", F.col("fp"))
+    ties = stored.sparkSession.createDataFrame([], "file_id bigint, group_id bigint")
+    low, high, found = 0, 8, None
+    while True:
+        before = found
+        with arrow_rows(stored.sparkSession, ROWS_OF_SETS):
+            found = cut_lineage(live.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+                frugal(_round_batches(low, high, similarity)), _ROUND), "copy-postings")
+        forget(*filter(None, [before]))
+        pairs = cut_lineage(found.where("dst IS NOT NULL").select(F.col("fp").alias("src"), "dst").distinct(), "copy-pairs")
+        if not pairs.isEmpty():
+            near = check_pairs(pairs, stored.where("set IS NOT NULL").select("fp", "set", "signature"), similarity)
+            before, ties = ties, add_edges(ties if hasattr(ties, "_stored_at") else None, near)
+            forget(before, near)
+        forget(pairs)
+        rest = found.where("dst IS NULL").drop("dst")
+        if rest.isEmpty():
+            forget(found)
+            return ties
+        same = Window.partitionBy("key")
+        live = rest.join(ties.select(F.col("file_id").alias("fp"), F.col("group_id").alias("tie")), "fp", "left") \
+            .withColumn("root", F.coalesce("tie", "fp")).drop("tie") \
+            .withColumn("a", F.min("root").over(same)).withColumn("b", F.max("root").over(same)).where("a < b").drop("a", "b")
+        low, high = high, 16 * high
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, words: int | None, similarity: float):

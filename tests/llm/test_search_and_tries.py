@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorset.llm import neighbours, prefix_trie, spelling
+from mirrorset.llm import near_copies, neighbours, prefix_trie, spelling
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 CLASHING = "key size path sizes family shard skel kind seq u v s x q code word n m form root mate blocks vec embedding2 rank score".split()
@@ -256,3 +256,101 @@ def test_spelling_of_awkward_rows(spark):
 def test_follow_long_chains(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(45)], "word string, form string")
     assert {r["root"] for r in spelling.follow(forms).collect()} == {"w45"}
+
+
+# ---- shared shingles of different texts
+
+
+def _postings_of(spark, monkeypatch, df):
+    """Groups of the texts, and rows by label of the tables that the step stores."""
+    stored = Counter()
+    keep = near_copies.cut_lineage
+
+    def counting(rows, label="stage"):
+        out = keep(rows, label)
+        stored[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "cut_lineage", counting)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(df, words=5, similarity=0.8).collect()}
+    return got, stored
+
+
+def test_small_postings_take_one_round(spark, monkeypatch):
+    """Texts that meet in some shingles only are compared once; their postings are neither stored nor joined again."""
+    rng = random.Random(5)
+    quotes = [" ".join(f"q{k}w{i}" for i in range(12)) for k in range(150)]
+    texts = {}
+    for i in range(300):  # each quote stands in two texts of very different sizes
+        own = [f"t{i}w{j}" for j in range(40 + 100 * (i % 2))]
+        texts[i] = " ".join([quotes[i // 2], *own])
+    body = [f"b{j}" for j in range(200)]
+    for i in range(60):  # one family: postings of more members than the first round has pivots
+        texts[1000 + i] = " ".join(w if rng.random() > 0.004 else f"{w}x{i}" for w in body)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got, stored = _postings_of(spark, monkeypatch, df)
+    assert all(got[i] == i for i in range(300)) and len({got[i] for i in texts if i >= 1000}) < 60
+    assert "copy-firsts" not in stored and "copy-open" not in stored
+    shingles = sum(len(t.split()) for t in texts.values())
+    assert stored["copy-postings"] < shingles / 4
+
+
+@pytest.mark.parametrize("high", [2, 8])
+def test_rounds_give_the_pairs_of_brute_force(high):
+    """Pivots of a round meet all later members of their postings, however the rows are cut into batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(high)
+    rows = sorted({(int(k), int(f)) for k, f in zip(rng.zipf(1.3, 3000) % 50, rng.integers(0, 500, 3000))})
+    size, place = rng.integers(20, 30, 500), rng.integers(0, 3, 500)
+    whole = [(k, f, int(size[f]), int(place[f]), f % 7) for k, f in rows for _ in range(1 + f % 2)]
+    names = ["key", "fp", "size", "place", "root"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*whole[a:a + 37])], names) for a in range(0, len(whole), 37)]
+    want, rest, members = set(), [], {}
+    for k, f in rows:
+        members.setdefault(k, []).append(f)
+    for k, fs in members.items():
+        rest += [(k, f) for f in fs if len(fs) > high]
+        for i, a in enumerate(fs[1:high], 1):
+            for b in fs[i + 1:]:
+                if a % 7 != b % 7 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) - 1e-6 and \
+                        min(size[a] - place[a], size[b] - place[b]) >= near_copies.least_common(size[a], size[b], 0.8):
+                    want.add((a, b))
+    near_merged = near_copies._merged
+    try:
+        near_copies._merged = lambda b: b
+        out = [r for b in near_copies._round_batches(1, high, 0.8)(batches) for r in b.to_pylist()]
+    finally:
+        near_copies._merged = near_merged
+    assert {(r["fp"], r["dst"]) for r in out if r["dst"] is not None} == want
+    assert sorted((r["key"], r["fp"]) for r in out if r["dst"] is None) == sorted(rest)
+
+
+def test_signatures_lose_no_similar_pair():
+    """Different bits never exceed the different shingles, whatever the widths; far sets are told apart."""
+    rng = np.random.default_rng(3)
+    far = 0
+    for n in [0, 1, 2, 5, 30, 120, 250, 600, 5000]:
+        for keep in (1.0, 0.95, 0.85, 0.0):
+            a = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+            b = np.unique(np.append(a[:int(keep * len(a))], rng.integers(0, 1 << 48, len(a) - int(keep * len(a)) + n // 20).astype(np.uint64)))
+            x, y = near_copies.signatures(np.append(a, b), np.array([0, len(a), len(a) + len(b)]))
+            common = len(np.intersect1d(a, b))
+            if common >= 0.8 * (len(a) + len(b) - common):
+                assert near_copies.may_be_similar(x, y, 0.8) and near_copies.may_be_similar(y, x, 0.8)
+            elif n >= 30 and keep == 0:
+                far += near_copies.may_be_similar(x, y, 0.8)
+    assert far == 0
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from mirrorset import runtime
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = runtime.cut_lineage(spark.range(1000).repartition(5, "id"), "shuffled")
+    assert tracker.shuffleStatuses().size() <= before
+    assert out.count() == 1000
+    assert spark.conf.get(runtime._CLEANUP, "unset") in ("unset", "false")
+    runtime.forget(out)
