@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,19 +86,22 @@ class WordEncoder:
         self.known.update([(w, self.known[w[:-1]] + self.tails[w[-1]]) for w in tailed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = []
+        first, rows = [], []
         for text in texts:
             if text and (text[0].isspace() or text[-1].isspace() or _UNEVEN.search(text)):
-                first, *rest = _CUT.split(text)
-                rows.append([first, *[u[1:] for u in rest]])
+                head, *rest = _CUT.split(text)
+                first.append(head)
+                rows.append([u[1:] for u in rest])
             else:
-                rows.append(text.split(" "))
+                head, _, rest = text.partition(" ")
+                first.append(head)
+                rows.append(rest.split(" ") if rest else [])
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
-        self._learn(set().union(*[r[1:] for r in rows]).difference(self.known))
-        heads = self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)
+        self._learn(set(chain.from_iterable(rows)).difference(self.known))
+        heads = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
         get = self.known.__getitem__
-        return [np.array(h.ids, self.dtype).tobytes() + b"".join(map(get, row[1:])) for h, row in zip(heads, rows)]
+        return [np.array(h.ids, self.dtype).tobytes() + b"".join(map(get, row)) for h, row in zip(heads, rows)]
 
 
 def id_type(vocabulary: int) -> np.dtype:
