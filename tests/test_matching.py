@@ -208,6 +208,25 @@ def test_majority_prune_of_a_star_of_5000_and_a_clique(spark):
     assert got == {0: 0, 4998: 0, 4999: 0, **{i: 9000 for i in range(9000, 9005)}}
 
 
+@pytest.mark.parametrize("alone", [graph.ALONE, 60])
+def test_majority_prune_of_chains_stores_few_tables(spark, monkeypatch, alone):
+    """Groups that one task can hold take no rounds; larger ones (here: of over 60 rows) do, with the same result."""
+    stored, keep = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label="stage": stored.append(label) or keep(df, label))
+    monkeypatch.setattr(graph, "ALONE", alone)
+    members, edges, want = [], [], {}
+    for k, n in enumerate([9, 24, 40]):
+        base = (1 << 60) + 1000 * k + 1
+        pairs = {(base + a, base + b) for a, b in itertools.combinations(range(n), 2) if b - a == 1 or a < 6 and b < 12}
+        members += [(base + i, k) for i in range(n)]
+        edges += [(k, a, b) for a, b in pairs]
+        want.update(naive_groups(range(base, base + n), lambda a, b: (min(a, b), max(a, b)) in pairs))
+    got = graph.majority_prune(spark.createDataFrame(members, "file_id bigint, group_id bigint"),
+                               spark.createDataFrame(edges, "group_id bigint, src bigint, dst bigint")).collect()
+    assert {r.file_id: r.group_id for r in got} == want
+    assert ("candidates" in stored) == (alone == 60)
+
+
 def test_duplicate_groups_flow(spark):
     rows = corpus(80, seed=9)
     out = duplicate_groups(features(spark, rows), MatchConfig(), 1, 8).collect()
