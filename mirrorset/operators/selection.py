@@ -50,23 +50,28 @@ def select_rule(items: DataFrame, scope: DataFrame, protected_dirs: list[str], r
 
     Groups with an unusable path, or with a missing date under a date rule, are skipped whole.
     """
-    df = items.withColumn("_prot", paths.protected("path", protected_dirs)) \
-        .join(scope.select("path").distinct().withColumn("_in", F.lit(True)), "path", "left") \
-        .withColumn("_in", F.coalesce("_in", F.lit(False)))
-    facts = [F.count(F.lit(1)).alias("_n"), F.bool_or("_in").alias("_any"),
-             F.bool_and(paths.valid_path("path")).alias("_ok"), F.bool_or("_prot").alias("_some")]
-    if rule == "keep-protected":
-        df = attach(df, "group_id", *facts)
-        mark = F.col("_some")
-    else:
-        keep, column = rule.split("-")[1:3]
-        dated = F.col(column).isNotNull() & (F.col(column) > F.lit("0001-01-01").cast("timestamp_ntz"))
-        bound = (F.max if keep == "newest" else F.min)(column)
-        df = attach(df, "group_id", *facts, F.bool_and(dated).alias("_dated"), bound.alias("_bound"))
-        later = F.col(column) < F.col("_bound") if keep == "newest" else F.col(column) > F.col("_bound")
-        mark = F.col("_dated") & later
-    return df.where((F.col("_n") > 1) & F.col("_any") & F.col("_ok") & mark & F.col("_in")
-                    & ~F.col("_prot")).select(*KEY)
+    return select_rules(items, scope, protected_dirs, [rule]).select(*KEY)
+
+
+def select_rules(items: DataFrame, scope: DataFrame, protected_dirs: list[str], rules: list[str]) -> DataFrame:
+    """(rule, group_id, item_id): :func:`select_rule` for several rules, which share the look at the scope and one table of group facts."""
+    dates = list(dict.fromkeys(r.split("-")[2] for r in rules if r != "keep-protected"))
+    dated = lambda c: F.col(c).isNotNull() & (F.col(c) > F.lit("0001-01-01").cast("timestamp_ntz"))
+    rows = items.select("path", *KEY, *dates).join(scope.select("path").distinct().withColumn("_in", F.lit(True)), "path", "left").select(
+        *KEY, *dates, F.coalesce("_in", F.lit(False)).alias("_in"), paths.protected("path", protected_dirs).alias("_prot"),
+        paths.valid_path("path").alias("_valid"))
+    facts = [F.count(F.lit(1)).alias("_n"), F.bool_or("_in").alias("_any"), F.bool_and("_valid").alias("_ok"), F.bool_or("_prot").alias("_some")]
+    for c in dates:
+        facts += [F.bool_and(dated(c)).alias(f"_dated_{c}"), F.min(c).alias(f"_oldest_{c}"), F.max(c).alias(f"_newest_{c}")]
+    df = attach(cut_lineage(rows, "in-scope"), "group_id", *facts).where("_n > 1 AND _any AND _ok AND _in AND NOT _prot")
+
+    def marked(rule: str) -> Column:
+        if rule == "keep-protected":
+            return F.col("_some")
+        keep, c = rule.split("-")[1:3]
+        return F.col(f"_dated_{c}") & (F.col(c) < F.col(f"_newest_{c}") if keep == "newest" else F.col(c) > F.col(f"_oldest_{c}"))
+
+    return df.select(*KEY, F.explode(F.array_compact(F.array(*[F.when(marked(r), F.lit(r)) for r in rules]))).alias("rule")).select("rule", *KEY)
 
 
 IDENTITY = ["duration_s", "frame_size_int", "format", "audio_format", "audio_channel",

@@ -176,3 +176,45 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
     shallow = [r.group_id for r in projection.page(view, 4, 20).collect()]
     monkeypatch.setattr(projection, "SORTED_AT_ONCE", 10)
     assert [r.group_id for r in projection.page(view, 4, 20).collect()] == shallow and len(shallow) == 20
+
+
+def shuffles(df):
+    """Exchanges that the planned query deals rows by, and broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_rules_and_deltas_of_all_kinds_deal_rows_once(spark):
+    rules = ["keep-protected", "keep-newest-created", "keep-oldest-created", "keep-newest-modified", "keep-oldest-modified"]
+    df = items(spark, item(1, path="/p/a", created="2024-01-02"), item(2, created="2024-01-01", modified="2024-01-03"), item(3, created="2024-01-03"),
+               item(4, 2, created="2024-01-02"), item(5, 2, modified=None), item(6, 3, path="/q/a", image=True, size=5), item(7, 3, duration=90.0))
+    scope = df.where("item_id <> 3")
+    assert shuffles(selection.select_rules(df, scope, ["/p"], rules)) <= shuffles(selection.select_rules(df, scope, ["/p"], rules[:1]))
+    got = selection.select_rules(df, scope, ["/p"], rules)
+    assert rows_of(got) == rows_of(spark.createDataFrame(
+        [("keep-protected", 1, 2), ("keep-newest-created", 1, 2), ("keep-newest-created", 2, 5), ("keep-oldest-created", 2, 4), ("keep-oldest-modified", 1, 2)],
+        "rule string, group_id bigint, item_id bigint"))
+    deltas = ranking.item_deltas(df)
+    flagged = ranking.highlight_best(df)
+    single = [ranking.metric_deltas(flagged, m).select(F.lit(m).alias("metric"), "group_id", "item_id", "delta") for m in ranking.METRICS]
+    want = single[0]
+    for part in single[1:]:
+        want = want.unionByName(part)
+    assert shuffles(deltas) < shuffles(want)
+    assert rows_of(deltas) == rows_of(want)
+
+
+def test_records_and_report_of_small_and_large_groups(spark, monkeypatch, tmp_path):
+    """Groups of one record and longer ones give the same order; rows of small groups are not numbered over ranges."""
+    numbered = []
+    monkeypatch.setattr(stores, "ITEMS_PER_RECORD", 3)
+    monkeypatch.setattr(stores, "numbered", lambda df, *a, f=grouping.numbered: numbered.append(df.count()) or f(df, *a))
+    rows = [item(i, sim=90.0 + i % 4) for i in range(8)] + [item(20 + i, 2, sim=99.0 - i) for i in range(3)] + [item(30, 3)]
+    df = items(spark, *rows)
+    got = {(r["group_id"], r["part"]): [x["item_id"] for x in r["items"]] for r in stores.result_records(df.select("group_id", "item_id", "path", "similarity")).collect()}
+    assert got == {(1, 0): [3, 7, 2], (1, 1): [6, 1, 5], (1, 2): [0, 4], (2, 0): [20, 21, 22], (3, 0): [30]}
+    assert numbered == [8]
+    stores.write_results(ranking.highlight_best(df.withColumn("offset_s", F.lit(0.0))), str(tmp_path / "t"), "text")
+    parts = sorted((tmp_path / "t").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).split("\n")
+    assert [x.split("_")[1].split(".")[0] for x in lines if "/a/" in x] == [str(i) for i in (3, 7, 2, 6, 1, 5, 0, 4, 20, 21, 22, 30)]
+    assert lines[:3] == ["Found 3 duplicate group(s), 12 total file(s).", "", "Group 1 (8 files):"] and lines[19:21] == ["", "Group 2 (3 files):"]
