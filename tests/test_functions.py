@@ -176,3 +176,17 @@ def test_where_expression_reads_words_inside_strings(spark):
     assert [r.path for r in where_expression(df, "path = 'select from'").collect()] == ["select from"]
     with pytest.raises(ValueError):
         where_expression(df, "path IN (SELECT 'b')")
+
+
+def test_audio_fingerprint_carries_few_counts(spark):
+    """Majority of each second's words by brute force; the 32 counts travel in eleven numbers, not in one each."""
+    rng = np.random.default_rng(5)
+    rows = [(f, i, int(w)) for f in range(3) for i, w in enumerate(rng.integers(0, 1 << 32, 40 + f))]
+    df = spark.createDataFrame(rows, "file_id bigint, frame int, word bigint")
+    made = X.audio_fingerprint(df)
+    assert made._jdf.queryExecution().executedPlan().toString().count("partial_") <= 12
+    got = {(r["file_id"], r["sec"]): r["block"] for r in made.collect()}
+    seconds = {}
+    for f, i, w in rows:
+        seconds.setdefault((f, int(i * X.FRAME_HOP / X.SAMPLE_RATE)), []).append(w)
+    assert got == {k: sum(1 << b for b in range(32) if sum(w >> b & 1 for w in ws) >= len(ws) // 2 + 1) for k, ws in seconds.items()}
