@@ -271,6 +271,35 @@ def test_matches_of_a_crowd_leave_the_task_as_a_forest(spark):
     assert {(r.file_id, r.group_id) for r in graph.components(some).collect()} == {(i, i % 3) for i in range(120)}
 
 
+@pytest.mark.parametrize("block", [7, 8000])
+def test_each_two_frames_are_compared_once(spark, monkeypatch, block):
+    """Rows went to all neighbouring cells of their own, so every two frames met twice."""
+    monkeypatch.setattr(B, "ROWS_PER_FRAME_BLOCK", block)
+    monkeypatch.setattr(B, "PAIRS_AT_A_TIME", 50)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (12, 1)) + rng.integers(-15, 16, (12, 64))
+    g = np.clip(base[np.arange(150) % 12] + rng.integers(-9, 10, (150, 64)), 0, 255).astype(int)
+    seconds = rng.choice([60.0, 70.0, 71.0, 85.0, 100.0, 130.0], 150)
+    f = features(spark, [file_row(i, g[i].tolist(), duration=seconds[i], is_image=i % 4 == 0) for i in rng.permutation(150).tolist()])
+    met, cfg = [], MatchConfig()
+    join = B.block_join
+
+    def seen(left, right, *rest):
+        met.append((left.count(), right.count()))
+        return join(left, right, *rest)
+
+    monkeypatch.setattr(B, "block_join", seen)
+    got = [tuple(r) for r in B.gray_pairs(f, f, cfg, 1, 8).collect()]
+    sad = np.abs(g[:, None] - g[None]).sum(axis=2)
+    tolerance = np.array([cfg.tolerance(s) for s in seconds])
+    near = np.abs(seconds[:, None] - seconds[None]) <= np.minimum(tolerance[:, None], tolerance[None])
+    want = [(i, j, int(sad[i, j])) for i in range(150) for j in range(i + 1, 150) if (i % 4 == 0) == (j % 4 == 0)
+            and (i % 4 == 0 or near[i, j]) and sad[i, j] <= cfg.gray_limit(64, 1)]
+    assert sorted(got) == want and len(want) > 300
+    # One signed sum tells these rows apart: 1 + 4 of 9 cells for videos, 1 + 1 of 3 for images.
+    assert met == [(112 * 5 + 38 * 2, 300)]
+
+
 def test_scattered_vectors_are_not_copied_to_every_cell(spark):
     """Vectors spread evenly in 64 dimensions reach most cells at 94 %; they were sent to each of them."""
     rng = np.random.default_rng(6)
