@@ -207,6 +207,28 @@ def test_frame_hits_equal_the_product_of_ratio_pairs(spark, monkeypatch):
         assert len(want) > 20 and set(got) == want
 
 
+def test_frames_of_files_that_are_no_clip_never_meet(spark, monkeypatch):
+    """Frames of files of one duration were compared although no ratio allows them; the limits of the ratio stay."""
+    rng = np.random.default_rng(4)
+    q = unit(rng.standard_normal(64)).tolist()
+    seconds = [1000.0] * 30 + [100.0, 99.9, 949.9, 950.0, 5000.0]
+    f = spark.createDataFrame([(i, s, "/f", False) for i, s in enumerate(seconds)], "file_id bigint, duration_s double, folder string, is_image boolean")
+    d = spark.createDataFrame([(i, 0, 5.0, q) for i in range(len(seconds))], "file_id bigint, slot int, interval_s double, q array<tinyint>")
+    met, join = [], partial.block_join
+
+    def seen(left, right, *rest):
+        met.append(left.join(right, ["_pivot", "_ratio"]).count())
+        return join(left, right, *rest)
+
+    monkeypatch.setattr(partial, "block_join", seen)
+    cfg = MatchConfig()
+    got = {(r.src, r.clip) for r in partial.dense_frame_hits(f, d, cfg, 0.89, 64).collect()}
+    want = {(a, b) for a, s in enumerate(seconds) for b, c in enumerate(seconds)
+            if a != b and cfg.partial_min_ratio <= c / s < cfg.partial_max_ratio}
+    assert got == want and (0, 30) in want and (0, 32) in want and (0, 33) not in want
+    assert met[0] < len(want) + 100
+
+
 def test_offset_consensus_takes_the_upper_median(spark):
     rng = random.Random(7)
     hits, want = [], {}
