@@ -207,6 +207,34 @@ def test_frame_hits_equal_the_product_of_ratio_pairs(spark, monkeypatch):
         assert len(want) > 20 and set(got) == want
 
 
+def test_alignments_end_at_their_bound_and_lose_nothing(spark, monkeypatch):
+    """All offsets of all pairs were compared whole; bounds leave few and every match with its first best offset."""
+    monkeypatch.setattr(partial, "SOURCES_AT_ONCE", 8)
+    monkeypatch.setattr(partial, "CLIPS_AT_ONCE", 4)
+    rng = np.random.default_rng(12)
+    words = rng.integers(0, 1 << 32, 400)
+    sources = [words[rng.integers(0, 400, int(rng.integers(1, 200)))] for _ in range(30)] + [np.tile(words[:5], 20)]
+    clips = [words[rng.integers(0, 400, int(rng.integers(1, 40)))] for _ in range(6)] + [words[:5], np.zeros(0, np.int64)]
+    for i in range(12):
+        whole = sources[i] if len(sources[i]) >= 12 else sources[30]
+        start = int(rng.integers(0, len(whole) - 10))
+        clips.append(whole[start:start + 10] ^ np.bitwise_or.reduce([1 << rng.integers(0, 32, 10) for _ in range(1 + i)]))
+    table = lambda rows: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "file_id bigint, fp array<bigint>")
+    pairs = [(a, b) for a in range(len(sources)) for b in range(len(clips))]
+    want = {}
+    for a, b in pairs:
+        s, c = sources[a], clips[b]
+        totals = [sum(int(x).bit_count() for x in s[o:o + len(c)] ^ c) for o in range(len(s) - len(c) + 1)] if len(c) else []
+        if totals and min(totals) <= int((1.0 - 0.8) * 32 * len(c) + 1e-6):
+            want[a, b] = (round(1 - min(totals) / (len(c) * 32.0), 9), totals.index(min(totals)))
+    got = partial.sliding_match(spark.createDataFrame(pairs, "src bigint, clip bigint"), table(sources), table(clips), 0.8).collect()
+    assert {(r.src, r.clip): (round(r.similarity, 9), r.offset_s) for r in got} == want and len(got) == len(want) > 10
+    # Bits of a pair without a common word cannot reach the budget: no offset is looked at.
+    far, clip = np.arange(50, dtype=np.uint32), np.full(10, 0xFFFFFFFF, dtype=np.uint32)
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", None)
+    assert partial.best_alignment(clip, far, partial._least_distances(clip, far), 64) is None
+
+
 def test_frames_of_files_that_are_no_clip_never_meet(spark, monkeypatch):
     """Frames of files of one duration were compared although no ratio allows them; the limits of the ratio stay."""
     rng = np.random.default_rng(4)
