@@ -227,6 +227,34 @@ def test_majority_prune_of_chains_stores_few_tables(spark, monkeypatch, alone):
     assert ("candidates" in stored) == (alone == 60)
 
 
+def test_majority_prune_of_dense_groups_takes_no_rounds(spark, monkeypatch):
+    """A group of many similar pairs but few members is pruned in a task; repeated pairs count as often as they come."""
+    stored, keep = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label="stage": stored.append(label) or keep(df, label))
+    monkeypatch.setattr(graph, "ALONE", 90)
+    members, edges, want = [], [], {}
+    for k, n in enumerate([20, 44, 45]):
+        rng, base = random.Random(k), 1000 * k
+        pairs = {(base + a, base + b) for a, b in itertools.combinations(range(n), 2) if a < n // 2 or rng.random() < 0.3}
+        pairs -= {p for p in pairs if rng.random() < 0.4}
+        members += [(base + i, k) for i in range(n)]
+        edges += [(k, *(p if rng.random() < 0.5 else p[::-1])) for p in pairs] + [(k, base, 99_999)]
+        want.update(naive_groups(range(base, base + n), lambda a, b: (min(a, b), max(a, b)) in pairs))
+
+    def run(rows):
+        got = graph.majority_prune(spark.createDataFrame(members, "file_id bigint, group_id bigint"),
+                                   spark.createDataFrame(rows, "group_id bigint, src bigint, dst bigint")).collect()
+        return {r.file_id: r.group_id for r in got}
+
+    assert min(sum(e[0] == k for e in edges) for k in (1, 2)) > 90
+    assert run(edges) == want and len(set(want.values())) > 1
+    assert "candidates" not in stored
+    again = edges + edges[::3]
+    few = run(again)
+    monkeypatch.setattr(graph, "ALONE", 1_000_000)
+    assert run(again) == few
+
+
 def test_duplicate_groups_flow(spark):
     rows = corpus(80, seed=9)
     out = duplicate_groups(features(spark, rows), MatchConfig(), 1, 8).collect()
