@@ -30,8 +30,9 @@ def duplicate_groups(features: DataFrame, cfg: MatchConfig, k: int = 1, side: in
                      emb: DataFrame | None = None, frame_hash=None) -> DataFrame:
     """(group_id, file_id, difference, flags): match, merge under the representative check, prune.
 
-    Only features of files that have an edge go on after the matching step.
+    Features are made once; only those of files that have an edge go on after the matching step.
     """
+    features = cut_lineage(features, "all-features")
     edges = cut_lineage(matching.find_edges(features, cfg, k, side, emb, frame_hash), "edges")
     touched = edges.select(F.col("src").alias("file_id")).unionByName(edges.select(F.col("dst").alias("file_id"))).distinct()
     stored = cut_lineage(features.join(touched, "file_id", "left_semi"), "features")
