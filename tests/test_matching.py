@@ -227,6 +227,24 @@ def test_majority_prune_of_chains_stores_few_tables(spark, monkeypatch, alone):
     assert ("candidates" in stored) == (alone == 60)
 
 
+@pytest.mark.parametrize("gate", [dict(folder_mode="different"), dict(exclude_hardlinks=True)])
+def test_gated_forest_has_the_components_of_all_pairs(spark, gate):
+    """Near files of few folders and links: as many edges as files at most, tied as all allowed pairs tie them."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(90):
+        base = rng.randrange(6)
+        gray = [(40 * base + 20 + (p % 3 if rng.random() < 0.3 else 0)) % 256 for p in range(64)]
+        where = base * 10 + rng.randrange(1 if base % 3 == 0 else 3)
+        rows.append(file_row(i, rows[rng.randrange(i)][8] if i and rng.random() < 0.3 else gray, folder=f"/f{where}", size=where, inode=where))
+    table, cfg = features(spark, rows), MatchConfig(folder_depth=1, **gate)
+    every = matching.find_edges(table, cfg, 1, 8)
+    some = matching.find_edges(table, cfg, 1, 8, forest=True)
+    assert rows_of(graph.components(some)) == rows_of(graph.components(every))
+    assert some.count() <= 2 * len(rows) < every.count()
+    assert some.join(every, ["src", "dst"], "left_anti").isEmpty()
+
+
 def test_majority_prune_of_dense_groups_takes_no_rounds(spark, monkeypatch):
     """A group of many similar pairs but few members is pruned in a task; repeated pairs count as often as they come."""
     stored, keep = [], graph.cut_lineage
