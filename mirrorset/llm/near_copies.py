@@ -584,23 +584,39 @@ def hex_fingerprint(col: str = "fp"):
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group of ``near_groups``: that of the smallest id.
 
-    Repeated rows of the kept id and text leave one row; rows of one id with different texts stay or go
-    together. In a group without any id one row stays.
+    Repeated rows of the kept id and text leave one row; of rows of one id with different texts each goes by its
+    own text's group, and those of one group leave one. In a group without any id one row stays.
     """
     rows, facts = _groups(docs, id_col, text_col, words, similarity)
     groups = join_facts(rows, facts.drop("root"), "fp")
     named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     # Hashes stand for the text, and the rows are dealt by id already.
     text = F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()
-    left = docs.join(named, id_col, "left_semi").select(*docs.columns, F.xxhash64(*text).alias("_near_text_1"), F.xxhash64(F.lit(1), *text).alias("_near_text_2")) \
+    # Ids of several rows, few or none as a rule: a kept id says nothing about its other texts.
+    several = cut_lineage(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("kept"))
+                          .where("n > 1 AND kept > 0").select(F.col("doc_id").alias(id_col)), "ids-of-several-rows")
+    again = not several.isEmpty()
+    single = named.join(several, id_col, "left_anti") if again else named
+    left = docs.join(single, id_col, "left_semi").select(*docs.columns, F.xxhash64(*text).alias("_near_text_1"), F.xxhash64(F.lit(1), *text).alias("_near_text_2")) \
         .dropDuplicates([id_col, "_near_text_1", "_near_text_2"]).select(*docs.columns)
+    if again:
+        some = _with_keys(docs.join(several, id_col, "left_semi"), id_col, text_col, words).join(facts.select("fp", "component_id", "root"), "fp") \
+            .where("id = component_id")
+        first = some.groupBy("id", "root").agg(F.min("k").alias("k"))
+        left = left.unionByName(some.join(first, ["id", "root", "k"], "left_semi").select("row.*"))
     nameless = facts.where("component_id IS NULL").select("fp", "root")
     if nameless.isEmpty():
         return left
-    loose = docs.where(F.col(id_col).isNull()).select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")) \
-        .dropDuplicates(["t"]).withColumn("k", F.xxhash64("t"))
-    keyed = fingerprints(loose, "k", "t") if words is None else \
-        loose.select(F.col("k").alias("doc_id"), F.col("t").alias("text")).mapInArrow(_key_batches(words), "doc_id bigint, fp bigint")
-    first = keyed.join(nameless, "fp").groupBy("root").agg(F.min("doc_id").alias("k"))
+    loose = _with_keys(docs.where(F.col(id_col).isNull()), id_col, text_col, words).join(nameless, "fp")
+    first = loose.groupBy("root").agg(F.min("k").alias("k"))
     return left.unionByName(loose.join(first.select("k"), "k", "left_semi").select("row.*"))
+
+
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, words: int | None) -> DataFrame:
+    """(row, id, k, fp): one row per id and text of ``docs``, which is ``row``, with hash ``k`` and key ``fp`` of its text."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("k", F.xxhash64("t")).dropDuplicates(["id", "k"])
+    texts = rows.select("k", "t").dropDuplicates(["k"])
+    keyed = fingerprints(texts, "k", "t") if words is None else \
+        texts.select(F.col("k").alias("doc_id"), F.col("t").alias("text")).mapInArrow(_key_batches(words), "doc_id bigint, fp bigint")
+    return rows.drop("t").join(keyed.withColumnRenamed("doc_id", "k"), "k")

@@ -226,6 +226,22 @@ def test_near_groups_without_ids(spark):
     assert left.columns == wide.columns and sorted(r["_text"] for r in left.collect()) == ["a b c d", "x y z w"]
 
 
+def test_other_texts_of_a_kept_id_go_by_their_own_groups(spark):
+    """Ids 5, 7 and 8 have two texts: a copy of 3's and one of its own, two near copies, two texts of their own."""
+    import corpus_pipeline as p
+
+    def text(i):
+        return " ".join(f"w{i}x{k}" for k in range(60))
+
+    rows = [(3, text(1)), (5, text(1) + " end"), (5, text(2)), (6, text(2)), (7, text(3)), (7, text(3) + " end"), (7, text(3)),
+            (8, text(4)), (8, text(5)), (None, text(1)), (9, None), (9, "")]
+    wide = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id bigint, text string, fp string")
+    for left in (p.near_dedup(spark, wide, ""), near_copies.drop_near_copies(wide.replace({text(1) + " end": text(1).upper(), text(3) + " end": text(3).upper()}, subset=["text"]))):
+        got = Counter((r["doc_id"], " ".join((r["text"] or "").lower().split()[:60])) for r in left.collect())
+        assert left.columns == wide.columns
+        assert got == Counter({(3, text(1)): 1, (5, text(2)): 1, (7, text(3)): 1, (8, text(4)): 1, (8, text(5)): 1, (9, ""): 1})
+
+
 # ---- 9 host rules
 
 
