@@ -489,3 +489,21 @@ def test_audit_counts_the_copies_of_a_vector_only(spark, tmp_path):
     want = dict(con.execute(entry.oracle_sql()["audit_join_recall"]).fetchall())
     got = {r.kind: r.pairs for r in entry.queries()["audit_join_recall"](spark, str(tmp_path)).collect()}
     assert got == want and want["missing"] > 0
+
+
+def test_explaining_clips_aligns_equal_fingerprints_once(spark, monkeypatch):
+    """Pairs carry no fingerprints; a fingerprint and its copies are aligned as one."""
+    from mirrorset.operators import explain
+
+    rng, met, keep = random.Random(7), [], partial.best_alignments
+    monkeypatch.setattr(explain, "best_alignments", lambda pairs, fps: met.append(pairs.distinct().count()) or keep(pairs, fps))
+    source, other = ([rng.randrange(1 << 32) for _ in range(60)] for _ in range(2))
+    rows = [(i, False, 60.0, 0, source) for i in range(20)] + [(100 + i, False, 20.0, 0, source[25:45]) for i in range(20)]
+    rows += [(200, False, 20.0, 0, [x ^ 5 for x in other[3:23]]), (201, False, 60.0, 0, other), (202, False, 20.0, 0, None)]
+    files = spark.createDataFrame(rows, "file_id bigint, is_image boolean, duration_s double, flags int, fp array<bigint>")
+    pairs = [(i, 100 + j) if (i + j) % 2 else (100 + j, i) for i in range(20) for j in range(20)] + [(200, 201), (201, 202)]
+    got = explain.explain_partial(spark.createDataFrame(pairs, "src bigint, dst bigint"), files, MatchConfig()).where("gate = 'audio'").collect()
+    assert met == [2] and len(got) == 402
+    for r in got:
+        want = (201, "0.9375", 3, None) if r["clip"] == 200 else (201, None, None, "clip_audio") if r["clip"] == 202 else (r["src"], "1.0", 25, None)
+        assert (r["src"], r["measured"], r["offset_s"], r["first_failure"]) == want and r["src"] < r["clip"] or r["src"] == 201
